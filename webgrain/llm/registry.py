@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webgrain.llm import exact_dedup as _exact
+from webgrain.llm import simhash as _simhash
 from webgrain.llm import url_filter as _url
 
 #: The rules that op8 judges by.
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _simhash.near_classes(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.judge_urls(_table(spark, sf_dir, "pages"), _url.rule_table(spark, OP8_RULES))
 
@@ -25,6 +30,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
 }
