@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webgrain.llm import exact_dedup as _exact
+from webgrain.llm import packing as _packing
+from webgrain.llm import records as _records
 from webgrain.llm import simhash as _simhash
 from webgrain.llm import url_filter as _url
+from webgrain.llm.scratch import fresh_path
 
 #: The rules that op8 judges by.
 OP8_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -20,6 +27,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.near_classes(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
 
 
+def vocabulary(name: str) -> bytes:
+    """A vocabulary file of the public tokenizers; operators take its bytes, so any other file will do."""
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-records")
+    _records.write_records(_table(spark, sf_dir, "documents"), f"{path}/data", vocabulary("word_bpe_49k.json"), end_id=1)
+    _records.write_index(spark, f"{path}/data", f"{path}/index")
+    starts = _records.file_starts(spark.read.parquet(f"{path}/index"))
+    rows = _records.read_records(spark, f"{path}/data").select(
+        "part", "piece", "doc_id", "start_in_file", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rows.join(starts, ["part", "piece"]).select(
+        "doc_id", (F.col("start") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, max_len=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.judge_urls(_table(spark, sf_dir, "pages"), _url.rule_table(spark, OP8_RULES))
 
@@ -31,6 +59,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_records": op2_token_records,
+    "op4_packing": op4_packing,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
 }
