@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.llm import exact_dedup as _exact
+from webgrain.llm import language as _language
 from webgrain.llm import packing as _packing
 from webgrain.llm import records as _records
 from webgrain.llm import simhash as _simhash
+from webgrain.llm import sketch as _sketch
 from webgrain.llm import url_filter as _url
 from webgrain.llm.scratch import fresh_path
 
@@ -48,6 +50,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def fold(modulus: int):
+    """crc32 of doc_id as text, modulo modulus (null: null)."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = _language.train(docs.where(fold(3) != 1))
+    return _language.identify(docs, model).select(
+        "doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sketch.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.judge_urls(_table(spark, sf_dir, "pages"), _url.rule_table(spark, OP8_RULES))
 
@@ -61,6 +79,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_records": op2_token_records,
     "op4_packing": op4_packing,
+    "op5_language": op5_language,
+    "op6_fingerprints": op6_fingerprints,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
 }
