@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgrain.llm import bytebpe as _bytebpe
 from webgrain.llm import exact_dedup as _exact
 from webgrain.llm import language as _language
+from webgrain.llm import lattice as _lattice
 from webgrain.llm import packing as _packing
 from webgrain.llm import records as _records
 from webgrain.llm import simhash as _simhash
@@ -66,6 +68,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sketch.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = _bytebpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return _bytebpe.decode(encoded, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.judge_urls(_table(spark, sf_dir, "pages"), _url.rule_table(spark, OP8_RULES))
 
@@ -75,14 +85,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _lattice.score(docs, vocabulary("piece_bpe_32k.model"), F.coalesce(fold(7) != 2, F.lit(True))).select(
+        "doc_id", (~F.col("marked")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_records": op2_token_records,
     "op4_packing": op4_packing,
     "op5_language": op5_language,
     "op6_fingerprints": op6_fingerprints,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ASCII_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
