@@ -7,13 +7,18 @@ probability is the product over its words of the sum over all segmentations of t
 forward recursion in log space, times the probability of the end. Characters that the vocabulary
 lacks are spelled by its byte pieces.
 
-Learning counts every word of every training document; a first segmentation of each distinct
-word gives piece counts, and rounds of expectation maximisation over the lattices of the distinct words
-refine them. Word counts stay distributed; only sums over the pieces of the vocabulary reach
-the driver.
+A word of the training texts also enters its lattice as one more piece, the whole word, with its
+count less a discount D; what the discounts set free weights the other segmentations:
+    P(word) = max(c - D, 0) / N + D V / N * (sum over segmentations into vocabulary pieces)
+`lattice_score` is the probability without whole words.
+
+Learning counts every word of every training document. Every distinct training word, once, gives
+piece counts by its segmentation; rounds of expectation maximisation over the lattices of the
+distinct words can refine them. Word counts stay distributed; only sums over the pieces of the
+vocabulary and counts of counts reach the driver.
 
 Defined results: a null text is the empty text and consists of the end alone; without training
-documents all pieces are equally likely and the baseline has N = V = 0; rows that repeat are
+documents all pieces are equally likely, score is lattice_score and the baseline has N = V = 0; rows that repeat are
 scored each; rows whose mark is null are not learnt from; an empty table gives an empty result;
 further columns are not read.
 """
@@ -36,7 +41,7 @@ from webgrain.llm.wordblocks import WordBlocks, Words
 MARK = "▁"
 #: Added to every piece's count.
 SMOOTHING = 0.1
-ROUNDS = 2
+ROUNDS = 0
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -60,7 +65,7 @@ class Lattice:
                     if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i))}
         self.bytes = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.begins = {piece[:n] for piece in self.ids for n in range(1, len(piece) + 1)}
-        self.processor = processor
+        self.costs = {part: self.logs[self.ids[part]] if part in self.ids else None for part in self.begins}  # beginnings of pieces: None
 
     def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
         """From each place of the marked word: (place reached, pieces)."""
@@ -80,27 +85,28 @@ class Lattice:
 
     def forward(self, word: str) -> float:
         """The natural logarithm of the probability of the word after its mark."""
-        text, ids, begins, logs = MARK + word, self.ids, self.begins, self.logs
-        total = [-math.inf] * (len(text) + 1)
+        text, get = MARK + word, self.costs.get
+        n = len(text)
+        total = [-math.inf] * (n + 1)
         total[0] = 0.0
-        for i in range(len(text)):
-            base, j, single = total[i], i + 1, False
-            while j <= len(text):
-                part = text[i:j]
-                if part not in begins:
+        for i in range(n):
+            base, single = total[i], False
+            for j in range(i + 1, n + 1):
+                cost = get(text[i:j], 0.0)
+                if cost is None:
+                    continue
+                if not cost:
                     break
-                if part in ids:
-                    single |= j == i + 1
-                    a, b = total[j], base + logs[ids[part]]
-                    total[j] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
-                j += 1
+                single |= j == i + 1
+                a, b = total[j], base + cost
+                total[j] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
             if not single:
-                a, b = total[i + 1], base + sum(logs[self.bytes[c]] for c in text[i].encode())
+                a, b = total[i + 1], base + sum(self.logs[self.bytes[c]] for c in text[i].encode())
                 total[i + 1] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
         return total[-1]
 
-    def expect(self, word: str, weight: float, sums: np.ndarray) -> None:
-        """Add to sums the expected uses of each piece in weight copies of the word."""
+    def expect(self, word: str, c: int, sums: np.ndarray) -> None:
+        """Add to sums the expected uses of each piece in the word."""
         edges, logs = self.edges(word), self.logs
         n = len(edges)
         ahead, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
@@ -115,7 +121,7 @@ class Lattice:
                 back[i] = join(back[i], back[j] + c)
         for i in range(n):
             for (j, pieces), c in zip(edges[i], costs[i], strict=True):
-                share = weight * math.exp(ahead[i] + c + back[j] - back[0])
+                share = math.exp(ahead[i] + c + back[j] - back[0])
                 for p in pieces:
                     sums[p] += share
 
@@ -153,7 +159,7 @@ def learn(words: DataFrame, ends: int, model: bytes, rounds: int = ROUNDS) -> np
 
         def add(word: str, c: int, sums: np.ndarray) -> None:
             for p in encode(word):
-                sums[p] += c
+                sums[p] += 1.0
         return add
 
     logs = _logs(np.append(_piece_sums(words, size, segment), ends))
@@ -164,19 +170,22 @@ def learn(words: DataFrame, ends: int, model: bytes, rounds: int = ROUNDS) -> np
 
 
 def score(docs: DataFrame, model: bytes, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """id_col, marked (learnt from), n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
+    """id_col, marked (learnt from), n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10 probabilities)."""
     spark = docs.sparkSession
     context = spark.sparkContext
     blocks = WordBlocks(docs, SpacedWords, id_col, text_col, learn_from)
     vocabulary = cut(blocks.vocabularies(), "vocabularies")
     words = cut(vocabulary.groupBy("word").agg(F.sum("marked").alias("c")).repartition(shuffle_partitions(spark)), "words")
-    seen, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    seen, kinds, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), *[F.count_if(x) for x in (
+        F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
     ends = blocks.rows.where("mark").count()
     tokens, kinds = int(seen) + ends, int(kinds) + (ends > 0)
+    discount = once / (once + 2 * twice) if once else 0.5
     logs = learn(words, ends, model, rounds)
     given, proto = context.broadcast(logs.tolist()), context.broadcast(model)
     floor = math.log10(tokens + kinds + 1)
-    end_score, end_base = logs[-1] / math.log(10), math.log10(ends + 1) - floor
+    end_lattice, end_base = logs[-1] / math.log(10), math.log10(ends + 1) - floor
+    end_score = math.log10((ends - discount) / tokens) if ends else end_lattice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward = Lattice(proto.value, given.value).forward
@@ -191,11 +200,14 @@ def score(docs: DataFrame, model: bytes, learn_from: Column, id_col: str = "doc_
         c, value = (own.column(k).to_numpy() for k in ("c", "value"))
         owner = np.repeat(np.arange(len(ids)), sizes)
         total = lambda x: np.bincount(owner, x[slots], len(ids)) if len(slots) else np.zeros(len(ids))
-        base = np.log10(c + 1.0) - floor
+        base, mixed = np.log10(c + 1.0) - floor, value
+        if tokens:
+            freed = math.log10(discount * kinds / tokens) + value
+            mixed = np.where(c > 0, np.logaddexp(np.log(np.maximum(c - discount, 1e-300) / tokens), freed * math.log(10)) / math.log(10), freed)
         return [pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(sizes + 1), pa.array(total(c > 0).astype(np.int64) + (ends > 0)),
-             pa.array(np.full(len(ids), tokens)), pa.array(total(base) + end_base), pa.array(total(value) + end_score)],
-            names=[id_col, "marked", "n_tokens", "n_known", "train_tokens", "base_score", "score"])]
+             pa.array(np.full(len(ids), tokens)), *(pa.array(total(x) + e) for x, e in ((base, end_base), (mixed, end_score), (value, end_lattice)))],
+            names=[id_col, "marked", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])]
 
     return blocks.assemble(results, finish, f"`{id_col}` bigint, marked boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                                            "base_score double, score double")
+                                            "base_score double, score double, lattice_score double")

@@ -88,7 +88,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _lattice.score(docs, vocabulary("piece_bpe_32k.model"), F.coalesce(fold(7) != 2, F.lit(True))).select(
-        "doc_id", (~F.col("marked")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        "doc_id", (~F.col("marked")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 QUERIES = {
