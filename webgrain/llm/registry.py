@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.llm import bytebpe as _bytebpe
+from webgrain.llm import chunk_dedup as _chunks
 from webgrain.llm import exact_dedup as _exact
 from webgrain.llm import language as _language
 from webgrain.llm import lattice as _lattice
@@ -47,6 +48,13 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.col("start") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _chunks.dedup_passages(docs).select(
+        "doc_id", "text", F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.aggregate("_removed", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).alias("removed_bytes"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, max_len=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -94,6 +102,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_records": op2_token_records,
+    "op3_passages": op3_passages,
     "op4_packing": op4_packing,
     "op5_language": op5_language,
     "op6_fingerprints": op6_fingerprints,
