@@ -1,13 +1,67 @@
-"""The corpus pipeline: stages applied one after the other, each written and read again."""
+"""The corpus pipeline: stages applied one after the other, each written and read again.
+
+1. language: documents in which no language is found go (no letter, or no language that has
+   MIN_SHARE of the letters).
+2. exact: of equal texts the row with the largest doc_id stays.
+3. near: of near copies (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays.
+4. passages: passages of 50 words and more that an earlier document has are taken out; a
+   document of nothing else goes.
+5. packing: sequences of at most 4096 token ids.
+
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from webgrain.llm import chunk_dedup, exact_dedup, language, near_dedup, packing
 from webgrain.llm.scratch import cut
+from webgrain.ship import ship
+
+MIN_SHARE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    judged = language.identify(docs, model, keep=tuple(docs.columns), with_spans=False)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.withColumn("row_id", F.monotonically_increasing_id())
+    keep = exact_dedup.exact_dedup(docs).where("kept").select("row_id")
+    return rows.join(keep, "row_id", "left_semi").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = chunk_dedup.dedup_passages(docs)
+    changed = F.col("_removed").isNotNull()
+    left = cleaned.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes()
+    return packing.pack(docs, vocabulary, end_id=2, max_len=4096).withColumn("ids_crc32", F.crc32("ids"))
+
+
+def _shipped(stage):
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
 
-STAGES: list = []
+STAGES = [(name, _shipped(stage)) for name, stage in (
+    ("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("passages", passage_stage), ("packing", packing_stage))]
 
+#: Language identification, fingerprints and chunks have no SQL form; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -39,9 +39,11 @@ SHORT_RUN = 32
 # ---- fingerprints ---------------------------------------------------------------------------
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of the shingles of `words` words of a text with A-Z lower-cased."""
+def shingle_hashes(text: bytes, words: int, least_bytes: int = 0) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of `words` words of a text with A-Z lower-cased, without shorter words unless all are."""
     tokens = text.lower().split()
+    if least_bytes:
+        tokens = [t for t in tokens if len(t) >= least_bytes] or tokens
     if not tokens:
         return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
@@ -78,13 +80,13 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, distinct: bool = False, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, distinct: bool = False, least_bytes: int = 0, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of docs and `fp`, the fingerprint as a signed 64-bit integer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column("_text")):
-                hashes = shingle_hashes(text.as_py(), words)
+                hashes = shingle_hashes(text.as_py(), words, least_bytes)
                 out[i] = fingerprint(np.unique(hashes) if distinct else hashes)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out.view(np.int64))], names=[*keep, "fp"])
 
