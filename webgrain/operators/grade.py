@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,37 +89,63 @@ FOLDS = [
 ]
 
 
+def _related(relation: str, victim: dict, primary: dict, home: str | None) -> bool:
+    pages = set(victim["pages"] or ())
+    inside = bool(pages) and pages <= set(primary["pages"])
+    if relation == "within":
+        return inside
+    if relation == "home":
+        return bool(pages) and pages <= {home}
+    if relation == "blocks":
+        return inside and bool(set(victim["blocks"] or ()) & set(primary["blocks"]))
+    if relation == "nap":
+        return bool(victim["missing"]) and set(victim["missing"]) <= {"address", "phone"}
+    if relation == "refused":
+        return bool(victim["statuses"]) and set(victim["statuses"]) <= {403, 429}
+    return True
+
+
+def fold_site(findings: list[dict]) -> dict[str, tuple[str | None, int | None, int]]:
+    """check_id -> (primary or None, row of FOLDS or None, severity rank) for the findings of one site."""
+    live = {f["check_id"]: dict(f) for f in findings}
+    out: dict[str, tuple[str | None, int | None, int]] = {}
+    home = next((f["home_url"] for f in findings if f["home_url"]), None)
+    for row, primary, victims, relation in FOLDS:
+        if primary not in live:
+            continue
+        own = live[primary]
+        group = {"pages": own["pages"] or [], "blocks": own["blocks"] or []}
+        for check_id in [c for c in live if c != primary and c.startswith(victims)]:
+            if _related(relation, live[check_id], group, home):
+                victim = live.pop(check_id)
+                out[check_id] = primary, row, victim["rank"]
+                if own["rank"] < 4:
+                    own["rank"] = max(own["top"], min(own["rank"], victim["rank"]))
+    return out | {c: (None, None, f["rank"]) for c, f in live.items()}
+
+
 def fold(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, folded) of findings: site, check_id, pages, severity, max_severity, and the optional home_url, blocks, missing, statuses.
 
     The rows of FOLDS apply in order, each to what the rows before it left. A primary inherits the worst severity of its victims up to
-    its own largest; an informational primary keeps its own. folded names the primary of each victim.
+    its own largest; an informational primary keeps its own. folded names the primary of each victim. A site has a finding a check at
+    most, so its findings are one bounded row.
     """
     schema = dict(findings.dtypes)
     extra = {"home_url": "string", "blocks": "array<string>", "missing": "array<string>", "statuses": "array<int>"}
-    live = findings.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in schema})
-    live = live.withColumn("rank", severity_rank(F.col("severity"))).withColumn("top", severity_rank(F.col("max_severity")))
-    gone = None
-    for row, primary, victims, relation in FOLDS:
-        p = live.where(F.col("check_id") == primary).groupBy("site").agg(
-            F.array_distinct(F.flatten(F.collect_list("pages"))).alias("p_pages"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("p_blocks"))
-        met = live.where(F.col("check_id") != primary).join(p, "site")
-        met = met.where(F.greatest(*[F.col("check_id").startswith(v) for v in victims], F.lit(False)))
-        inside = (F.size("pages") > 0) & (F.size(F.array_except("pages", "p_pages")) == 0)
-        met = met.where({
-            "any": F.lit(True), "within": inside, "home": (F.size("pages") > 0) & (F.size(F.array_except("pages", F.array("home_url"))) == 0),
-            "blocks": inside & F.arrays_overlap("blocks", "p_blocks"),
-            "nap": (F.size("missing") > 0) & (F.size(F.array_except("missing", F.array(F.lit("address"), F.lit("phone")))) == 0),
-            "refused": (F.size("statuses") > 0) & F.forall("statuses", lambda s: s.isin(403, 429))}[relation])
-        lost = met.select("site", "check_id", "rank", F.lit(primary).alias("folded_into"), F.lit(row).alias("fold_row"))
-        heirs = lost.groupBy("site").agg(F.min("rank").alias("worst"))
-        live = live.join(lost.select("site", "check_id"), ["site", "check_id"], "left_anti").join(heirs, "site", "left")
-        inherits = (F.col("check_id") == primary) & F.col("worst").isNotNull() & (F.col("rank") < 4)
-        live = live.withColumn("rank", F.when(inherits, F.greatest("top", F.least("rank", "worst"))).otherwise(F.col("rank"))).drop("worst")
-        part = lost.drop("rank")
-        gone = part if gone is None else gone.unionByName(part)
-    kept = live.withColumn("severity", severity_name(F.col("rank"))).drop("rank", "top", *[c for c in extra if c not in schema])
-    return kept, gone
+    rows = findings.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in schema})
+    rows = rows.withColumns({"rank": severity_rank(F.col("severity")), "top": severity_rank(F.col("max_severity"))})
+    known = ["check_id", "pages", "rank", "top", *extra]
+
+    @F.arrow_udf("array<struct<check_id:string,folded_into:string,fold_row:int,rank:int>>")
+    def verdicts(sites: pa.Array) -> pa.Array:
+        out = [[{"check_id": c, "folded_into": p, "fold_row": r, "rank": k} for c, (p, r, k) in fold_site(s).items()] for s in sites.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("check_id", pa.string()), ("folded_into", pa.string()), ("fold_row", pa.int32()), ("rank", pa.int32())])))
+
+    judged = rows.groupBy("site").agg(F.collect_list(F.struct(*known)).alias("f")).select("site", F.inline(verdicts("f"))).withColumnRenamed("rank", "new_rank")
+    met = rows.join(judged, ["site", "check_id"])
+    kept = met.where("folded_into is null").withColumn("severity", severity_name(F.col("new_rank"))).drop("rank", "top", "new_rank", "folded_into", "fold_row", *[c for c in extra if c not in schema])
+    return kept, met.where("folded_into is not null").select("site", "check_id", "folded_into", "fold_row")
 
 
 # ---- order, tags, sums ----------------------------------------------------------------------
@@ -176,10 +203,10 @@ def absence_gate(results: DataFrame, key_pages: DataFrame, read: DataFrame) -> D
     seen = expected.join(read.select("site", "role").distinct().withColumn("seen", F.lit(True)), ["site", "role"], "left").groupBy("site", "check_id").agg(
         F.count(F.lit(1)).alias("expected"), F.count("seen").alias("read"))
     scope = F.when(F.col("expected").isNull() | (F.col("read") == F.col("expected")), F.lit(None)).when(F.col("read") == 0, "role_page_not_sampled").otherwise("sample")
-    gated = results.join(seen, ["site", "check_id"], "left").withColumn("scope", scope)
-    blind = F.col("scope") == "role_page_not_sampled"
-    return gated.withColumns({"status": F.when(blind, "not_evaluated").otherwise(F.col("status")), "reason": F.when(blind, F.col("scope")).otherwise(F.col("reason")),
-                              "confidence": F.when(F.col("scope") == "sample", "low").otherwise(F.col("confidence"))}).drop("expected", "read")
+    gated = results.join(seen, ["site", "check_id"], "left").withColumn("absence_scope", scope)
+    blind = F.col("absence_scope") == "role_page_not_sampled"
+    return gated.withColumns({"status": F.when(blind, "not_evaluated").otherwise(F.col("status")), "reason": F.when(blind, F.col("absence_scope")).otherwise(F.col("reason")),
+                              "confidence": F.when(F.col("absence_scope") == "sample", "low").otherwise(F.col("confidence"))}).drop("expected", "read")
 
 
 def simulate(sites: DataFrame, facts: DataFrame) -> DataFrame:

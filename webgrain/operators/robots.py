@@ -53,7 +53,7 @@ def decide(agents: DataFrame, rules: DataFrame, asked: DataFrame, site: str = "s
     star = (F.col("agent") == "*") & (F.lower("token") != "*")
     chosen = named.groupBy(site, "token").agg(F.min_by("group_no", F.struct(star, F.col("group_no"))).alias("group_no"), F.bool_or(~star).alias("own_group"))
     governed = asked.join(chosen, [site, "token"], "left")
-    matched = governed.join(rules, [site, "group_no"]).where(decoded(F.col("path")).rlike(rule_regex(F.col("pattern"))))
+    matched = governed.join(rules, [site, "group_no"]).where(F.regexp_like(decoded(F.col("path")), rule_regex(F.col("pattern"))))
     length = F.char_length(F.rtrim(F.col("pattern"), F.lit("$")))
     text = F.concat(F.when(F.col("allow"), "Allow: ").otherwise("Disallow: "), F.col("pattern"))
     best = matched.groupBy(site, "token", "path").agg(F.max(F.struct(length.alias("length"), F.col("allow"), text.alias("rule"))).alias("best"))
