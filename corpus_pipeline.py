@@ -28,14 +28,16 @@ MIN_SHARE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    judged = language.identify(docs, model, keep=tuple(docs.columns), with_spans=False)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    judged = language.identify(rows, model, keep=("_row",), with_spans=False)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("row_id", F.monotonically_increasing_id())
-    keep = exact_dedup.exact_dedup(docs).where("kept").select("row_id")
-    return rows.join(keep, "row_id", "left_semi").select(*docs.columns)
+    rows = cut(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_key")), "exact-rows")
+    own = rows.select("_key", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    gone = exact_dedup.exact_dedup(own, row_col="_key").where("not kept").select(F.col("row_id").alias("_key"))
+    return rows.join(gone, "_key", "left_anti").select("_row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

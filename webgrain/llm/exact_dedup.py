@@ -45,16 +45,16 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
         """Judge a batch and append its new digests.
 
         Returns one row per row of docs: id_col, keep_id, group_size (rows of the batch with
-        that text), kept, text_sha256.
+        that text), kept, text_sha256, row_id (row_col, unique row numbers, where it is given).
         """
         batch = uuid.uuid4().hex
         rows = cut(docs.select(
             F.col(id_col).cast("bigint").alias("_id"),
-            F.monotonically_increasing_id().alias("_row"),
+            (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("_row"),
             F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest")), "digests")
         groups = cut(rows.groupBy("digest").agg(
             F.max(F.struct("_id", "_row")).alias("top"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
@@ -70,8 +70,8 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text",
-                buckets: int = 64) -> DataFrame:
+                buckets: int = 64, row_col: str | None = None) -> DataFrame:
     """Verdicts for docs; without an index, against a new empty one."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
-    return index.add(docs, id_col, text_col)
+    return index.add(docs, id_col, text_col, row_col)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -245,6 +246,5 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
                                               pa.array(spans, SPANS)], names=[*keep, "lang_pred", "score", "spans"])
 
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep)
-                           + ", lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    added = StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in keep] + added.fields))
