@@ -44,20 +44,30 @@ def all_matches(text: Column, name: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern(name)), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def excerpt(text: Column, name: str, before: int = 40, after: int = 100) -> Column:
     """The first match with its surroundings, cut at spaces, with an ellipsis on each cut side; null without a match."""
+    def sides(m: Column) -> Column:
+        full, start, stop = m["t"], m["s"], m["s"] + F.char_length(m["m"])
+        low, high = F.greatest(F.lit(0), start - before), F.least(F.char_length(full), stop + after)
+        return F.struct(full.alias("t"), low.alias("low"), high.alias("high"), F.locate(" ", F.substring(full, low + 1, start - low)).alias("gap"),
+                        F.locate(" ", F.reverse(F.substring(full, stop + 1, high - stop))).alias("back"))
+
+    def cut(x: Column) -> Column:
+        return F.struct(x["t"].alias("t"), F.when((x["low"] > 0) & (x["gap"] > 0), x["low"] + x["gap"]).otherwise(x["low"]).alias("low"),
+                        F.when((x["high"] < F.char_length(x["t"])) & (x["back"] > 0), x["high"] - x["back"]).otherwise(x["high"]).alias("high"))
+
+    def show(x: Column) -> Column:
+        return F.concat(F.when(x["low"] > 0, "…").otherwise(""), F.trim(F.substring(x["t"], x["low"] + 1, x["high"] - x["low"])),
+                        F.when(x["high"] < F.char_length(x["t"]), "…").otherwise(""))
+
     full = F.coalesce(text, F.lit(""))
-    start = F.regexp_instr(full, F.lit(pattern(name))) - 1
-    stop = start + F.char_length(F.regexp_extract(full, pattern(name), 0))
-    size = F.char_length(full)
-    low, high = F.greatest(F.lit(0), start - before), F.least(size, stop + after)
-    gap = F.locate(" ", F.substring(full, low + 1, start - low))
-    low_cut = F.when((low > 0) & (gap > 0), low + gap).otherwise(low)
-    tail = F.substring(full, stop + 1, high - stop)
-    back = F.locate(" ", F.reverse(tail))
-    high_cut = F.when((high < size) & (back > 0), high - back).otherwise(high)
-    body = F.trim(F.substring(full, low_cut + 1, high_cut - low_cut))
-    return F.when(start >= 0, F.concat(F.when(low_cut > 0, F.lit("…")).otherwise(""), body, F.when(high_cut < size, F.lit("…")).otherwise("")))
+    found = F.struct(full.alias("t"), (F.regexp_instr(full, F.lit(pattern(name))) - 1).alias("s"), F.regexp_extract(full, pattern(name), 0).alias("m"))
+    return let(found, lambda m: F.when(m["s"] >= 0, let(let(sides(m), cut), show)))
 
 
 def clip(text: Column, limit: int = 200) -> Column:
