@@ -41,6 +41,8 @@ from webgrain.llm.wordblocks import WordBlocks, Words
 MARK = "▁"
 #: Added to every piece's count.
 SMOOTHING = 0.1
+#: Text in a block; a block's words are rows here, so it is smaller than where they are packed.
+BLOCK_BYTES = 6 << 20
 ROUNDS = 0
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -173,7 +175,7 @@ def score(docs: DataFrame, model: bytes, learn_from: Column, id_col: str = "doc_
     """id_col, marked (learnt from), n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10 probabilities)."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    blocks = WordBlocks(docs, SpacedWords, id_col, text_col, learn_from)
+    blocks = WordBlocks(docs, SpacedWords, id_col, text_col, learn_from, BLOCK_BYTES)
     vocabulary = cut(blocks.vocabularies(), "vocabularies")
     words = cut(vocabulary.groupBy("word").agg(F.sum("marked").alias("c")).repartition(shuffle_partitions(spark)), "words")
     seen, kinds, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), *[F.count_if(x) for x in (
