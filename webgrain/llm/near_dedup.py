@@ -7,8 +7,7 @@ the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and t
 the smallest id of each linked group stays.
 
 A class is compared in one task only up to CLASS_ROWS documents; a larger one is dealt into
-blocks and every pair of blocks is a unit of work. Inside a unit a pair that is linked already
-is not compared, and a unit returns a spanning forest of its links.
+blocks and every pair of blocks is a unit of work, which returns a spanning forest of its links.
 
 Defined results: texts without words are alike, others with no shingle in common are not; fewer
 than five words make one shingle; of rows that repeat an id, and of rows with a null id (which
@@ -26,47 +25,37 @@ from pyspark.sql import functions as F
 
 from webgrain.llm.components import components
 from webgrain.llm.scratch import cut, shuffle_partitions
-from webgrain.llm.simhash import classes, fingerprints, shingle_hashes
+from webgrain.llm.simhash import classes, fingerprints, merge_labels, shingle_hashes
+from webgrain.llm.wordblocks import gather
 
 CANDIDATE_WORDS, LEAST_BYTES, MAX_BITS = 1, 4, 8
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 CLASS_ROWS = 1024
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted arrays of distinct hashes have that Jaccard similarity."""
-    small, large = sorted((len(a), len(b)))
-    if not large:
-        return True
-    if small < similarity * large:
-        return False
-    both = small + large - len(np.union1d(a, b))
-    return both >= similarity * (small + large - both)
-
-
 def unit_forest(keys: list[int], fps: np.ndarray, texts: list[bytes], max_bits: int, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the documents of a unit."""
-    n, label, out = len(keys), list(range(len(keys))), []
-    sets: dict[int, np.ndarray] = {}
-
-    def shingles(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.unique(shingle_hashes(texts[i], SHINGLE_WORDS))
-        return sets[i]
-
-    def find(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
+    """A spanning forest of the links between the documents of a unit.
+
+    The postings of a document's shingles give its shared shingles with all others in one count.
+    """
+    n = len(keys)
+    sets = [np.unique(shingle_hashes(t, SHINGLE_WORDS)) for t in texts]
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    owner, every = np.repeat(np.arange(n), sizes), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    postings, sorted_hashes = owner[order], every[order]
+    first = np.searchsorted(sorted_hashes, every, side="left")
+    counts = np.searchsorted(sorted_hashes, every, side="right") - first
+    ends, left, right = np.cumsum(sizes), [], []
     for i in range(1, n):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= max_bits).tolist():
-            a, b = find(i), find(j)
-            if a != b and alike(shingles(i), shingles(j), similarity):
-                label[max(a, b)] = min(a, b)
-                out.append((keys[i], keys[j]))
-    return out
+        own = slice(ends[i] - sizes[i], ends[i])
+        shared = np.bincount(postings[gather(first[own], counts[own])], minlength=n)[:i] if sizes[i] else np.zeros(i, np.int64)
+        alike = (shared >= similarity * (sizes[:i] + sizes[i] - shared)) & (np.bitwise_count(fps[:i] ^ fps[i]) <= max_bits)
+        found = np.flatnonzero(alike)
+        left.append(found)
+        right.append(np.full(len(found), i))
+    label = merge_labels(np.concatenate(left), np.concatenate(right), n) if left else np.arange(n)
+    return [(keys[i], keys[j]) for i, j in enumerate(label.tolist()) if i != j]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = CANDIDATE_WORDS, max_bits: int = MAX_BITS,

@@ -138,7 +138,7 @@ def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
     return fps.mapInArrow(run, "cell bigint, fp bigint")
 
 
-def _merge(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+def merge_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The smallest index that each of n rows reaches over the links i-j."""
     label = np.arange(n)
     while len(i):
@@ -184,7 +184,7 @@ def run_forest(key: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndar
         i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= max_bits]
         left.append(i)
         right.append(i + d)
-    label = _merge(np.concatenate(left), np.concatenate(right), n) if left else np.arange(n)
+    label = merge_labels(np.concatenate(left), np.concatenate(right), n) if left else np.arange(n)
     for at, count in zip(first[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
         label[at:at + count] = at + _long_run(fps[at:at + count], max_bits)
     rows = np.flatnonzero(label != np.arange(n))
@@ -223,7 +223,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int, cell_rows: int = CELL_ROWS)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     unit = F.when(F.col("i") + F.col("j") == 0, F.col("cell")).otherwise(F.xxhash64("cell", "i", "j"))
-    dealt = units.select(unit.alias("unit"), "fp").repartition(parts, "unit").sortWithinPartitions("unit")
+    dealt = units.select(unit.alias("unit"), "fp").repartition(parts, "unit").sortWithinPartitions("unit", "fp")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
