@@ -37,7 +37,7 @@ FOREIGN = 50.0
 #: A language uses a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 WORDS_AT_ONCE = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 #: First code points of the ranges of common scripts, and the script that starts there (0: any other).
 SCRIPT_STARTS = [
