@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm.scratch import shuffle_partitions
-from webgrain.llm.wordblocks import WordBlocks, Words, gather
+from webgrain.llm.wordblocks import WordBlocks, Words, gather, pack_strings, unpack_strings
 
 #: White space other than space and line feed, and runs of white space with a space in them.
 _UNEVEN = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|  | \n|\n ")
 #: A pattern by which any text is one pre-token.
 WHOLE = r"(?s:.+)"
+#: Buckets of words for each shuffle partition.
+BUCKETS = 2
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -54,39 +56,56 @@ class PreTokens(Words):
             out.append(words.setdefault(token.encode(), len(words)))
         return np.array(out, np.uint32).tobytes()
 
-    def slots(self, text: str) -> bytes:
+    def _pieces(self, text: str) -> tuple[bytes, list[str]] | None:
+        """The slots of what stands before the first space and the pieces after it, all known; None for a text that is split whole."""
         if text.startswith(" ") or text.endswith(" ") or _UNEVEN.search(text):
-            return self._split(text)
+            return None
         pieces, known = text.split(" "), self.pieces
         first, rest = self._split(pieces[0]), pieces[1:]
-        for piece in dict.fromkeys(p for p in rest if p not in known):
+        for piece in [p for p in dict.fromkeys(rest) if p not in known]:
             known[piece] = self._split(" " + piece)
-        return first + b"".join(map(known.__getitem__, rest))
+        return first, rest
+
+    def slots(self, text: str) -> bytes:
+        found = self._pieces(text)
+        return self._split(text) if found is None else found[0] + b"".join(map(self.pieces.__getitem__, found[1]))
+
+    def note(self, text: str) -> bytes:
+        if self._pieces(text) is None:
+            self._split(text)
+        return b""
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids): ids as little-endian unsigned 32-bit integers. ranks: the bytes of a .tiktoken file."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    blocks = WordBlocks(docs, lambda: PreTokens(pattern), id_col, text_col)
+    blocks, parts = WordBlocks(docs, lambda: PreTokens(pattern), id_col, text_col), shuffle_partitions(docs.sparkSession)
+    buckets = BUCKETS * parts
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = tiktoken.Encoding("own", pat_str=WHOLE, mergeable_ranks=read_ranks(shared.value), special_tokens={}).encode_ordinary
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
+        last = None
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(run(word.decode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slot"), pa.array(out, pa.binary())], names=["block", "slot", "ids"])
-
-    words = blocks.vocabularies().select("block", "slot", "word").repartition(shuffle_partitions(docs.sparkSession), "word")
-    results = words.sortWithinPartitions("word").mapInArrow(encode_words, "block bigint, slot int, ids binary")
+            for block, bucket, packed in zip(batch.column("block"), batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                if bucket != last:
+                    known, last = {}, bucket
+                lengths, data = unpack_strings(packed.as_py())
+                ends = np.cumsum(lengths).tolist()
+                words = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(run(word.decode()), "<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([bucket], pa.int32()), pa.array(
+                    [pack_strings([known[w] for w in words])], pa.binary())], names=["block", "bucket", "ids"])
+
+    words = blocks.packed_vocabularies(buckets).repartition(parts, "bucket")
+    results = words.sortWithinPartitions("bucket").mapInArrow(encode_words, "block bigint, bucket int, ids binary")
 
     def finish(own: pa.Table, ids: list, marks: list, sizes: np.ndarray, slots: np.ndarray) -> list[pa.RecordBatch]:
-        parts = own.column("ids").to_pylist()
-        every = np.frombuffer(b"".join(parts), "<u4")
-        lengths = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+        unpacked = [unpack_strings(p) for p in own.column("ids").to_pylist()]
+        lengths = np.concatenate([n for n, _ in unpacked]) // 4 if unpacked else np.empty(0, np.int64)
+        every = np.frombuffer(b"".join(d for _, d in unpacked), "<u4")
         starts, ends, out = np.cumsum(lengths) - lengths, np.cumsum(sizes), []
         for at in range(0, len(ids), 256):
             stop = min(at + 256, len(ids))
@@ -98,7 +117,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=[id_col, "ids"]))
         return out
 
-    return blocks.assemble(results, finish, f"`{id_col}` bigint, ids binary")
+    return blocks.assemble(results, finish, f"`{id_col}` bigint, ids binary", buckets)
 
 
 def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:

@@ -7,12 +7,16 @@ block however often the word occurs, and results return to the block by slot. A
 unit that is put together again, so no task holds more than a block, or one document if that is
 longer.
 
+Rows for words can also be packed: a block's words are dealt into buckets by a hash, and all its words of a bucket travel as one
+compressed row, in order, so that results need no slot of their own.
+
 Blocks are formed twice, once for the vocabularies and once for the sequences, over the same
 partitions: the documents must come straight from a table in files.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 24 << 20
 
 
 class Words:
@@ -35,6 +39,10 @@ class Words:
         """The slots of a text's words, as unsigned 32-bit integers."""
         raise NotImplementedError
 
+    def note(self, text: str) -> bytes:
+        """Take in a text's words where their order is of no interest."""
+        return self.slots(text)
+
 
 class WordBlocks:
     """docs: id_col, text_col and, if given, the boolean mark_col. splitter makes a Words for each block."""
@@ -45,7 +53,7 @@ class WordBlocks:
         self.rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                                 F.coalesce(mark, F.lit(False)).alias("mark") if mark is not None else F.lit(False).alias("mark"))
 
-    def _blocks(self):
+    def _blocks(self, in_order: bool = True):
         splitter, most = self.splitter, self.block_bytes
 
         def read(batches: Iterator[pa.RecordBatch]):
@@ -58,7 +66,7 @@ class WordBlocks:
                         number, size, ids, marks, slots, words = number + 1, 0, [], [], [], splitter()
                     ids.append(i)
                     marks.append(mark)
-                    slots.append(words.slots(text))
+                    slots.append(words.slots(text) if in_order else words.note(text))
                     size += len(text)
             if ids:
                 yield number, ids, marks, slots, words.words
@@ -80,13 +88,19 @@ class WordBlocks:
 
         return self.rows.mapInArrow(run, "block bigint, slot int, word binary, marked bigint")
 
-    def sequences(self) -> DataFrame:
-        """One row a block: ids and marks of its documents, their numbers of words, and all slots, compressed."""
+    def sequences(self, buckets: int = 0) -> DataFrame:
+        """One row a block: ids and marks of its documents, their numbers of words, and all slots, compressed. With buckets, slots are in the packed order."""
         read = self._blocks()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block, ids, marks, slots, _ in read(batches):
-                packed = zstandard.compress(b"".join(slots), 1)
+            for block, ids, marks, slots, words in read(batches):
+                every = np.frombuffer(b"".join(slots), np.uint32)
+                if buckets:
+                    order, _, _ = packed_order(words, buckets)
+                    place = np.empty(len(order), np.uint32)
+                    place[order] = np.arange(len(order), dtype=np.uint32)
+                    every = place[every] if len(order) else every
+                packed = zstandard.compress(every.tobytes(), 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())),
                      pa.array([[len(s) // 4 for s in slots]], pa.list_(pa.int32())), pa.array([packed], pa.binary())],
@@ -94,19 +108,58 @@ class WordBlocks:
 
         return self.rows.mapInArrow(run, "block bigint, ids array<bigint>, marks array<boolean>, sizes array<int>, slots binary")
 
-    def assemble(self, results: DataFrame, finish: Callable[[pa.Table, list, list, np.ndarray, np.ndarray], Iterator[pa.RecordBatch] | list], schema: str) -> DataFrame:
-        """Bring results (block, slot, ...) back to their blocks.
+    def packed_vocabularies(self, buckets: int) -> DataFrame:
+        """(block, bucket, words): the words of a block and bucket, ascending and packed."""
+        read = self._blocks(in_order=False)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, _, _, _, words in read(batches):
+                _, listed, own = packed_order(words, buckets)
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.empty(0, np.int64)
+                ends = [*first[1:].tolist(), len(own)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), block)), pa.array(own[first].astype(np.int32)),
+                     pa.array([pack_strings(listed[a:b]) for a, b in zip(first.tolist(), ends, strict=True)] if len(first) else [], pa.binary())],
+                    names=["block", "bucket", "words"])
+
+        return self.rows.mapInArrow(run, "block bigint, bucket int, words binary")
+
+    def assemble(self, results: DataFrame, finish: Callable[[pa.Table, list, list, np.ndarray, np.ndarray], Iterator[pa.RecordBatch] | list], schema: str,
+                 buckets: int = 0) -> DataFrame:
+        """Bring results (block, slot, ...; packed: block, bucket, ...) back to their blocks.
 
         finish gets a block's results ordered by slot, ids and marks of its documents, their
         numbers of words and all slots, and returns record batches.
         """
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             row = right.to_pylist()[0]
-            left = left.sort_by("slot") if left.num_rows else left
+            left = left.sort_by("bucket" if buckets else "slot") if left.num_rows else left
             slots = np.frombuffer(zstandard.decompress(row["slots"]), np.uint32)
             return pa.Table.from_batches(list(finish(left, row["ids"], row["marks"], np.array(row["sizes"], np.int64), slots)))
 
-        return results.groupBy("block").cogroup(self.sequences().groupBy("block")).applyInArrow(run, schema)
+        return results.groupBy("block").cogroup(self.sequences(buckets).groupBy("block")).applyInArrow(run, schema)
+
+
+def packed_order(words: dict[bytes, int], buckets: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The places of the words in order of bucket and word, the words in that order, and their buckets."""
+    listed = list(words)
+    own = np.fromiter((zlib.crc32(w) % buckets for w in listed), np.int64, len(listed))
+    order = np.array(sorted(range(len(listed)), key=listed.__getitem__), np.int64)
+    order = order[np.argsort(own[order], kind="stable")] if len(order) else order
+    return order, [listed[i] for i in order.tolist()], own[order]
+
+
+def pack_strings(values: list[bytes]) -> bytes:
+    """Byte strings as one compressed string: their number, their lengths, then all bytes."""
+    lengths = np.fromiter(map(len, values), np.uint32, len(values))
+    return zstandard.compress(np.uint32(len(values)).tobytes() + lengths.tobytes() + b"".join(values), 3)
+
+
+def unpack_strings(packed: bytes) -> tuple[np.ndarray, bytes]:
+    """(lengths, all bytes)."""
+    data = zstandard.decompress(packed)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    return np.frombuffer(data, np.uint32, n, 4).astype(np.int64), data[4 * (n + 1):]
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
