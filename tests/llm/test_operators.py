@@ -186,6 +186,23 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_finds_block_edits(spark):
+    """Pairs that differ by one block, at Jaccard 0.8 and more, among brute-force pairs."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(3000)]
+    rows = []
+    for i, n in enumerate(np.repeat([30, 60, 120, 400, 1500], 12).tolist()):
+        words = [vocabulary[k] for k in rng.integers(0, 3000, n)]
+        block = [vocabulary[k] for k in rng.integers(0, 3000, n // 7)]
+        other = (words + block, words[:n - n // 7], words[:n // 2] + block[:n // 12] + words[n // 2:])[i % 3]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(alike) > 40
+    kept = {r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {2 * i for i in range(len(alike))} | {2 * i + 1 for i, same in enumerate(alike) if not same}
+
+
 # ---- 3 passages
 
 
