@@ -217,6 +217,33 @@ def test_passages(spark, docs, none):
     assert out.count() == len(ROWS) and chunk_dedup.dedup_passages(none).count() == 0
 
 
+def left_by_brute_force(rows, n=50):
+    """What is left of each text when all its stretches of n words that a smaller id has are taken out."""
+    spans = {i: [m.span() for m in chunk_dedup._WORD.finditer(t.encode())] for i, t in rows}
+    owners, own = {}, {}
+    for i, t in sorted(rows):
+        words = [t.encode()[a:b] for a, b in spans[i]]
+        own[i] = [b" ".join(words[w:w + n]) for w in range(len(words) - n + 1)]
+        for x in own[i]:
+            owners.setdefault(x, i)
+    return {i: chunk_dedup.without(t.encode(), chunk_dedup.union([(spans[i][w][0], spans[i][w + n - 1][1]) for w, x in enumerate(own[i]) if owners[x] < i])).decode()
+            for i, t in rows}
+
+
+def test_passages_quoted_out_of_texts_that_have_copies(spark):
+    """Quotations from the middle of a text that has a copy or a near copy, against brute force."""
+    rng = np.random.default_rng(12)
+    words = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, k)) for k in rng.integers(2, 11, n).tolist()]
+    rows = []
+    for n in np.repeat([50, 51, 55, 60, 70, 120], 10).tolist():
+        host, at, i = words(300), int(rng.integers(60, 110)), len(rows)
+        near = [*host[:280], *words(20)]
+        rows += [(i, " ".join(host)), (i + 1, " ".join(host if n % 20 else near)), (i + 2, " ".join([*words(40), *host[at:at + n], *words(40)]))]
+    got = {r.doc_id: r.text for r in chunk_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = left_by_brute_force(rows)
+    assert [i for i in want if got[i] != want[i]] == []
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(5)
     text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)).encode()

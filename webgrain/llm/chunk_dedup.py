@@ -3,10 +3,13 @@
 Bytes are cut where a gear rolling hash of the last WINDOW bytes has its top bits clear, so the
 cuts depend on nothing but nearby text and an insertion moves only the chunks that it touches.
 Chunks are compared by a 64-bit digest. Where chunks of a document occur in another one, the
-passage around them is settled by words: of the stretches of min_words words that begin in or
-reach into a run of shared chunks and the chunks beside it, those that occur in another document
-too are repeats. Of the documents that share a stretch the one with the smallest id keeps it;
-from the others the union of their repeats is taken out. Only digests travel to be counted.
+passage around them is settled by words: of all stretches of min_words words inside a run of
+shared chunks and the text beside it, those that occur in another document too are repeats. Every
+word of a run begins a stretch, so a passage is found wherever it lies in the other document's run.
+Of the documents that share a stretch the one with the smallest id keeps it; from the others the
+union of their repeats is taken out. Only digests travel to be counted. Chunks are shared when two
+different texts have them, and of equal texts only the one with the smallest id is settled by
+stretches: each stretch of the others is one of its own, so all of them go.
 
 Defined results: a null text stays null, an empty one empty, neither has chunks; rows that
 repeat an id are one document, whose passages do not repeat each other; rows with a null id are
@@ -35,6 +38,8 @@ CUT_BITS = 5
 CHUNK_LEAST, CHUNK_MOST = 16, 1024
 MIN_WORDS = 50
 LEAST = -(1 << 63)
+#: Stretches that leave a task at once.
+SETTLED = 100_000
 
 
 def gear_table() -> np.ndarray:
@@ -60,11 +65,15 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(texts: list[bytes]) -> list[list[int]]:
-    """The ends of the chunks of each text; zero bytes keep the texts' windows apart."""
-    gap = bytes(WINDOW)
-    h = rolling(np.frombuffer(gap.join(texts), np.uint8))
-    cuts = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+def raw_cuts(texts: list[bytes]) -> np.ndarray:
+    """Where the rolling hash cuts the texts, joined by WINDOW zero bytes that keep their windows apart."""
+    h = rolling(np.frombuffer(bytes(WINDOW).join(texts), np.uint8))
+    return np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
+
+
+def chunk_ends(texts: list[bytes], cuts: np.ndarray | None = None) -> list[list[int]]:
+    """The ends of the chunks of each text."""
+    cuts = raw_cuts(texts) if cuts is None else cuts
     out, base = [], 0
     for text in texts:
         n = len(text)
@@ -120,15 +129,19 @@ _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 def stretches(text: bytes, shared: set[int], min_words: int) -> list[tuple[int, int, int]]:
     """(digest, first byte, last byte + 1) of the stretches of min_words words at runs of chunks in shared.
 
-    They begin at every word of the chunk before a run and the run's first chunk, at the first
-    word of every chunk of the run, or end at a word of the run's last chunk or the one after it.
+    A stretch begins at every word from which it lies inside a run and the text beside it: the chunk
+    after the run and, before it, all from the last cut that has none within CHUNK_LEAST bytes before
+    it. Such a cut ends a chunk wherever the text occurs, so a passage that began WINDOW and
+    CHUNK_LEAST bytes before it would have its chunks, and the run, begin there.
     """
-    ends = chunk_ends([text])[0]
+    raw = raw_cuts([text])
+    ends = chunk_ends([text], raw)[0]
     starts = [0, *ends[:-1]]
     shared = {d % (1 << 64) for d in shared}
     hit = [xxhash.xxh3_64_intdigest(text[a:b]) in shared for a, b in zip(starts, ends, strict=True)]
     if True not in hit:
         return []
+    common = raw[np.diff(raw, prepend=-CHUNK_LEAST) >= CHUNK_LEAST].tolist()
     spans = [m.span() for m in _WORD.finditer(text)]
     begins, stops = [a for a, _ in spans], [b for _, b in spans]
     wanted: set[int] = set()
@@ -138,15 +151,23 @@ def stretches(text: bytes, shared: set[int], min_words: int) -> list[tuple[int,
         while j < len(hit) and hit[j]:
             j += 1
         if j > i:
-            first, last = bisect_left(begins, starts[max(0, i - 1)]), bisect_right(stops, ends[min(j, len(ends) - 1)])
-            if last - first >= min_words:
-                wanted.update(range(first, bisect_left(begins, ends[i])))
-                wanted.update(bisect_left(begins, starts[k]) for k in range(i, j))
-                wanted.update(range(bisect_left(stops, starts[j - 1]) - min_words + 1, last - min_words + 1))
+            k = bisect_left(common, starts[i]) - 1
+            before = min(starts[max(0, i - 1)], common[k] - WINDOW - CHUNK_LEAST if k >= 0 else 0)
+            first, last = bisect_left(begins, before), bisect_right(stops, ends[min(j, len(ends) - 1)])
+            wanted.update(range(first, last - min_words + 1))
         i = j + 1
-    words = [text[a:b] for a, b in spans]
-    return [(xxhash.xxh3_64_intdigest(b" ".join(words[w:w + min_words])), begins[w], stops[w + min_words - 1])
-            for w in sorted(wanted) if 0 <= w <= len(words) - min_words]
+    if not wanted:
+        return []
+    joined = b" ".join([text[a:b] for a, b in spans])
+    at = np.cumsum([0] + [b - a + 1 for a, b in spans]).tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return [(digest(joined[at[w]:at[w + min_words] - 1]), begins[w], stops[w + min_words - 1]) for w in sorted(wanted)]
+
+
+def whole(text: bytes, min_words: int) -> list[tuple[int, int]]:
+    """The range that all stretches of a text cover together."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    return [(spans[0][0], spans[-1][1])] if len(spans) >= max(min_words, 1) else []
 
 
 def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -177,40 +198,59 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if "_removed" in docs.columns:
         raise ValueError("docs has a column _removed")
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
-    own = cut(chunks(docs.where(F.length(text_col) > 0).select(key.alias("id"), F.encode(text_col, "UTF-8").alias("body"))), "chunks")
+    body = F.col("_row").getField(text_col)
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_id"), F.xxhash64(text_col).alias("_text"))
+    own = cut(chunks(rows.where(F.length(body) > 0).select(F.col("_text").alias("id"), F.encode(body, "UTF-8").alias("body"))), "chunks")
     shared = own.join(cut(shared_digests(own), "shared"), "digest").groupBy("id").agg(F.collect_set("digest").alias("_chunks"))
-    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_id"))
-    met = cut(keyed.join(shared, keyed["_id"] == shared["id"], "left").select("_row", "_id", "_chunks"), "met")
+    copied = rows.where(F.length(body) > 0).groupBy("_text").agg(F.min(F.struct("_id", F.unhex(F.sha2(body, 256)).alias("sha"))).alias("_first"), F.max("_id").alias("_last"))
+    known = copied.where("_first._id < _last").select(F.col("_text").alias("id"), "_first").join(shared, "id", "full")
+    copy = F.coalesce((F.col("_id") > F.col("_first._id")) & (F.unhex(F.sha2(body, 256)) == F.col("_first.sha")), F.lit(False))
+    met = cut(rows.join(known, rows["_text"] == known["id"], "left").select(
+        "_row", "_id", copy.alias("_copy"), F.when(~copy, F.col("_chunks")).alias("_chunks")), "met")
     touched = met.where(F.col("_chunks").isNotNull())
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda ids, digests: pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "digest"])
         for batch in batches:
             ids, digests = [], []
             for i, text, known in zip(batch.column("_id").to_pylist(), batch.column("text"), batch.column("_chunks"), strict=True):
                 found = {d for d, _, _ in stretches((text.as_py() or "").encode(), set(known.as_py()), min_words)}
                 digests += found
                 ids += [i] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64))], names=["id", "digest"])
+                if len(ids) >= SETTLED:
+                    yield table(ids, digests)
+                    ids, digests = [], []
+            yield table(ids, digests)
 
-    passages = cut(touched.select("_id", F.col("_row").getField(text_col).alias("text"), "_chunks").mapInArrow(settle, "id bigint, digest bigint"), "stretches")
+    passages = cut(touched.select("_id", body.alias("text"), "_chunks").mapInArrow(settle, "id bigint, digest bigint"), "stretches")
     foreign = passages.join(cut(shared_digests(passages), "passages"), "digest").where("id <> owner").groupBy("id").agg(
         F.collect_set("digest").alias("_passages"))
 
+    def result(body: bytes, ranges: list[tuple[int, int]]) -> dict:
+        return {"text": without(body, ranges).decode(), "removed": [{"start": a, "end": b} for a, b in ranges] or None}
+
+    kind = pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
     @F.arrow_udf("struct<text:string,removed:array<struct<start:int,end:int>>>")
     def clean(texts: pa.Array, known: pa.Array, passages: pa.Array) -> pa.Array:
         out = []
         for text, chunk_set, passage_set in zip(texts, known, passages, strict=True):
-            text, drop, ranges = text.as_py(), passage_set.as_py(), []
-            if drop and text:
-                body, drop = text.encode(), {d % (1 << 64) for d in drop}
+            body, drop, ranges = (text.as_py() or "").encode(), passage_set.as_py(), []
+            if drop and body:
+                drop = {d % (1 << 64) for d in drop}
                 ranges = union([(a, b) for d, a, b in stretches(body, set(chunk_set.as_py()), min_words) if d in drop])
-                text = without(body, ranges).decode()
-            out.append({"text": text, "removed": [{"start": a, "end": b} for a, b in ranges] or None})
-        return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+            out.append(result(body, ranges))
+        return pa.array(out, kind)
+
+    @F.arrow_udf("struct<text:string,removed:array<struct<start:int,end:int>>>")
+    def clean_copy(texts: pa.Array) -> pa.Array:
+        bodies = [text.as_py().encode() for text in texts]
+        return pa.array([result(body, whole(body, min_words)) for body in bodies], kind)
 
-    done = touched.join(foreign, touched["_id"] == foreign["id"], "left").select(
-        "_row", clean(F.col("_row").getField(text_col), F.col("_chunks"), F.col("_passages")).alias("_done"))
-    every = done.unionByName(met.where(F.col("_chunks").isNull()).select("_row", F.lit(None).cast(done.schema["_done"].dataType).alias("_done")))
+    done = touched.join(foreign, touched["_id"] == foreign["id"], "left").select("_row", clean(body, F.col("_chunks"), F.col("_passages")).alias("_done"))
+    untouched = met.where(F.col("_chunks").isNull() & ~F.col("_copy")).select("_row", F.lit(None).cast(done.schema["_done"].dataType).alias("_done"))
+    every = done.unionByName(untouched).unionByName(met.where("_copy").select("_row", clean_copy(body).alias("_done")))
     field = lambda c: F.col("_row").getField(c)
     return every.select(*[F.coalesce("_done.text", field(c)).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns],
                         F.col("_done.removed").alias("_removed"))
