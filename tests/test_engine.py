@@ -165,3 +165,46 @@ def test_edge_checks(spark):
 def test_empty_pages(spark):
     docs = html.parse_pages(spark.createDataFrame([], "page_id long, url string, html string"))
     assert docs.count() == 0
+
+
+def test_site_categories_use_all_evidence(spark, tmp_path):
+    """A made shop, and the scores of all sites against brute force over their documents."""
+    import re
+    from urllib.parse import urlsplit
+
+    from tests.conftest import SF
+    from webgrain import queries
+    from webgrain.functions import vocab as V
+
+    page = ('<html><head><script type="application/ld+json">{"@type": "Product", "name": "x"}</script></head><body><nav><a href="/cart">Cart</a>'
+            '<a href="/product/1">Shoes</a><a href="/about">About us</a></nav><h1>Shoes</h1></body></html>')
+    made = spark.createDataFrame([(10**6, "https://shop.test/", page), (10**6 + 1, "https://shop.test/about", "<html><body><h1>About us</h1></body></html>")],
+                                 "page_id bigint, url string, html string")
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages.unionByName(made.select([made[c].cast(pages.schema[c].dataType).alias(c) for c in pages.columns])).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.site, r.category): r.score for r in queries.site_category_scores(spark, str(tmp_path)).collect()}
+    assert got["shop.test", "ecommerce"] > 0
+    assert {(r.site, r.category) for r in queries.site_categories(spark, str(tmp_path)).collect()} >= {("shop.test", "ecommerce")}
+    assert ("shop.test", "about", "https://shop.test/about") in {(r.site, r.role, r.url) for r in queries.page_roles(spark, str(tmp_path)).where("rank = 1").collect()}
+
+    docs = {}
+    for d in queries._docs(spark, str(tmp_path)).select("site", "page_id", "url", "links", "nodes").collect():
+        docs.setdefault(d.site, []).append(d)
+    bare = lambda x: " " + re.sub(r"[^\w']+", " ", x) + " "
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    caps = V.SCORE_CAPS
+    for site, own in docs.items():
+        home = min(own, key=lambda d: d.page_id)
+        links = [x for x in home.links if x.url.startswith(("http://", "https://")) and domain((urlsplit(x.url).hostname or "").lower()) == domain(site)]
+        labels = {" ".join(x.text.split()).lower() for x in links}
+        labels = {x for x in labels if x and len(x) <= 60 and len(x.split()) <= V.NAV_LABEL_MAX_WORDS}
+        paths = {urlsplit(u).path.lower() for u in [x.url for x in links] + [d.url for d in own]}
+        types = {t for d in own for n in d.nodes for t in n.types}
+        for category, sig in V.CATEGORY_SIGNALS.items():
+            hits = {next((k for k in sig["nav"] if x == k or bare(k) in bare(x)), None) for x in labels} - {None}
+            cluster = sig.get("nav_cluster")
+            score = min(len(hits), caps["nav"]) + 2 * bool(cluster and len(labels & set(cluster["members"])) >= cluster["min"])
+            score += min(sum(any(p in x for x in paths) for p in set(sig["url"])), caps["url"])
+            score += caps["tld"] * bool(set(site.split(".")[-2:]) & set(sig["tld"]))
+            score += caps["jsonld"] if types & set(sig["jsonld"]) else caps["jsonld_generic"] if types & set(sig.get("jsonld_generic", ())) else 0
+            assert got[site, category] == score, (site, category)

@@ -13,6 +13,7 @@ from webgrain.functions import vocab as V
 from webgrain.functions.dims import CONFIDENCES, SEVERITIES, dim
 from webgrain.operators import checks, facts, grade, html, relational, robots, sampling
 from webgrain.plans import audit as plan
+from webgrain.sources.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -313,6 +314,56 @@ def category_scores(spark, sf_dir):
     return sampling.score_categories(spark, sites, none, none.withColumnRenamed("text", "url"), none.withColumnRenamed("text", "type")).select("site", "category", "score")
 
 
+def _homes(docs: DataFrame) -> DataFrame:
+    """The first page of every site."""
+    firsts = docs.groupBy(F.col("site").alias("own_site")).agg(F.min("page_id").alias("first_page"))
+    return docs.join(firsts, (F.col("site") == F.col("own_site")) & (F.col("page_id") == F.col("first_page")), "left_semi")
+
+
+def _own_links(docs: DataFrame) -> DataFrame:
+    """The links of every site's home page to pages of its registrable domain."""
+    return html.explode_part(_homes(docs), "links", "site").where(F.col("url").rlike("^https?://") & sampling.sibling(F.col("url"), F.col("site")))
+
+
+def _scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Scores by the labels and paths of the home page's own links, the paths of all pages read, and the types in their structured data."""
+    links = _own_links(docs)
+    urls = links.select("site", "url").unionByName(docs.select("site", "url")).select("site", U.path(F.col("url")).alias("url"))
+    types = docs.select("site", F.explode(F.flatten(F.transform("nodes", lambda n: n["types"]))).alias("type"))
+    return sampling.score_categories(spark, docs.select("site").distinct(), links.select("site", "text"), urls, types)
+
+
+def _roles(docs: DataFrame) -> DataFrame:
+    """Candidates for the page of each role among the home page's internal links, the home page left out."""
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    homes = _homes(docs).select("site", bare("url").alias("home"))
+    links = html.explode_part(_homes(docs), "links", "site").where("internal").join(homes, "site").where(bare("url") != F.col("home"))
+    return sampling.role_candidates(links.select("site", "ord", "url", "text", "context"))
+
+
+@query()
+def site_category_scores(spark, sf_dir):
+    """Scores of every site and category by all evidence of its pages; category_scores is the part by top-level domain."""
+    return _scores(spark, written(_docs(spark, sf_dir), "documents")).select("site", "category", "score", "signals")
+
+
+@query()
+def site_categories(spark, sf_dir):
+    return sampling.categorize(_scores(spark, written(_docs(spark, sf_dir), "documents"))).select("site", "category", "confidence", "score")
+
+
+@query()
+def page_roles(spark, sf_dir):
+    """The candidates of every role for every site of the pages."""
+    return _roles(written(_docs(spark, sf_dir), "documents")).select("site", "role", "rank", "url")
+
+
+@query()
+def site_missing_roles(spark, sf_dir):
+    docs = written(_docs(spark, sf_dir), "documents")
+    return sampling.missing_roles(sampling.pick_pages(_roles(docs)), docs.select("site").distinct())
+
+
 # ---- relational forms -----------------------------------------------------------------------
 
 
@@ -499,11 +550,14 @@ def dedupe_containment(spark, sf_dir):
 
 @query()
 def audit_findings(spark, sf_dir):
-    """The whole audit: every host is a site, its first page the home page, the rest blog pages."""
-    docs = _docs(spark, sf_dir)
+    """The whole audit: every host is a site, its first page the home page, the others have the role they are picked for or are blog pages."""
+    docs = written(_docs(spark, sf_dir), "documents")
     firsts = docs.groupBy("site").agg(F.min("page_id").alias("first_page"))
-    roles = docs.join(firsts, "site").withColumns({"role": F.when(F.col("page_id") == F.col("first_page"), "home").otherwise("blog"), "page_ord": F.col("page_id").cast("int")}).drop("first_page")
-    sites = firsts.select("site", F.lit("publisher_media").alias("category"))
+    picked = written(sampling.pick_pages(_roles(docs)).select("site", F.col("role").alias("picked"), F.regexp_replace("url", "/+$", "").alias("key")), "picked")
+    role = F.when(F.col("page_id") == F.col("first_page"), "home").otherwise(F.coalesce("picked", F.lit("blog")))
+    placed = docs.join(firsts, "site").withColumn("key", F.regexp_replace("url", "/+$", "")).join(picked, ["site", "key"], "left")
+    roles = placed.withColumns({"role": role, "page_ord": F.col("page_id").cast("int")}).drop("first_page", "key", "picked")
+    sites = written(sampling.categorize(_scores(spark, docs)).select("site", "category"), "categories")
     return plan.audit(roles, sites, "2024-06-01").findings.select("site", "id", "check_id", "severity", "confidence", "impact", "priority", F.size("pages").alias("pages"), "quick_win")
 
 
