@@ -1,7 +1,7 @@
 """The corpus pipeline: stages applied one after the other, each written and read again.
 
-1. language: documents in which no language is found go (no letter, or no language that has
-   MIN_SHARE of the letters).
+1. language: documents in which no language is found go (no letter); mixed text stays, whatever the
+   shares of its languages.
 2. exact: of equal texts the row with the largest doc_id stays.
 3. near: of near copies (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays.
 4. passages: passages of 50 words and more that an earlier document has are taken out; a
@@ -23,14 +23,12 @@ from webgrain.llm import chunk_dedup, exact_dedup, language, near_dedup, packing
 from webgrain.llm.scratch import cut
 from webgrain.ship import ship
 
-MIN_SHARE = 0.5
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     rows = docs.select(F.struct("*").alias("_row"), "text")
     judged = language.identify(rows, model, keep=("_row",), with_spans=False)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select("_row.*")
+    return judged.where(F.col("lang_pred") != language.UNKNOWN).select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

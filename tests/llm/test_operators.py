@@ -450,6 +450,21 @@ def test_pipeline(spark):
     assert out.select("doc_id").distinct().count() == docs.count()
 
 
+def test_language_stage_keeps_mixed_text(spark):
+    """A document in three languages, none with half of the letters, stays; one without letters goes."""
+    import corpus_pipeline
+    from tests.conftest import SF
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = {r.lang: r.text for r in docs.where("length(text) > 800").orderBy("doc_id").collect()}
+    langs = sorted(long)[:3]
+    mixed = "\n".join(long[lang][:n] for lang, n in zip(langs, (320, 240, 240), strict=True))
+    made = spark.createDataFrame([(10**9, mixed), (10**9 + 1, "123 456 ...")], "doc_id bigint, text string")
+    every = docs.unionByName(made.select([made[c].cast(docs.schema[c].dataType).alias(c) if c in made.columns else F.lit(None).cast(docs.schema[c].dataType).alias(c)
+                                          for c in docs.columns]))
+    left = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, every, SF).select("doc_id").collect()}
+    assert 10**9 in left and 10**9 + 1 not in left
+
+
 def test_pipeline_stages_take_awkward_tables(spark, docs, none):
     import corpus_pipeline
     from tests.conftest import SF
