@@ -61,7 +61,7 @@ def _shipped(stage):
 STAGES = [(name, _shipped(stage)) for name, stage in (
     ("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("passages", passage_stage), ("packing", packing_stage))]
 
-#: Language identification, fingerprints and chunks have no SQL form; tests compare each stage with brute force.
+#: Language identification, fingerprints and chunks have no SQL form; tests compare the exact, near and passages stages with brute force.
 ORACLE_SQL = None
 
 

@@ -450,6 +450,46 @@ def test_pipeline(spark):
     assert out.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Exact, near and passages stages on sf0.001 with planted block edits and quotations."""
+    import corpus_pipeline
+    from tests.conftest import SF
+    stages = dict(corpus_pipeline.STAGES)
+
+    def quoted(text, first, last):
+        spans = [m.span() for m in chunk_dedup._WORD.finditer(text.encode())]
+        return text.encode()[spans[first][0]:spans[last - 1][1]].decode()
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = [r for r in docs.orderBy("doc_id").collect() if len(r.text.split()) >= 150][:12]
+    made = []
+    for i, r in enumerate(long):
+        words, other = r.text.split(), long[i - 1].text.split()
+        made += [(10**6 + 2 * i, " ".join(words + other[:len(words) // 8] if i % 2 else words[:len(words) * 7 // 8])),
+                 (10**6 + 2 * i + 1, f"own {i} {quoted(r.text, 30, 81 + i)} end")]
+    added = spark.createDataFrame(made, "doc_id bigint, text string")
+    docs = cut(docs.unionByName(added.select([added[c].cast(docs.schema[c].dataType).alias(c) if c in added.columns else F.lit(None).cast(docs.schema[c].dataType).alias(c)
+                                              for c in docs.columns])), "planted")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    exact = {text: max(i for i, t in rows.items() if t == text) for text in set(rows.values())}
+    docs = cut(stages["exact"](spark, docs, SF), "exact")
+    assert {r.doc_id for r in docs.collect()} == set(exact.values())
+    ids = sorted(exact.values())
+    sets = {i: set(simhash.shingle_hashes(rows[i].encode(), 5).tolist()) for i in ids}
+    root = {i: i for i in ids}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    docs = cut(stages["near"](spark, docs, SF), "near")
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert set(kept) == set(root.values()) and len(kept) < len(ids) - 6
+    left = {r.doc_id: r.text for r in stages["passages"](spark, docs, SF).collect()}
+    want = left_by_brute_force(list(kept.items()))
+    assert [i for i, t in want.items() if t != left.get(i, t if not t.strip() and t != kept[i] else None)] == []
+
+
 def test_language_stage_keeps_mixed_text(spark):
     """A document in three languages, none with half of the letters, stays; one without letters goes."""
     import corpus_pipeline
