@@ -6,7 +6,8 @@ of its own, so none crosses documents and none is padded; sequences of equal len
 bucket of that length. Nothing is shuffled.
 
 Defined results: a null or empty text has one piece, the end id; rows that repeat are packed
-each; a null id stays null; an empty table gives no pieces; further columns are not read.
+each; a null id stays null; a very long text is encoded whole and its pieces leave one after the
+other; an empty table gives no pieces; further columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.llm.caches import trimmed
 from webgrain.llm.wordpiece import encoder
 
 
@@ -49,7 +51,7 @@ def pack(docs: DataFrame, vocabulary: bytes, end_id: int, max_len: int = 4096, i
                                                  names=[id_col, "start", "length", "doc_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = rows.mapInArrow(run, f"`{id_col}` bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    pieces = rows.mapInArrow(trimmed(run), f"`{id_col}` bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),
                          F.col("length").alias("bucket"))
 

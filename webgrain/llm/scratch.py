@@ -8,15 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_marked: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session; only where the setting is absent (tests, one machine) a temporary one."""
+    """This application's folder in the shared one; it goes when the application ends.
+
+    Where the setting is absent a temporary folder takes its place, but only if driver and executors
+    are one process: on a cluster executors would not see each other's files.
+    """
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='webgrain-')}"
         spark.conf.set(SETTING, root)
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    own = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(hadoop)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(own)
+    return own
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -2,23 +2,29 @@
 
 The vocabularies used here drop white space and never merge across it, so a text's ids are the
 ids of its pieces one after the other. Pieces recur, so a worker keeps the ids of those it has
-met; a piece of plain letters and marks goes straight to the library's model, any other piece
-through the library's whole chain.
+met lately, up to CACHE_BYTES. A piece of plain letters and marks goes straight to the library's
+model, any other piece through the library's whole chain, and so does a whole text that has one of
+the vocabulary's special tokens, in upper or lower case.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from webgrain.llm.caches import held
+
 #: Texts with these are handed over whole or without lower-casing first: control characters that
 #: only Python counts as white space, and all from the combining marks on.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[̀-\U0010ffff]")
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 _UPPER = bytes(range(65, 91)), bytes(range(97, 123))
+#: What the pieces that a worker keeps may take; each ENTRY_BYTES (an estimate) besides its letters and ids.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 
 def byte_letters() -> list[str]:
@@ -34,14 +40,17 @@ def byte_letters() -> list[str]:
 class PieceEncoder:
     """encode(text): the ids as the bytes of little-endian unsigned integers of `width` bytes."""
 
-    def __init__(self, vocabulary: bytes, cache_pieces: int = 400_000):
+    def __init__(self, vocabulary: bytes, cache_bytes: int = CACHE_BYTES):
         self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.limit = self.tokenizer.model, cache_pieces
+        self.model, self.half, self.used = self.tokenizer.model, cache_bytes // 2, 0
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.width = self.dtype.itemsize
+        self.width, self.code = self.dtype.itemsize, "H" if self.dtype.itemsize == 2 else "I"
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # those met lately
+        self.before: dict[str, bytes] = {}  # those met before that
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t[0] for t in special}
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -51,31 +60,25 @@ class PieceEncoder:
         if plain is None:
             return self._ids(piece)
         ids = []
-        for part in plain.groups():
-            if part:
-                ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, self.dtype).tobytes()
+        for run in plain.groups():
+            if run:
+                ids += [t.id for t in self.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))]
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _CONTROL.search(text):
+        if _CONTROL.search(text) or any(m in text for m in self.marks) and self.special.search(text):
             return self._ids(text)
         if not _BEYOND.search(text):
             text = text.encode().translate(bytes.maketrans(*_UPPER)).decode()
-        pieces, known = text.split(), self.pieces
-        if len(known) > self.limit:
-            known.clear()
+        if self.used > self.half:
+            self.pieces, self.before, self.used = {}, self.pieces, 0
+        pieces, known, before = text.split(), self.pieces, self.before
         for piece in {p for p in pieces if p not in known}:
-            known[piece] = self._piece(piece)
+            ids = known[piece] = before.get(piece) or self._piece(piece)
+            self.used += ENTRY_BYTES + len(piece) + len(ids)
         return b"".join(map(known.__getitem__, pieces))
 
 
-_encoders: dict[int, PieceEncoder] = {}
-
-
 def encoder(vocabulary: bytes) -> PieceEncoder:
-    """One encoder for each vocabulary and worker process; its cache lasts from task to task."""
-    key = hash(vocabulary)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(vocabulary)
-    return _encoders[key]
+    """One encoder for each worker process and vocabulary; what it keeps goes when the worker turns to another operator."""
+    return held("wordpiece", vocabulary, lambda: PieceEncoder(vocabulary))
