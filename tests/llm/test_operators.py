@@ -1,5 +1,6 @@
 """The training-text operators on one awkward table, against brute force."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -30,7 +31,7 @@ ROWS = [
     (12, LONG), (13, "12345 67890 !!! ???"), (14, "alpha beta. " + PASSAGE + " gamma delta."), (15, "other start, " + PASSAGE + " another end here."),
     (16, "日本語のテキスト русский текст ελληνικά"), (17, "<|endoftext|> it's we'll I'M\r\nok\tz"),
 ]
-CLASHING = ["_row", "_key", "_id", "id", "fp", "digest", "mark", "row_id", "lang_pred", "score", "ids", "text2", "block", "slot"]
+CLASHING = ["_removed", "_found", "unit", "class", "node", "root", "_row", "_key", "_id", "id", "fp", "digest", "mark", "row_id", "lang_pred", "score", "ids", "text2", "block", "slot"]
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +78,12 @@ def test_digest_index_keeps_the_first_batch(spark):
     got = {r.doc_id: (r.keep_id, r.kept) for r in index.add(spark.createDataFrame([(9, "a"), (1, "c")], "doc_id bigint, text string")).collect()}
     assert got == {9: (5, False), 1: (1, True)}
     assert index.table().count() == 3
+    again = lambda: {r.doc_id: (r.keep_id, r.kept) for r in index.add(spark.createDataFrame([(8, "d"), (7, "D"), (6, "b")], "doc_id bigint, text string"), batch="third").collect()}
+    assert again() == again() == {8: (8, True), 7: (8, False), 6: (4, False)}  # a job that died after it had appended, run again
+    assert index.table().count() == 4 and exact_dedup.DigestIndex(spark, "index_of_two_batches").buckets == 4
+    tables = len(spark.catalog.listTables())
+    exact_dedup.exact_dedup(spark.createDataFrame([(1, "x")], "doc_id bigint, text string")).collect()
+    assert len(spark.catalog.listTables()) == tables
 
 
 # ---- 8 URL rules
@@ -122,6 +129,14 @@ def test_near_classes(docs, none):
         for b in prints:
             if (a ^ b).bit_count() <= 4:
                 assert by_print[a] == by_print[b]
+    rows = [(key(r.doc_id), int(r.fingerprint, 16), key(r.component_id)) for r in got]
+    for i, f, component in rows:  # the smallest id that links lead to
+        reached, todo = {f}, [f]
+        while todo:
+            a = todo.pop()
+            todo += (more := {b for b in prints if (a ^ b).bit_count() <= 4} - reached)
+            reached |= more
+        assert component == min((k for k, g, _ in rows if g in reached and k >= 0), default=-1), i
     assert simhash.near_classes(none).count() == 0
 
 
@@ -208,7 +223,7 @@ def test_near_dedup_finds_block_edits(spark):
 
 def test_passages(spark, docs, none):
     out = chunk_dedup.dedup_passages(docs)
-    assert out.columns == [*docs.columns, "_removed"]
+    assert out.columns == [*(c for c in docs.columns if c != "_removed"), "_removed"]
     got = {key(r.doc_id): r for r in out.collect()}
     assert PASSAGE in got[14].text and got[14]._removed is None
     assert "shared20" not in got[15].text and got[15].text.startswith("other start, ") and got[15].text.endswith(" another end here.")
@@ -329,9 +344,19 @@ def test_packing(docs, none, word_bpe, word_ids):
     for r in got:
         whole[key(r.doc_id)].append((r.start, r.length, r.doc_tokens, np.frombuffer(r.ids, "<u4").tolist()))
     for (i, ids), n in want.items():
-        if n == 1 and i >= 0:
-            pieces = sorted(whole[i])
-            assert [x for p in pieces for x in p[3]] == list(ids) and all(p[2] == len(ids) for p in pieces)
+        own = sorted(p for p in whole[i] if p[2] == len(ids))
+        lengths = packing.piece_lengths(len(ids), 64)
+        same = {m for (j, other), m in want.items() if j == i and len(other) == len(ids)}
+        assert len(own) >= n * len(lengths) and same
+        ids_of = collections.Counter((p[0], tuple(p[3])) for p in own)
+        start = 0
+        for length in lengths:  # repeated rows and rows without an id, too
+            assert ids_of[start, ids[start:start + length]] >= n
+            start += length
+    assert len(got) == sum(n * len(packing.piece_lengths(len(ids), 64)) for (_, ids), n in want.items())
+    path = fresh_path(docs.sparkSession, "buckets")
+    packing.write_buckets(packing.pack(docs, word_bpe, end_id=2, max_len=64), path)
+    assert {(r.bucket, r.length) for r in docs.sparkSession.read.parquet(path).select("bucket", "length").distinct().collect()} == {(r.length, r.length) for r in got}
     assert packing.pack(none, word_bpe, end_id=2).count() == 0
     assert packing.piece_lengths(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1]
 
@@ -367,6 +392,62 @@ def test_viterbi_is_exact():
         at += n
 
 
+def test_viterbi_has_room_for_many_labels():
+    scores = np.full((4, 300), -5.0, np.float32)
+    scores[:, 250] = 0
+    assert language.viterbi(scores, np.array([4]), 2.0).tolist() == [250] * 4
+
+
+def test_language_against_plain_version(spark):
+    """Every prediction and score of the query on the smallest table, with n-grams, scripts and the search written out word by word."""
+    from tests.conftest import SF
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs.where(registry.fold(3) != 1))
+    rows = {r.doc_id: (r.text or "", r.lang) for r in docs.collect()}
+    taught = [(t, lang) for i, (t, lang) in rows.items() if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None]
+    mask = (1 << 64) - 1
+
+    def grams(word):
+        letters = [0, *map(ord, word), 0]
+        for n in language.ORDERS:
+            for at in range(len(letters) - n + 1):
+                part = letters[at:at + n]
+                if n == 1 and part == [0] or part[0] == 0 == part[-1] and n == 2:
+                    continue
+                h = 0
+                for k, c in enumerate(part, 1):
+                    h = (h * 0x100000001B3 + c + k) & mask
+                if 0 in part[1:-1] or part[0] == 0 == part[-1]:
+                    continue
+                yield (h * 0x9E3779B97F4A7C15 & mask) >> 48
+
+    counts = {lang: collections.Counter() for lang in model.langs}
+    for text, lang in taught:
+        for w in language.words_of(text):
+            counts[lang].update(grams(w))
+    totals = {lang: sum(c.values()) + 0.5 * language.BUCKETS for lang, c in counts.items()}
+    for i, (text, _) in sorted(rows.items())[::7]:
+        words, best, back = language.words_of(text), None, []
+        for w in words:
+            own = [sum(math.log((counts[lang][g] + 0.5) / totals[lang]) for g in grams(w)) for lang in model.langs]
+            if best is None:
+                best = own
+                continue
+            top = max(best)
+            back.append([k if b >= top - language.SWITCH else best.index(top) for k, b in enumerate(best)])
+            best = [max(b, top - language.SWITCH) + x for b, x in zip(best, own, strict=True)]
+        letters = collections.Counter()
+        if best:
+            label = best.index(max(best))
+            for w, step in zip(reversed(words), [*reversed(back), None], strict=True):
+                letters[label] += len(w)
+                label = step[label] if step else label
+        total = sum(letters.values())
+        k = max(range(len(model.langs)), key=lambda x: (letters[x], -x))
+        got = language.judge([text], model)[0]
+        assert (got["lang_pred"], round(got["score"], 6)) == ((model.langs[k], round(letters[k] / total, 6)) if total else ("und", 0.0)), i
+
+
 def test_held_out_accuracy(spark):
     from tests.conftest import SF
     got = registry.op5_language(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -395,6 +476,24 @@ def test_fingerprint_documents(spark, docs, none):
         n = len(t) // 3
         want[key(i), len(t), hashlib.sha256((t[:len(t) - n] + nxt[:n]).encode()).hexdigest()] += 1
     assert collections.Counter((key(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
+
+    def least(t):
+        w = t.encode().lower().split()
+        shingles = {b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        return sorted({xxhash.xxh64_intdigest(x, 42) for x in shingles})[:sketch.SIZE]
+
+    def alike(a, b):
+        union = sorted({*a, *b})[:sketch.SIZE]
+        return round(len(set(a) & set(b) & set(union)) / len(union), 9) if union else 1.0
+
+    text = lambda a: base64.b64encode(b"".join(x.to_bytes(8, "big") for x in a)).decode()
+    full = collections.Counter()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        n = len(t) // 3
+        a, b, c = least(t), least(t[:len(t) - n] + nxt[:n]), least(nxt)
+        full[key(i), text(a), text(b), alike(a, b), alike(a, c)] += 1
+    assert collections.Counter((key(r.doc_id), r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == full
     assert sketch.fingerprint_documents(none).count() == 0
     one = sketch.fingerprint_documents(spark.createDataFrame([(1, "abc def")], "doc_id bigint, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1
@@ -409,37 +508,94 @@ def test_byte_bpe(docs, none):
     got = bytebpe.decode(bytebpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).collect()
     want = collections.Counter((key(i), tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in ROWS)
     assert collections.Counter((key(r.doc_id), tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in got) == want
+    small = bytebpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=300).collect()  # many blocks a partition
+    assert collections.Counter((key(r.doc_id), bytes(r.ids)) for r in small) == collections.Counter((key(r.doc_id), bytes(r.ids)) for r in got)
+    for pattern in (public_tokenizers.PATTERN, r"[^ ]+ ?| ", r"\w+ \w+|(?s:.)"):  # the last two reach across spaces
+        other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bytebpe.read_ranks(ranks), special_tokens={})
+        own = bytebpe.PreTokens(pattern)
+        for _, t in ROWS:
+            slots = np.frombuffer(own.slots(t or ""), np.uint32).tolist()
+            names = {n: w for w, n in own.words.items()}
+            assert [x for k in slots for x in other._core_bpe.encode_single_piece(names[k])] == other.encode_ordinary(t or ""), pattern
+    assert bytebpe.splits_at_spaces(public_tokenizers.PATTERN) and not bytebpe.splits_at_spaces(r"[^ ]+ ?| ")
     assert bytebpe.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
 
 
 # ---- 10 lattice scores
 
 
-def test_forward_sums_all_segmentations():
+def ways(text, own, logs):
+    """(pieces, probability) of every segmentation of a marked word."""
+    if not text:
+        yield [], 1.0
+        return
+    found = [(own.pieces[text[:n]],) for n in range(1, len(text) + 1) if text[:n] in own.pieces]
+    lengths = [n for n in range(1, len(text) + 1) if text[:n] in own.pieces]
+    if 1 not in lengths:
+        found, lengths = [*found, tuple(own.bytes[b] for b in text[0].encode())], [*lengths, 1]
+    for pieces, n in zip(found, lengths, strict=True):
+        for rest, p in ways(text[n:], own, logs):
+            yield [*pieces, *rest], math.exp(sum(logs[x] for x in pieces)) * p
+
+
+def test_lattice_sums_all_segmentations(monkeypatch):
     model = registry.vocabulary("piece_bpe_32k.model")
-    size = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
-    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(size + 1))).tolist()
+    size = lattice.Lattice(model).size
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(size + 1)))
     own = lattice.Lattice(model, logs)
-    for word in ("the", "banana", "ünï", "日", "x"):
-        def total(at, edges=own.edges(word)):
-            return 1.0 if at == len(edges) else sum(math.exp(sum(logs[p] for p in pieces)) * total(to) for to, pieces in edges[at])
-        assert math.isclose(own.forward(word), math.log(total(0)), rel_tol=1e-9)
+    words, counts = ["the", "banana", "ünï", "日", "x", "a" * 9, "\U0001f600ok", "▁▁b", "q%%%"], np.arange(1.0, 10.0)
+    every = [list(ways(lattice.MARK + w, own, logs)) for w in words]
+    want = np.array([math.log(sum(p for _, p in e)) for e in every])
+    uses = np.zeros(size + 1)
+    for e, c, total in zip(every, counts, want, strict=True):
+        for pieces, p in e:
+            for x in pieces:
+                uses[x] += c * p / math.exp(total)
+    for long_word, cells in ((512, 1 << 16), (512, 20), (2, 1 << 16)):  # side by side, in small batches, each word alone
+        monkeypatch.setattr(lattice, "LONG_WORD", long_word)
+        monkeypatch.setattr(lattice, "CELLS", cells)
         sums = np.zeros(size + 1)
-        own.expect(word, 1, sums)
-        assert sums.sum() >= 1
+        own.expect(words, counts, sums)
+        assert np.allclose(own.forward(words), want, rtol=1e-9) and np.allclose(sums, uses, atol=1e-9)
+    assert own.forward([]).size == 0
 
 
 def test_lm_scores(docs, none):
+    """All columns against a plain version: counts, two rounds of expectation word by word, discounts, the end."""
     model = registry.vocabulary("piece_bpe_32k.model")
     mark = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    got = lattice.score(docs, model, mark).collect()
-    tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    seen = collections.Counter(w for i, t in ROWS if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
-    n, v = sum(seen.values()), len(seen)
-    want = collections.Counter((key(i), len(tokens(t)), sum(seen[w] > 0 for w in tokens(t)), n, round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for i, t in ROWS)
-    assert collections.Counter((key(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and r.score >= r.lattice_score - 1e-6 or r.n_tokens == 1 or r.n_known < r.n_tokens for r in got)
+    tokens = lambda t: [*(t or "").encode().lower().decode().split(), None]
+    split = lambda t: [*(w.decode() for w in (t or "").encode().lower().split()), None]
+    seen = collections.Counter(w for i, t in ROWS if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+    n, v, ends = sum(seen.values()), len(seen), seen[None]
+    once, twice = (sum(c == k for w, c in seen.items() if w is not None) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    first = lattice.Lattice(model)
+    logs = first.logs
+    for _ in range(lattice.ROUNDS):
+        own, uses = lattice.Lattice(model, logs), lattice.PRIOR * np.exp(first.logs[:-1])
+        uses = np.append(uses, 0.0)
+        for w, c in seen.items():
+            if w is not None:
+                own.expect_alone(lattice.MARK + w, float(c), uses)
+        logs = np.append(np.log(uses[:-1] / uses[:-1].sum()), first.logs[-1])
+    own = lattice.Lattice(model, logs)
+
+    def worth(w):
+        if w is None:
+            return math.log10((ends - discount) / n)
+        return math.log10(max(seen[w] - discount, 0) / n + discount * v / n * math.exp(own.alone(lattice.MARK + w)[-1]))
+
+    known = {w: worth(w) for _, t in ROWS for w in split(t)}
+    want = collections.Counter((key(i), len(split(t)), sum(seen[w] > 0 for w in split(t)), n, round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in split(t)), 4),
+                                round(sum(known[w] for w in split(t)), 3)) for i, t in ROWS)
+    assert tokens("a B") == split("a B")
+    for block_bytes in (lattice.BLOCK_BYTES, 300):  # one block a partition, and many
+        got = lattice.score(docs, model, mark, block_bytes=block_bytes).collect()
+        assert collections.Counter((key(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 3)) for r in got) == want
     assert lattice.score(none, model, mark).count() == 0
+    untaught = lattice.score(docs, model, F.lit(False)).collect()
+    assert len(untaught) == len(ROWS) and all(r.score < 0 and r.train_tokens == 0 for r in untaught)
 
 
 # ---- pipeline

@@ -6,7 +6,7 @@ joins each id with the table of token bytes, which has one row for each id of th
 
 Defined results: a null text is the empty text and has no ids; rows that repeat are encoded
 each; a null id stays null; ids that the vocabulary lacks make decoding fail; an empty table
-gives an empty result; further columns are not read.
+gives an empty result; a very long text is a block of its own, held whole; further columns are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.llm.caches import trimmed
 from webgrain.llm.scratch import shuffle_partitions
-from webgrain.llm.wordblocks import WordBlocks, Words, gather, pack_strings, unpack_strings
+from webgrain.llm.wordblocks import BLOCK_BYTES, WordBlocks, Words, gather, pack_strings, unpack_strings
 
 #: White space other than space and line feed, and runs of white space with a space in them.
 _UNEVEN = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|  | \n|\n ")
@@ -38,16 +40,28 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
+#: Texts that a pattern must split into the same tokens whole and space by space.
+PROBES = ["a b", "it's we'll", "1 22 3,000.5 x1", "a, b. ( c ) -- d", "Éa ßb 日本 語 😀 e", "a_b @c #d e/f 'g' \"h\"", "a's 't 'll x"]
+
+
+@lru_cache
+def splits_at_spaces(pattern: str) -> bool:
+    """Whether the pattern's tokens never reach across a space but may begin with one."""
+    find = regex.compile(pattern).findall
+    return all(find(t) == find(t.split(" ")[0]) + [x for piece in t.split(" ")[1:] for x in find(" " + piece)] for t in PROBES)
+
+
 class PreTokens(Words):
     """Pre-tokens by a pattern that matches every character and joins a token with one space before it.
 
     In evenly spaced texts what stands between spaces is split on its own, once for each distinct
-    piece of the block; other texts are split whole.
+    piece of the block; other texts, and all where the pattern fails that on PROBES, are split whole.
     """
 
     def __init__(self, pattern: str):
         super().__init__()
         self.find = regex.compile(pattern).findall
+        self.even = splits_at_spaces(pattern)
         self.pieces: dict[str, bytes] = {}
 
     def _split(self, text: str) -> bytes:
@@ -58,7 +72,7 @@ class PreTokens(Words):
 
     def _pieces(self, text: str) -> tuple[bytes, list[str]] | None:
         """The slots of what stands before the first space and the pieces after it, all known; None for a text that is split whole."""
-        if text.startswith(" ") or text.endswith(" ") or _UNEVEN.search(text):
+        if not self.even or text.startswith(" ") or text.endswith(" ") or _UNEVEN.search(text):
             return None
         pieces, known = text.split(" "), self.pieces
         first, rest = self._split(pieces[0]), pieces[1:]
@@ -76,10 +90,11 @@ class PreTokens(Words):
         return b""
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, ids): ids as little-endian unsigned 32-bit integers. ranks: the bytes of a .tiktoken file."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    blocks, parts = WordBlocks(docs, lambda: PreTokens(pattern), id_col, text_col), shuffle_partitions(docs.sparkSession)
+    blocks, parts = WordBlocks(docs, lambda: PreTokens(pattern), id_col, text_col, None, block_bytes), shuffle_partitions(docs.sparkSession)
     buckets = BUCKETS * parts
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +102,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         known: dict[bytes, bytes] = {}
         last = None
         for batch in batches:
-            for block, bucket, packed in zip(batch.column("block"), batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+            for block, bucket, packed in zip(batch.column("block").to_pylist(), batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
                 if bucket != last:
                     known, last = {}, bucket
                 lengths, data = unpack_strings(packed.as_py())
@@ -96,11 +111,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 for word in words:
                     if word not in known:
                         known[word] = np.array(run(word.decode()), "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([bucket], pa.int32()), pa.array(
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array(
                     [pack_strings([known[w] for w in words])], pa.binary())], names=["block", "bucket", "ids"])
 
     words = blocks.packed_vocabularies(buckets).repartition(parts, "bucket")
-    results = words.sortWithinPartitions("bucket").mapInArrow(encode_words, "block bigint, bucket int, ids binary")
+    results = words.sortWithinPartitions("bucket").mapInArrow(trimmed(encode_words), "block bigint, bucket int, ids binary")
 
     def finish(own: pa.Table, ids: list, marks: list, sizes: np.ndarray, slots: np.ndarray) -> list[pa.RecordBatch]:
         unpacked = [unpack_strings(p) for p in own.column("ids").to_pylist()]

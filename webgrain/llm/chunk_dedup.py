@@ -15,7 +15,7 @@ Defined results: a null text stays null, an empty one empty, neither has chunks;
 repeat an id are one document, whose passages do not repeat each other; rows with a null id are
 one document, the first of all; a text of repeats alone becomes empty but for white space; very
 long texts are cut like any other, a chunk has CHUNK_MOST bytes at most; an empty table gives an
-empty result; all columns of docs are kept, whatever their names but `_removed`.
+empty result; all columns of docs are kept, whatever their names but `removed_col`, which gives way.
 """
 
 from __future__ import annotations
@@ -193,10 +193,10 @@ def shared_digests(own: DataFrame) -> DataFrame:
     return own.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("digest", "owner")
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with passages taken out of text_col, and `_removed`: the byte ranges in the former text (null: untouched)."""
-    if "_removed" in docs.columns:
-        raise ValueError("docs has a column _removed")
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                   removed_col: str = "_removed") -> DataFrame:
+    """docs, without a column removed_col, with passages taken out of text_col, and removed_col: the byte ranges in the former text (null: untouched)."""
+    docs = docs.drop(removed_col)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST))
     body = F.col("_row").getField(text_col)
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_id"), F.xxhash64(text_col).alias("_text"))
@@ -253,4 +253,4 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = done.unionByName(untouched).unionByName(met.where("_copy").select("_row", clean_copy(body).alias("_done")))
     field = lambda c: F.col("_row").getField(c)
     return every.select(*[F.coalesce("_done.text", field(c)).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns],
-                        F.col("_done.removed").alias("_removed"))
+                        F.col("_done.removed").alias(removed_col))

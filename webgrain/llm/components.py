@@ -4,6 +4,9 @@ Every round each node hooks to its smallest neighbour, pointers are followed, an
 rewritten to what they now connect, once each; at least half of the nodes that still have links
 vanish a round. All tables are written, so hub nodes are split by adaptive execution, no round
 keeps the lineage of the one before, and only whether links are left reaches the driver.
+
+Defined results: links with a null end or from a node to itself are none; links that repeat count
+once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from pyspark.sql import functions as F
 
 from webgrain.llm.scratch import cut
 
-
 #: Times that pointers are followed before links are rewritten.
 JUMPS = 2
 

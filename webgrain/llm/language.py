@@ -7,12 +7,14 @@ with a penalty for each switch labels spans; the language with most letters is t
 and its share of all letters the score.
 
 Learning counts n-grams over a bounded sample of labelled documents: about `sample_per_lang` of
-each language, picked by a hash of the id. The model has BUCKETS x languages numbers.
+each language, picked by a hash of the id. The model has BUCKETS x languages numbers, and there are
+MOST_LANGS languages at most.
 
 Defined results: a null text, an empty one or one without a letter is `und` with score 0 and no
 span; without any training document everything is `und`; ties go to the alphabetically first
-language; rows that repeat and null ids are predicted like others; an empty table gives an empty
-result; other columns (the label, the source) are never read by a prediction.
+language; rows that repeat and null ids are predicted like others; a very long text is one row of
+words like any other, held whole; an empty table gives an empty result; other columns (the label,
+the source) are never read by a prediction, and columns that are kept may have any name.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from webgrain.llm.caches import trim, trimmed
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -36,8 +39,10 @@ SWITCH = 25.0
 FOREIGN = 50.0
 #: A language uses a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
-WORDS_AT_ONCE = 1_000_000
+#: Code points that are judged at once, besides what one text has more.
+LETTERS_AT_ONCE = 1_000_000
 CACHE_WORDS = 150_000
+MOST_LANGS = 1000
 
 #: First code points of the ranges of common scripts, and the script that starts there (0: any other).
 SCRIPT_STARTS = [
@@ -123,24 +128,24 @@ class LanguageModel:
             self._used = stop
         return np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
 
-    def forget(self) -> None:
-        if self._used > CACHE_WORDS:
+    def forget(self, most: int = CACHE_WORDS) -> None:
+        if self._used > most:
             self._index, self._scores, self._letters, self._used = {}, None, None, 0
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """The best label of each word; texts lie one after the other and all move one word a step."""
     total, labels = scores.shape
-    out = np.zeros(total, np.int8)
+    out = np.zeros(total, np.int16)
     if not total:
         return out
     order = np.argsort(-lengths, kind="stable")
     starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
     active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # texts with a word at this step
-    came = np.empty((total, labels), np.int8)
+    came = np.empty((total, labels), np.int16)
     best = scores[starts[:active[0]]].astype(np.float64)
-    own = np.arange(labels, dtype=np.int8)
-    last = np.empty(active[0], np.int8)
+    own = np.arange(labels, dtype=np.int16)
+    last = np.empty(active[0], np.int16)
     for t in range(1, len(active)):
         n = int(active[t])
         if n < len(best):
@@ -149,7 +154,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
         top = best.argmax(axis=1)
         jump = best[np.arange(n), top][:, None] - switch
         at = starts[:n] + t
-        came[at] = np.where(best >= jump, own, top[:, None].astype(np.int8))
+        came[at] = np.where(best >= jump, own, top[:, None].astype(np.int16))
         best = np.maximum(best, jump) + scores[at]
     last[:len(best)] = best.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
@@ -165,8 +170,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           smoothing: float = 0.5) -> LanguageModel:
     """Learn from the rows of docs that have a label and a text."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MOST_LANGS + 1).collect()}
     langs = sorted(counts)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} languages")
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros((SCRIPTS, 0), bool))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, -(-1_000_000 * min(n, sample_per_lang) // n))])
@@ -184,7 +191,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         i, j = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(i, pa.int32()), "slot": pa.array(j, pa.int32()), "n": pa.array(sums[i, j])})
 
-    found = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang int, slot int, n bigint")
+    found = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "lang int, slot int, n bigint")
     sums = np.zeros((BUCKETS + SCRIPTS, len(langs)))
     table = found.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most (BUCKETS + SCRIPTS) x languages rows
     sums[table["slot"].to_numpy(), table["lang"].to_numpy()] = table["n"].to_numpy()
@@ -204,47 +211,55 @@ def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
             for a, b, w in zip(at, [*at[1:], len(text)], [0, *change], strict=True)]
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))])
+
+
+def judge(texts: list[str], m: LanguageModel, switch: float = SWITCH, with_spans: bool = True) -> list[dict]:
+    """What `found` gives for each text."""
+    langs = m.langs
+    if not langs:
+        return [{"lang_pred": UNKNOWN, "score": 0.0, "spans": []} for _ in texts]
+    m.forget()
+    found = [words_of(t) for t in texts]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    rows = m.lookup([w for ws in found for w in ws])
+    weight = m._letters[rows] if len(rows) else np.empty(0, np.int64)
+    labels = viterbi(m._scores[rows], lengths, switch) if len(rows) else np.empty(0, np.int16)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    sums = np.bincount(owner * len(langs) + labels, weight, len(texts) * len(langs)).reshape(len(texts), len(langs))
+    total, top, stops = sums.sum(axis=1), sums.argmax(axis=1), np.cumsum(lengths)
+    scores = (sums[np.arange(len(texts)), top] / np.maximum(1, total)).tolist()
+    return [{"lang_pred": langs[k] if n else UNKNOWN, "score": x, "spans": _spans(t, labels[e - w:e], langs) if with_spans and n else []}
+            for t, k, n, x, e, w in zip(texts, top, total, scores, stops, lengths, strict=True)]
+
+
+def found(spark: SparkSession, text: Column, model: LanguageModel, switch: float = SWITCH, with_spans: bool = True) -> Column:
+    """A struct of lang_pred, score and the spans (start, end in code points, lang). Of a row only the text goes to Python, once."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,spans:array<struct<start:int,end:int,lang:string>>>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in columns:
+                out, texts, size = [], [], 0
+                for value in column:
+                    text = value.as_py()
+                    if texts and size + len(text) > LETTERS_AT_ONCE:
+                        out.append(pa.array(judge(texts, shared.value, switch, with_spans), FOUND))
+                        texts, size = [], 0
+                    texts.append(text)
+                    size += len(text)
+                out.append(pa.array(judge(texts, shared.value, switch, with_spans), FOUND))
+                yield pa.concat_arrays(out)
+        finally:
+            shared.value.forget(0)
+            trim()
+
+    return run.asNondeterministic()(F.coalesce(text, F.lit("")))  # so that no filter makes it run twice
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", switch: float = SWITCH,
              with_spans: bool = True) -> DataFrame:
-    """The kept columns of docs, lang_pred, score and the spans (start, end in code points, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    langs = model.langs
-
-    def judge(texts: list[str]) -> tuple[list, list, list]:
-        m = shared.value
-        m.forget()
-        found = [words_of(t) for t in texts]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        rows = m.lookup([w for ws in found for w in ws])
-        weight = m._letters[rows] if len(rows) else np.empty(0, np.int64)
-        labels = viterbi(m._scores[rows], lengths, switch) if len(rows) else np.empty(0, np.int8)
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        sums = np.bincount(owner * len(langs) + labels, weight, len(texts) * len(langs)).reshape(len(texts), len(langs))
-        total, top, stops = sums.sum(axis=1), sums.argmax(axis=1), np.cumsum(lengths)
-        names = [langs[k] if n else UNKNOWN for k, n in zip(top, total, strict=True)]
-        spans = [_spans(t, labels[e - n:e], langs) if with_spans and s else [] for t, e, n, s in zip(texts, stops, lengths, total, strict=True)]
-        return names, (sums[np.arange(len(texts)), top] / np.maximum(1, total)).tolist(), spans
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("_text")]
-            names, scores, spans = [], [], []
-            at = 0
-            while at < len(texts):
-                stop, size = at + 1, len(texts[at])
-                while stop < len(texts) and size + len(texts[stop]) <= 5 * WORDS_AT_ONCE:
-                    size += len(texts[stop])
-                    stop += 1
-                part = judge(texts[at:stop]) if langs else ([UNKNOWN] * (stop - at), [0.0] * (stop - at), [[]] * (stop - at))
-                for whole, own in zip((names, scores, spans), part, strict=True):
-                    whole += own
-                at = stop
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
-                                              pa.array(spans, SPANS)], names=[*keep, "lang_pred", "score", "spans"])
-
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    added = StructType.fromDDL("lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
-    return rows.mapInArrow(run, StructType([rows.schema[c] for c in keep] + added.fields))
+    """The kept columns of docs, lang_pred, score and spans."""
+    rows = docs.select(F.struct(*keep).alias("_row"), found(docs.sparkSession, F.col(text_col), model, switch, with_spans).alias("_found"))
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in keep], "_found.*")

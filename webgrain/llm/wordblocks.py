@@ -11,7 +11,10 @@ Rows for words can also be packed: a block's words are dealt into buckets by a h
 compressed row, in order, so that results need no slot of their own.
 
 Blocks are formed twice, once for the vocabularies and once for the sequences, over the same
-partitions: the documents must come straight from a table in files.
+partitions: the documents must come straight from a table in files. A block is named by its place
+and a checksum of its texts, and putting together fails where a name is missing on either side: rows
+that came in another order the second time, as after a shuffle that was run again, never give wrong
+words.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.llm.caches import trimmed
+
 BLOCK_BYTES = 12 << 20
 
 
@@ -57,19 +63,21 @@ class WordBlocks:
         splitter, most = self.splitter, self.block_bytes
 
         def read(batches: Iterator[pa.RecordBatch]):
-            number, size, ids, marks, slots, words = TaskContext.get().partitionId() << 32, 0, [], [], [], splitter()
+            place, number, size, ids, marks, slots, words, crc = TaskContext.get().partitionId(), 0, 0, [], [], [], splitter(), 0
+            name = lambda: xxhash.xxh64_intdigest(f"{place} {number} {len(ids)} {crc}") - (1 << 63)
             for batch in batches:
                 for i, text, mark in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("mark").to_pylist(), strict=True):
-                    text = text.as_py()
+                    data, text = text.as_buffer(), text.as_py()
                     if ids and size + len(text) > most:
-                        yield number, ids, marks, slots, words.words
-                        number, size, ids, marks, slots, words = number + 1, 0, [], [], [], splitter()
+                        yield name(), ids, marks, slots, words.words
+                        number, size, ids, marks, slots, words, crc = number + 1, 0, [], [], [], splitter(), 0
+                    crc = zlib.crc32(data, crc)
                     ids.append(i)
                     marks.append(mark)
                     slots.append(words.slots(text) if in_order else words.note(text))
                     size += len(text)
             if ids:
-                yield number, ids, marks, slots, words.words
+                yield name(), ids, marks, slots, words.words
 
         return read
 
@@ -86,7 +94,7 @@ class WordBlocks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)),
                                                       every.slice(at, n), pa.array(counts[at:at + n])], names=["block", "slot", "word", "marked"])
 
-        return self.rows.mapInArrow(run, "block bigint, slot int, word binary, marked bigint")
+        return self.rows.mapInArrow(trimmed(run), "block bigint, slot int, word binary, marked bigint")
 
     def sequences(self, buckets: int = 0) -> DataFrame:
         """One row a block: ids and marks of its documents, their numbers of words, and all slots, compressed. With buckets, slots are in the packed order."""
@@ -106,7 +114,7 @@ class WordBlocks:
                      pa.array([[len(s) // 4 for s in slots]], pa.list_(pa.int32())), pa.array([packed], pa.binary())],
                     names=["block", "ids", "marks", "sizes", "slots"])
 
-        return self.rows.mapInArrow(run, "block bigint, ids array<bigint>, marks array<boolean>, sizes array<int>, slots binary")
+        return self.rows.mapInArrow(trimmed(run), "block bigint, ids array<bigint>, marks array<boolean>, sizes array<int>, slots binary")
 
     def packed_vocabularies(self, buckets: int) -> DataFrame:
         """(block, bucket, words): the words of a block and bucket, ascending and packed."""
@@ -122,7 +130,7 @@ class WordBlocks:
                      pa.array([pack_strings(listed[a:b]) for a, b in zip(first.tolist(), ends, strict=True)] if len(first) else [], pa.binary())],
                     names=["block", "bucket", "words"])
 
-        return self.rows.mapInArrow(run, "block bigint, bucket int, words binary")
+        return self.rows.mapInArrow(trimmed(run), "block bigint, bucket int, words binary")
 
     def assemble(self, results: DataFrame, finish: Callable[[pa.Table, list, list, np.ndarray, np.ndarray], Iterator[pa.RecordBatch] | list], schema: str,
                  buckets: int = 0) -> DataFrame:
@@ -132,7 +140,9 @@ class WordBlocks:
         numbers of words and all slots, and returns record batches.
         """
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            row = right.to_pylist()[0]
+            row = right.to_pylist()[0] if right.num_rows == 1 else None
+            if row is None or not left.num_rows and any(row["sizes"]):
+                raise ValueError("the documents came in another order the second time; write them as a table first")
             left = left.sort_by("bucket" if buckets else "slot") if left.num_rows else left
             slots = np.frombuffer(zstandard.decompress(row["slots"]), np.uint32)
             return pa.Table.from_batches(list(finish(left, row["ids"], row["marks"], np.array(row["sizes"], np.int64), slots)))
