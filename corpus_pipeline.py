@@ -26,9 +26,8 @@ from webgrain.ship import ship
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    judged = language.identify(rows, model, keep=("_row",), with_spans=False)
-    return judged.where(F.col("lang_pred") != language.UNKNOWN).select("_row.*")
+    found = language.found(spark, F.col("text"), model, with_spans=False)
+    return docs.select(F.struct("*").alias("_row"), found.alias("_found")).where(F.col("_found.lang_pred") != language.UNKNOWN).select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
