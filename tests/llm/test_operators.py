@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webgrain.llm import bytebpe, chunk_dedup, exact_dedup, language, lattice, near_dedup, packing, records, registry, simhash, sketch, url_filter
+from webgrain.llm import bytebpe, chunk_dedup, exact_dedup, language, lattice, near_dedup, packing, records, registry, scratch, simhash, sketch, url_filter
 from webgrain.llm.components import components
 from webgrain.llm.scratch import cut, fresh_path
 from webgrain.llm.wordpiece import PieceEncoder
@@ -55,6 +55,23 @@ def lower(text):
     return (text or "").encode().lower().decode()
 
 
+# ---- tables between steps
+
+
+def test_steps_drop_what_led_to_the_last_result(spark):
+    import pathlib
+    own = pathlib.Path(scratch.folder(spark).removeprefix("file:"))
+    before = {p.name for p in own.iterdir()}
+    outside = cut(spark.range(3), "outside")
+    with scratch.step(spark):
+        first = cut(spark.range(5), "first")
+    assert first.count() == 5
+    with scratch.step(spark):
+        assert {p.name.split("-")[0] for p in own.iterdir() if p.name not in before} == {"outside"}
+        second = cut(spark.range(7), "second")
+    assert (outside.count(), second.count()) == (3, 7)
+
+
 # ---- 9 exact dedup
 
 

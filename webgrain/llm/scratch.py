@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _marked: set[str] = set()
+#: What the last step of each application wrote on its way, and the list that the running step adds to.
+_passing: dict[str, list[str]] = {}
+_adding: list[list[str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,7 +40,24 @@ def folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _adding:
+        _adding[-1].append(path)
+    return path
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """One of several steps, each of which begins after the result of the one before is written: the tables that led to that result go."""
+    own, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
+    for gone in _passing.pop(own, []):
+        path = jvm.org.apache.hadoop.fs.Path(gone)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _adding.append(_passing.setdefault(own, []))
+    try:
+        yield
+    finally:
+        _adding.pop()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
