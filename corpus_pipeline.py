@@ -8,7 +8,11 @@
    document of nothing else goes.
 5. packing: sequences of at most 4096 token ids.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. Null texts and texts without a letter go
+in the first stage; rows with a null id and rows that share one are documents like others, of which
+stages 2 and 3 keep one of a group, the choice among equals being free; empty tables pass through.
+
+A stage begins when the result of the one before is written: it removes the tables that led there.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.llm import chunk_dedup, exact_dedup, language, near_dedup, packing
-from webgrain.llm.scratch import cut
+from webgrain.llm.scratch import cut, step
 from webgrain.ship import ship
 
 
@@ -54,7 +58,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _shipped(stage):
-    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with step(ship(spark)):
+            return stage(spark, docs, sf_dir)
+    return run_stage
 
 
 STAGES = [(name, _shipped(stage)) for name, stage in (
