@@ -112,9 +112,8 @@ def parse_date(text: Column) -> Column:
 
 def copyright_years(text: Column, as_of: Column) -> Column:
     """The year of each copyright notice: the later one of a range, the year of as_of for an open range."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(
-        r"(?iu)(?:©|\(c\)|copyright)\s*(?:by\s+)?((?:19|20)\d{2}(?:\s*[-–—]\s*(?:(?:19|20)\d{2}|now|present|today))?)"), F.lit(1))
-    return F.transform(found, lambda y: F.when(y.rlike("(?i)(now|present|today)$"), F.year(as_of)).otherwise(F.substring(F.trim(y), -4, 4).cast("int")))
+    first, last = all_matches(text, "copyright_year", 1), all_matches(text, "copyright_year", 2)
+    return F.zip_with(first, last, lambda a, b: F.when(b.rlike(r"^\d{4}$"), b.cast("int")).when(b != "", F.year(as_of)).otherwise(a.cast("int")))
 
 
 def emails(text: Column) -> Column:

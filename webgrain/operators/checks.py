@@ -263,9 +263,12 @@ def page_flags(as_of: Column) -> dict[str, tuple[Column, Column, Column]]:
 
 
 def site_flags(as_of: Column) -> dict[str, tuple[Column, Column]]:
-    """check id -> (usable pages judged, aggregate that is true when the site fails)."""
+    """check id -> (pages judged, aggregate over all pages of the site that is true when those judged fail)."""
+    def no(judged: Column, there: Column) -> tuple[Column, Column]:
+        return judged, ~F.bool_or(F.coalesce(judged & there, F.lit(False)))
+
     usable, home = F.col("excluded").isNull(), F.col("role") == "home"
-    anchor = usable & home
+    anchor, seed = usable & home, home & (F.col("status") == 200) & ~F.col("challenge") & F.col("skipped").isNull()
     has_org = F.size(typed((*ORG_TYPES, "Person"), top=False)) > 0
     urls = F.flatten(F.transform("nodes", lambda n: F.regexp_extract_all(F.coalesce(value_of(n["json"], "sameAs"), F.lit("")), F.lit(r"https?://[^\"\s,\]]+"), F.lit(0))))
     authority = F.exists(urls, lambda u: F.greatest(*[host(u).contains(a) for a in V.AUTHORITY_HOSTS]) | (F.greatest(*[host(u).contains(a) for a in V.PROFILE_HOSTS]) & (F.col("category") == "portfolio_personal")))
@@ -275,19 +278,19 @@ def site_flags(as_of: Column) -> dict[str, tuple[Column, Column]]:
     years = copyright_years(F.col("body_text"), as_of)
     trail = F.col("breadcrumb") | (F.size(typed(("BreadcrumbList",), top=False)) > 0)
     return {
-        "cr.access.non_html_seed": (home & (F.col("status") == 200) & ~F.col("challenge") & F.col("skipped").isNull(), F.bool_or(~F.col("is_html"))),
-        "fx.jsonld.missing": (usable, F.bool_and(F.size("jsonld") == 0)),
-        "fx.jsonld.no_organization": (usable & F.col("role").isin("home", "about") & (F.size("jsonld") > 0), ~F.bool_or(has_org)),
-        "fx.content.faq_absent": (usable, ~F.bool_or(faq)),
-        "ef.entity.sameas_missing": (usable & has_org, ~F.bool_or(F.size(urls) > 0)),
-        "ef.entity.sameas_no_authority": (usable & (F.size(urls) > 0), ~F.bool_or(authority)),
-        "ef.freshness.no_visible_dates": (usable, ~F.bool_or(visible_date())),
-        "ef.freshness.stale_copyright_year": (usable & (F.size(years) > 0), F.max(F.array_max(years)) <= F.year(F.first(as_of)) - V.STALE_YEARS),
-        "ef.corroboration.press_page_missing": (usable, ~F.bool_or(press | (F.size("feeds") > 0) | (F.col("role") == "blog"))),
-        "en.nav.landmark_missing": (anchor, ~F.bool_or(nav_landmark())),
-        "en.nav.breadcrumbs_missing": (usable & ~home, ~F.bool_or(trail)),
-        "en.nav.site_search_missing": (anchor, ~F.bool_or(site_search())),
-        "en.lang.attribute_missing": (anchor, F.bool_or(F.col("lang").isNull())),
+        "cr.access.non_html_seed": (seed, F.bool_or(seed & ~F.col("is_html"))),
+        "fx.jsonld.missing": no(usable, F.size("jsonld") > 0),
+        "fx.jsonld.no_organization": no(usable & F.col("role").isin("home", "about") & (F.size("jsonld") > 0), has_org),
+        "fx.content.faq_absent": no(usable, faq),
+        "ef.entity.sameas_missing": no(usable & has_org, F.size(urls) > 0),
+        "ef.entity.sameas_no_authority": no(usable & (F.size(urls) > 0), authority),
+        "ef.freshness.no_visible_dates": no(usable, visible_date()),
+        "ef.freshness.stale_copyright_year": (usable & (F.size(years) > 0), F.max(F.when(usable, F.array_max(years))) <= F.year(F.first(as_of)) - V.STALE_YEARS),
+        "ef.corroboration.press_page_missing": no(usable, press | (F.size("feeds") > 0) | (F.col("role") == "blog")),
+        "en.nav.landmark_missing": no(anchor, nav_landmark()),
+        "en.nav.breadcrumbs_missing": no(usable & ~home, trail),
+        "en.nav.site_search_missing": no(anchor, site_search()),
+        "en.lang.attribute_missing": (anchor, F.bool_or(anchor & F.col("lang").isNull())),
     }
 
 
@@ -299,7 +302,7 @@ def prepare(docs: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Results of all page and site checks over prepare()d pages, in two aggregations by site."""
+    """Results of all page and site checks over prepare()d pages: one aggregation by site and check for page checks, one by site for site checks."""
     flags, sums = page_flags(as_of), site_flags(as_of)
     # the flags are computed once for each page, in one projection, and carried as one array
     found = F.array(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(judged, F.lit(False)).alias("judged"), F.coalesce(judged & failed, F.lit(False)).alias("failed"), conf.alias("confidence"))
@@ -313,20 +316,24 @@ def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     page_results = by_page.select("site", "check_id", F.when(F.size("hits") > 0, "fail").when(F.col("judged"), "pass").otherwise("not_evaluated").alias("status"),
                                   F.when(~F.col("judged"), "no_usable_pages").alias("reason"), F.transform("hits", lambda h: h["final_url"]).alias("pages"),
                                   F.transform("hits", lambda h: h["role"]).alias("roles"), "confidence")
-    aggregates = []
-    for i, (judged, failing) in enumerate(sums.values()):
-        aggregates += [F.bool_or(judged).alias(f"j{i}")]
-    narrowed = []
-    for k, (judged, failing) in sums.items():
-        narrowed.append(pages.where(judged).groupBy("site").agg(failing.alias("failed")).select("site", F.lit(k).alias("check_id"), "failed"))
-    every = narrowed[0]
-    for n in narrowed[1:]:
-        every = every.unionByName(n)
-    asked = pages.select("site", "category").distinct().withColumn("check_id", F.explode(F.array(*map(F.lit, sums))))
-    site_results = asked.join(every, ["site", "check_id"], "left").select(
-        "site", "check_id", F.when(F.col("failed"), "fail").when(F.col("failed").isNull(), "not_evaluated").otherwise("pass").alias("status"),
-        F.when(F.col("failed").isNull(), "no_usable_pages").alias("reason"), F.array().cast("array<string>").alias("pages"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("confidence"))
-    return page_results.unionByName(site_results)
+    # one aggregation for all site checks: whether any page was judged, and the sum over the judged pages
+    sites = pages.groupBy("site").agg(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(F.bool_or(judged), F.lit(False)).alias("judged"), failing.alias("failed")).alias(f"c{i}")
+                                        for i, (k, (judged, failing)) in enumerate(sums.items())])
+    each = sites.select("site", F.inline(F.array(*[f"c{i}" for i in range(len(sums))])))
+    site_results = each.select(
+        "site", "check_id", F.when(~F.col("judged"), "not_evaluated").when(F.col("failed"), "fail").otherwise("pass").alias("status"),
+        F.when(~F.col("judged"), "no_usable_pages").alias("reason"), F.array().cast("array<string>").alias("pages"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("confidence"))
+    return page_results.unionByName(site_results).unionByName(open_pages(pages))
+
+
+def open_pages(pages: DataFrame) -> DataFrame:
+    """Results that pages leave open: those answered by a bot challenge, and those whose markup could not be read to its end."""
+    rows = pages.select("site", F.inline(F.array(*[F.struct(F.lit(k).alias("check_id"), F.when(hit, F.struct("final_url", "role")).alias("hit"), F.lit(why).alias("why")) for k, hit, why in (
+        ("cr.access.challenge_page", F.col("challenge"), "challenge_page"), ("or.run.probe_error", F.col("parse_error").isNotNull(), "page_not_read"))])))
+    found = rows.groupBy("site", "check_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"), F.first("why").alias("why"))
+    hit = F.size("hits") > 0
+    return found.select("site", "check_id", F.when(hit, "inconclusive").otherwise("pass").alias("status"), F.when(hit, F.col("why")).alias("reason"),
+                        F.transform("hits", lambda h: h["final_url"]).alias("pages"), F.transform("hits", lambda h: h["role"]).alias("roles"), F.lit(None).cast("string").alias("confidence"))
 
 
 def apply_category(results: DataFrame, sites: DataFrame) -> DataFrame:
@@ -405,8 +412,8 @@ def link_checks(links: DataFrame) -> DataFrame:
     failed = F.coalesce(F.col("error").isin(*V.TRANSPORT_ERRORS), F.lit(False))
     clusters = judged.where(refused).groupBy("site", host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= V.BLOCKED_CLUSTER_MIN)
     blocked = links.select("site").distinct().join(clusters.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("host")), ",").alias("hosts")), "site", "left")
-    agg = judged.groupBy("site").agg(F.count_if(broken).alias("broken"), F.count_if(failed).alias("failed"))
-    return (_rows(agg, "en.links.broken_sampled", F.when(F.col("broken") > 0, "fail").when(F.col("failed") > 0, "inconclusive").otherwise("pass"), F.when((F.col("broken") == 0) & (F.col("failed") > 0), "fetcher_error"))
+    agg = judged.groupBy("site").agg(F.count_if(broken).alias("broken"), F.count_if(failed).alias("failed"), F.array_sort(F.collect_set(F.when(broken, F.col("status")))).alias("statuses"))
+    return (_rows(agg, "en.links.broken_sampled", F.when(F.col("broken") > 0, "fail").when(F.col("failed") > 0, "inconclusive").otherwise("pass"), F.when((F.col("broken") == 0) & (F.col("failed") > 0), "fetcher_error"), F.array_join("statuses", ","))
             .unionByName(_rows(blocked, "en.links.blocked_cluster", F.when(F.col("hosts").isNotNull(), "inconclusive").otherwise("pass"), F.when(F.col("hosts").isNotNull(), "fetcher_blocked"), F.col("hosts"))))
 
 
@@ -448,11 +455,11 @@ def fact_check(facts: DataFrame) -> DataFrame:
 
 def name_checks(pages: DataFrame, brands: DataFrame) -> DataFrame:
     """Name and locator facts in the visible text of home, contact and about; names that contradict each other. brands: site, brand, source."""
-    shown = pages.where(F.col("excluded").isNull() & F.col("role").isin("home", "contact", "about")).groupBy("site", "category").agg(
-        F.concat_ws("\n", F.collect_list("body_text")).alias("text"), F.bool_or(address_label(F.col("body_text")).isNotNull()).alias("address"),
+    shown = pages.where(F.col("excluded").isNull() & F.col("role").isin("home", "contact", "about")).join(brands.select("site", "brand", "source"), "site", "left").groupBy("site", "category").agg(
+        F.bool_or(F.lower("body_text").contains(F.lower("brand"))).alias("told"), F.first("source").alias("source"), F.bool_or(address_label(F.col("body_text")).isNotNull()).alias("address"),
         F.bool_or(text_phone(F.col("body_text")).isNotNull()).alias("phone"), F.bool_or(matches(F.col("body_text"), "email")).alias("email"))
-    rows = shown.join(brands, "site", "left")
-    named = (F.col("source") == "host") | F.lower("text").contains(F.lower("brand"))
+    rows = shown
+    named = (F.col("source") == "host") | F.col("told")
     located = (F.when(F.col("category") == "local_business", F.col("address") & F.col("phone")).when(F.col("category") == "portfolio_personal", F.col("email") | F.col("phone"))
                .when(F.col("category") == "unknown", F.col("address") | F.col("phone") | F.col("email")).otherwise(F.col("address") | F.col("phone")))
     gaps = F.array_join(F.filter(F.array(F.when(~named, "name"), F.when(~F.col("address"), "address"), F.when(~F.col("phone"), "phone")), lambda x: x.isNotNull()), ",")

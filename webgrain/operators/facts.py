@@ -7,6 +7,8 @@ is no fact, it does not make way for the next.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ OFFER_TYPES = ("Product", "Service", "Menu", "MenuItem", "ItemList", "Offer", "C
 MISSION_TYPES = ("NGO", "EducationalOrganization", "GovernmentOrganization", "Organization")
 ORG_TYPES = tuple(dict.fromkeys(("Organization", "Corporation", "NGO", "EducationalOrganization", "GovernmentOrganization", "NewsMediaOrganization", "OnlineStore",
                                  "ProfessionalService", *V.LOCAL_BUSINESS_TYPES)))
-CUE = r"\b(?:phone|telephone|tel|call|mobile|cell|handy|whatsapp|fax|ph|telefon|telefono|tel[eé]fono|telefone|t[eé]l[eé]phone|t[eé]l|rufnummer|hotline|fon|telefoon)\b\.?\s*:?\s*"
+#: Fixed value: how far before a number a cue word may stand.
+CUE_REACH = 30
 
 
 def value_of(json: Column, key: str) -> Column:
@@ -63,13 +66,14 @@ def digits(text: Column) -> Column:
 
 
 def text_phone(text: Column) -> Column:
-    """A number of 9 to 15 digits with a plus or after a cue word, or of 8 to 15 in any grouping after a cue."""
-    raw = V.PATTERNS["phone_text"][0]
+    """The first number of 9 to 15 digits that has a plus or a cue word up to CUE_REACH characters before it; else of 8 to 15 in any grouping after a cue."""
+    raw, cue = V.PATTERNS["phone_text"][0], re.match(r"\\b\(\?:[^)]*\)\\b", V.PATTERNS["phone_after_cue"][0])[0]
     full = F.coalesce(text, F.lit(""))
-    plus = F.filter(F.regexp_extract_all(full, F.lit(f"(?iuU)({raw})"), F.lit(1)), lambda m: F.trim(m).startswith("+") & digits(m).between(9, 15))
-    cued = F.filter(F.regexp_extract_all(full, F.lit(f"(?iuU){CUE}({raw})"), F.lit(1)), lambda m: digits(m).between(9, 15))
+    both = f"(?isuU)(?:({cue}).{{0,{CUE_REACH}}}?)?({raw})"
+    told, numbers = (F.regexp_extract_all(full, F.lit(both), F.lit(k)) for k in (1, 2))
+    fit = F.filter(F.zip_with(told, numbers, lambda c, n: F.when(((c != "") | F.trim(n).startswith("+")) & digits(n).between(9, 15), n)), lambda n: n.isNotNull())
     loose = F.filter(F.regexp_extract_all(full, F.lit(pattern("phone_after_cue")), F.lit(1)), lambda m: digits(m).between(8, 15))
-    return F.trim(F.coalesce(F.get(plus, F.lit(0)), F.get(cued, F.lit(0)), F.get(loose, F.lit(0))))
+    return F.trim(F.coalesce(F.get(fit, F.lit(0)), F.get(loose, F.lit(0))))
 
 
 def address_label(text: Column) -> Column:

@@ -64,6 +64,29 @@ def latest(results: DataFrame, seq: str = "seq") -> DataFrame:
     return results.groupBy("site", "check_id").agg(F.max_by(F.struct(*rest), seq).alias("r")).select("site", "check_id", "r.*")
 
 
+#: Which recorded answers judge which checks (beginnings of check ids).
+RECORDED_CHECKS = {"robots": ("cr.robots.",), "sitemaps": ("cr.index.sitemap_",), "edge_probes": ("cr.access.edge_", "cr.access.ua_"), "links": ("en.links.",),
+                   "missing_pages": ("en.errors.",), "lookups": ("ef.entity.wikidata_",)}
+
+
+def never_run(results: DataFrame, sites: DataFrame) -> DataFrame:
+    """results with a row, not evaluated, for each check whose answers were not recorded for a site; a check of a probe that ran stays as it is."""
+    probes = [(r[0], probe) for r in V.CHECKS for probe, begins in RECORDED_CHECKS.items() if r[0].startswith(begins)]
+    needed = results.sparkSession.createDataFrame(probes, "check_id string, probe string")
+    asked = sites.select("site").crossJoin(F.broadcast(needed))
+    ran = results.join(F.broadcast(needed), "check_id").select("site", "probe").distinct()
+    null = {c: F.lit(None).cast(t) for c, t in results.dtypes if c not in ("site", "check_id", "status", "reason")}
+    rows = asked.join(ran, ["site", "probe"], "left_anti").select("site", "check_id", F.lit("not_evaluated").alias("status"), F.lit("not_recorded").alias("reason"))
+    return results.unionByName(rows.withColumns(null)) if null else results.unionByName(rows)
+
+
+def informational(results: DataFrame) -> DataFrame:
+    """Results that were left open, as findings: of informational severity, with the registry's confidence and effort."""
+    registry = F.broadcast(dim(results.sparkSession, "check_registry").select("check_id", "stage", "effort", "max_severity", F.col("confidence").alias("usual"), "scope"))
+    rows = results.where("status = 'inconclusive'").join(registry, "check_id")
+    return rows.withColumns({"severity": F.lit("info"), "confidence": F.coalesce("confidence", "usual"), "adjustments": F.array().cast("array<string>")}).drop("usual")
+
+
 def fill_unreported(results: DataFrame, sites: DataFrame, prefix: str = "") -> DataFrame:
     """Every check of the registry for every site; what was not reported has passed."""
     registry = F.broadcast(dim(results.sparkSession, "check_registry").where(F.col("check_id").startswith(prefix)).select("check_id"))
@@ -79,19 +102,25 @@ FOLDS = [
     (3, "cr.access.non_html_seed", ("",), "home"),
     (4, "cr.render.js_gate", tuple(V.RENDER_SUPPRESSES), "within"),
     (4, "cr.render.csr_shell", tuple(V.RENDER_SUPPRESSES), "within"),
+    (5, "cr.render.js_gate", ("fx.facts.key_fact_missing",), "unread"),
+    (5, "cr.render.csr_shell", ("fx.facts.key_fact_missing",), "unread"),
     (6, "fx.jsonld.missing", ("ef.entity.sameas_missing", "fx.jsonld.no_organization"), "any"),
     (7, "fx.jsonld.malformed", ("fx.jsonld.required_props_missing",), "blocks"),
     (8, "ef.entity.nap_missing_plain_text", ("fx.facts.key_fact_missing",), "nap"),
     (9, "en.links.blocked_cluster", ("en.links.broken_sampled",), "refused"),
-    (10, "fx.identity.h1_missing_or_multiple", ("en.continuity.h1_title_mismatch",), "within"),
+    (10, "fx.identity.h1_missing_or_multiple", ("en.continuity.h1_title_mismatch", "en.hero.value_prop_unclear"), "bare"),
     (11, "cr.index.sitemap_missing", ("cr.index.sitemap_invalid",), "any"),
     (12, "ef.entity.wikidata_unavailable", ("ef.entity.wikidata_ambiguous", "ef.entity.wikidata_not_found"), "any"),
 ]
 
 
-def _related(relation: str, victim: dict, primary: dict, home: str | None) -> bool:
+def _related(relation: str, victim: dict, primary: dict, home: str | None, read: int) -> bool:
     pages = set(victim["pages"] or ())
     inside = bool(pages) and pages <= set(primary["pages"])
+    if relation == "bare":
+        return bool(pages) and pages <= set(primary["bare"])
+    if relation == "unread":
+        return home in primary["pages"] and (read <= 1 or len(set(primary["pages"])) >= read)
     if relation == "within":
         return inside
     if relation == "home":
@@ -110,13 +139,14 @@ def fold_site(findings: list[dict]) -> dict[str, tuple[str | None, int | None, i
     live = {f["check_id"]: dict(f) for f in findings}
     out: dict[str, tuple[str | None, int | None, int]] = {}
     home = next((f["home_url"] for f in findings if f["home_url"]), None)
+    read = max((f["sampled_pages"] or 0 for f in findings), default=0)
     for row, primary, victims, relation in FOLDS:
         if primary not in live:
             continue
         own = live[primary]
-        group = {"pages": own["pages"] or [], "blocks": own["blocks"] or []}
+        group = {k: own[k] or [] for k in ("pages", "blocks", "bare")}
         for check_id in [c for c in live if c != primary and c.startswith(victims)]:
-            if _related(relation, live[check_id], group, home):
+            if _related(relation, live[check_id], group, home, read):
                 victim = live.pop(check_id)
                 out[check_id] = primary, row, victim["rank"]
                 if own["rank"] < 4:
@@ -125,14 +155,14 @@ def fold_site(findings: list[dict]) -> dict[str, tuple[str | None, int | None, i
 
 
 def fold(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, folded) of findings: site, check_id, pages, severity, max_severity, and the optional home_url, blocks, missing, statuses.
+    """(kept, folded) of findings: site, check_id, pages, severity, max_severity, and the optional home_url, blocks, missing, statuses, bare (pages without a headline), sampled_pages.
 
     The rows of FOLDS apply in order, each to what the rows before it left. A primary inherits the worst severity of its victims up to
     its own largest; an informational primary keeps its own. folded names the primary of each victim. A site has a finding a check at
     most, so its findings are one bounded row.
     """
     schema = dict(findings.dtypes)
-    extra = {"home_url": "string", "blocks": "array<string>", "missing": "array<string>", "statuses": "array<int>"}
+    extra = {"home_url": "string", "blocks": "array<string>", "missing": "array<string>", "statuses": "array<int>", "bare": "array<string>", "sampled_pages": "int"}
     rows = findings.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in schema})
     rows = rows.withColumns({"rank": severity_rank(F.col("severity")), "top": severity_rank(F.col("max_severity"))})
     known = ["check_id", "pages", "rank", "top", *extra]

@@ -22,7 +22,8 @@ def nearest_gap(left: DataFrame, right: DataFrame, on: str, at: str) -> DataFram
     order = W.partitionBy(on).orderBy(at, "_side")
     own = F.when(F.col("_side") == 0, F.unix_micros(F.col(at).cast("timestamp")))
     back = F.last(own, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ahead = F.first(own, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    turned = W.partitionBy(on).orderBy(F.desc(at), "_side").rowsBetween(W.unboundedPreceding, W.currentRow)  # a running value each way, linear in a key's rows
+    ahead = F.last(own, ignorenulls=True).over(turned)
     both = a.unionByName(b, allowMissingColumns=True).withColumns({"_back": back, "_ahead": ahead})
     gap = F.least(F.unix_micros(F.col(at).cast("timestamp")) - F.col("_back"), F.col("_ahead") - F.unix_micros(F.col(at).cast("timestamp"))) / 1e6
     return both.where("_side = 1").withColumn("gap_s", gap).drop("_side", "_back", "_ahead")

@@ -65,32 +65,41 @@ def run_checks(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded
     results = parts[0]
     for part in parts[1:]:
         results = results.unionByName(part)
-    return checks.apply_category(results, sites), resolved, brands
+    return checks.apply_category(grade.never_run(results, sites), sites), resolved, brands
+
+
+def simulation_check(questions: DataFrame) -> DataFrame:
+    """Whether every question that is not merely informational can be answered from the facts; open where one cannot."""
+    asked = questions.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("answerable"), F.col("question")))), "; ").alias("open"))
+    return checks._rows(asked, "or.simulation.question_unanswerable", F.when(F.col("open") != "", "inconclusive").otherwise("pass"), F.when(F.col("open") != "", "question_unanswerable"), F.nullif("open", F.lit("")))
 
 
 def grade_results(results: DataFrame, docs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results of all checks, findings, folded)."""
     spark = docs.sparkSession
     gated = grade.absence_gate(results, dim(spark, "key_page"), docs.select("site", "role"))
-    counts = docs.groupBy("site").agg(F.count_distinct("url").cast("int").alias("sampled_pages"))
-    failed = gated.where("status = 'fail'").join(counts, "site")
-    graded = grade.adjust_severity(failed)
+    bare = F.size(F.filter("headings", lambda h: h["tag"] == "h1")) == 0
+    counts = docs.groupBy("site").agg(F.count_distinct("url").cast("int").alias("sampled_pages"), F.max(F.when(F.col("role") == "home", F.col("url"))).alias("home_url"),
+                                      F.collect_set(F.when(bare, F.col("url"))).alias("bare"))
+    graded = grade.adjust_severity(gated.where("status = 'fail'").join(counts, "site"))
     weak = F.col("capped") & ~F.col("severity").isin("low", "info")
     lone = (F.col("check_id") == "fx.facts.key_fact_missing") & (F.size(F.split("detail", ",")) == 1) & (F.col("severity") == "high")
     graded = graded.withColumn("severity", F.when(weak, "low").when(lone, "medium").otherwise(F.col("severity")))
-    missing = F.when(F.col("check_id") == "fx.facts.key_fact_missing", F.split("detail", ","))
-    kept, folded = grade.fold(graded.withColumn("missing", missing))
+    every = graded.unionByName(grade.informational(gated.join(counts, "site")), allowMissingColumns=True)
+    of = lambda check, kind: F.when(F.col("check_id") == check, F.split("detail", ",")).cast(kind)
+    kept, folded = grade.fold(every.withColumns({"missing": of("fx.facts.key_fact_missing", "array<string>"), "statuses": of("en.links.broken_sampled", "array<int>")}))
     findings = grade.tag(grade.rank_findings(grade.derive(kept)))
-    every = grade.fill_unreported(gated.select("site", "check_id", "status", "reason", "pages").dropDuplicates(["site", "check_id"]), sites)
-    return every, findings, folded
+    filled = grade.fill_unreported(gated.select("site", "check_id", "status", "reason", "pages").dropDuplicates(["site", "check_id"]), sites)
+    return filled, findings, folded
 
 
 def audit(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded | None = None) -> Audit:
     """docs: parse_pages() with role and page_ord, best read from a written table; sites: site, category; as_of: the day that counts as today."""
     results, resolved, brands = run_checks(docs, sites, as_of, recorded or Recorded())
+    questions = written(grade.simulate(sites.join(brands.select("site", "brand"), "site", "left").fillna({"brand": "the site"}), resolved), "questions")
+    results = results.unionByName(checks.apply_category(simulation_check(questions), sites))
     every, findings, folded = grade_results(written(results, "results"), docs, sites)
     every, findings = written(every, "checks"), written(findings, "findings")
-    questions = grade.simulate(sites.join(brands.select("site", "brand"), "site", "left").fillna({"brand": "the site"}), resolved)
     return Audit(every, findings, folded, resolved, questions, grade.summary(findings, every), grade.coverage(every))
 
 

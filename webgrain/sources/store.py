@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is set (tests, one machine) a temporary one."""
+    """The session's shared folder; where none is set a temporary one, if driver and executors are one process (tests)."""
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='webgrain-')}"
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
