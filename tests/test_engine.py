@@ -208,3 +208,36 @@ def test_site_categories_use_all_evidence(spark, tmp_path):
             score += caps["tld"] * bool(set(site.split(".")[-2:]) & set(sig["tld"]))
             score += caps["jsonld"] if types & set(sig["jsonld"]) else caps["jsonld_generic"] if types & set(sig.get("jsonld_generic", ())) else 0
             assert got[site, category] == score, (site, category)
+
+
+def test_titles_notices_and_numbers(spark):
+    from webgrain.operators import facts
+    from webgrain.functions import text as T
+    assert html.read_document("<html><head><title></title></head><body><svg><title>Icon</title></svg><p>x</p>", "http://a.test/")["title"] is None
+    day = F.lit("2024-06-01").cast("date")
+    years = lambda t: spark.range(1).select(T.copyright_years(F.lit(t), day)).first()[0]
+    assert [years(t) for t in ("© Acme Ltd 2019", "Copyright (c) Acme 2018", "© 2015-current", "2015")] == [[2019], [2018], [2024], []]
+    phone = spark.range(1).select(facts.text_phone(F.lit("Call 020 7946 0958 or +44 20 1234 5678"))).first()[0]
+    assert phone == "020 7946 0958"
+
+
+def test_audit_without_recordings(spark):
+    """What was not recorded is not evaluated, challenge pages and unanswerable questions are informational findings, a report has its words."""
+    from webgrain.plans import audit as plan
+    text = "<html lang=en><head><title>Acme tools</title></head><body><nav><a href=/a>A</a></nav><h1>Tools that help you build</h1><p>" + "we make tools for people who build things " * 12 + "</p></body></html>"
+    pages = spark.createDataFrame([(1, "https://a.test/", text, "home", 0, False), (2, "https://a.test/x", "<html><body>Just a moment</body></html>", "blog", 1, True)],
+                                  "page_id int, url string, html string, role string, page_ord int, challenge boolean")
+    from webgrain.sources.store import written
+    docs = written(html.parse_pages(pages), "docs")
+    result = plan.audit(docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string"), "2024-06-01")
+    status = {r.check_id: (r.status, r.reason) for r in result.checks.collect()}
+    for check in ("cr.robots.blanket_disallow", "cr.index.sitemap_missing", "cr.access.edge_block", "en.links.broken_sampled", "en.errors.soft_404", "ef.entity.wikidata_not_found"):
+        assert status[check] == ("not_evaluated", "not_recorded"), check
+    assert status["cr.access.challenge_page"][0] == "inconclusive" and status["or.run.probe_error"][0] == "pass"
+    found = {r.check_id: r for r in result.findings.collect()}
+    assert found["cr.access.challenge_page"].severity == "info" and "fx.jsonld.missing" in found
+    told = plan.report(result).first().report
+    assert told.headline.endswith(("low", "medium", "high", "critical")) and "not_recorded" in told.statement
+    ready = written(checks.prepare(docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string")), "ready")
+    plan_text = checks.grade_pages(ready, F.lit("2024-06-01").cast("date"))._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("MapInArrow") == 0 and plan_text.count("Exchange hashpartitioning") == 2  # page checks and site checks

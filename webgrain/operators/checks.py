@@ -306,15 +306,16 @@ def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     flags, sums = page_flags(as_of), site_flags(as_of)
     # the flags are computed once for each page, in one projection, and carried as one array
     found = F.array(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(judged, F.lit(False)).alias("judged"), F.coalesce(judged & failed, F.lit(False)).alias("failed"), conf.alias("confidence"))
-                      for k, (judged, failed, conf) in flags.items()])
+                      for k, (judged, failed, conf) in (flags | {k: (F.lit(True), hit, F.lit(None).cast("string")) for k, hit in open_flags().items()}).items()])
     rows = pages.select("site", "category", "final_url", "role", F.inline(found))
     worst = F.max(F.when(F.col("failed"), F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("confidence"))))
     hit = F.col("failed")
     by_page = rows.groupBy("site", "check_id").agg(
         F.bool_or("judged").alias("judged"), F.array_sort(F.collect_list(F.when(hit, F.struct("final_url", "role")))).alias("hits"),
         F.try_element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.nullif(worst, F.lit(0)).cast("int")).alias("confidence"))
-    page_results = by_page.select("site", "check_id", F.when(F.size("hits") > 0, "fail").when(F.col("judged"), "pass").otherwise("not_evaluated").alias("status"),
-                                  F.when(~F.col("judged"), "no_usable_pages").alias("reason"), F.transform("hits", lambda h: h["final_url"]).alias("pages"),
+    left_open = F.coalesce(*[F.when(F.col("check_id") == k, why) for k, why in OPEN_PAGES.items()])
+    page_results = by_page.select("site", "check_id", F.when(F.size("hits") > 0, F.when(left_open.isNull(), "fail").otherwise("inconclusive")).when(F.col("judged"), "pass").otherwise("not_evaluated").alias("status"),
+                                  F.when(~F.col("judged"), "no_usable_pages").when(F.size("hits") > 0, left_open).alias("reason"), F.transform("hits", lambda h: h["final_url"]).alias("pages"),
                                   F.transform("hits", lambda h: h["role"]).alias("roles"), "confidence")
     # one aggregation for all site checks: whether any page was judged, and the sum over the judged pages
     sites = pages.groupBy("site").agg(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(F.bool_or(judged), F.lit(False)).alias("judged"), failing.alias("failed")).alias(f"c{i}")
@@ -323,17 +324,15 @@ def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     site_results = each.select(
         "site", "check_id", F.when(~F.col("judged"), "not_evaluated").when(F.col("failed"), "fail").otherwise("pass").alias("status"),
         F.when(~F.col("judged"), "no_usable_pages").alias("reason"), F.array().cast("array<string>").alias("pages"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("confidence"))
-    return page_results.unionByName(site_results).unionByName(open_pages(pages))
+    return page_results.unionByName(site_results)
 
 
-def open_pages(pages: DataFrame) -> DataFrame:
-    """Results that pages leave open: those answered by a bot challenge, and those whose markup could not be read to its end."""
-    rows = pages.select("site", F.inline(F.array(*[F.struct(F.lit(k).alias("check_id"), F.when(hit, F.struct("final_url", "role")).alias("hit"), F.lit(why).alias("why")) for k, hit, why in (
-        ("cr.access.challenge_page", F.col("challenge"), "challenge_page"), ("or.run.probe_error", F.col("parse_error").isNotNull(), "page_not_read"))])))
-    found = rows.groupBy("site", "check_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"), F.first("why").alias("why"))
-    hit = F.size("hits") > 0
-    return found.select("site", "check_id", F.when(hit, "inconclusive").otherwise("pass").alias("status"), F.when(hit, F.col("why")).alias("reason"),
-                        F.transform("hits", lambda h: h["final_url"]).alias("pages"), F.transform("hits", lambda h: h["role"]).alias("roles"), F.lit(None).cast("string").alias("confidence"))
+#: Checks that pages leave open, and why: those answered by a bot challenge, and those whose markup could not be read to its end.
+OPEN_PAGES = {"cr.access.challenge_page": "challenge_page", "or.run.probe_error": "page_not_read"}
+
+
+def open_flags() -> dict[str, Column]:
+    return {"cr.access.challenge_page": F.col("challenge"), "or.run.probe_error": F.col("parse_error").isNotNull()}
 
 
 def apply_category(results: DataFrame, sites: DataFrame) -> DataFrame:

@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
-from webgrain.operators import checks, facts, grade, robots
+from webgrain.functions.text import majority
+from webgrain.operators import checks, facts, gates, grade, robots
+from webgrain.operators import report as words
 from webgrain.sources.store import written
 
 
@@ -74,10 +77,20 @@ def simulation_check(questions: DataFrame) -> DataFrame:
     return checks._rows(asked, "or.simulation.question_unanswerable", F.when(F.col("open") != "", "inconclusive").otherwise("pass"), F.when(F.col("open") != "", "question_unanswerable"), F.nullif("open", F.lit("")))
 
 
+def gate_sample(results: DataFrame, docs: DataFrame, sites: DataFrame) -> DataFrame:
+    """results after the gates of language, of chrome that scripts fill in, and of a sample too thin to tell."""
+    declared = docs.select("site", "page_ord", F.lower(F.substring_index("lang", "-", 1)).alias("lang"))
+    roles = F.array(*map(F.lit, V.ROLE_ORDER))
+    seen = docs.groupBy("site").agg(F.max(F.when(F.col("role") == "home", F.size("links"))).alias("links"), F.array_except(roles, F.collect_set("role")).alias("missing_roles"))
+    out = gates.language_gate(results, majority(declared, "site", "lang", "page_ord"))
+    out = gates.chrome_gate(out, docs.where(F.size("empty_chrome") > 0).select("site"))
+    return gates.press_gate(out, seen.fillna({"links": 0}))
+
+
 def grade_results(results: DataFrame, docs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results of all checks, findings, folded)."""
     spark = docs.sparkSession
-    gated = grade.absence_gate(results, dim(spark, "key_page"), docs.select("site", "role"))
+    gated = grade.absence_gate(gate_sample(results, docs, sites), dim(spark, "key_page"), docs.select("site", "role"))
     bare = F.size(F.filter("headings", lambda h: h["tag"] == "h1")) == 0
     counts = docs.groupBy("site").agg(F.count_distinct("url").cast("int").alias("sampled_pages"), F.max(F.when(F.col("role") == "home", F.col("url"))).alias("home_url"),
                                       F.collect_set(F.when(bare, F.col("url"))).alias("bare"))
@@ -112,7 +125,7 @@ def report(result: Audit) -> DataFrame:
     letters = result.coverage.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "verdict")))).alias("coverage"))
     passed = grade.passed_titles(result.checks).groupBy("site").agg(F.array_sort(F.collect_list("title")).alias("working"))
     rows = result.summary
-    for part in (found, asked, first, letters, passed):
+    for part in (found, asked, first, letters, passed, words.headline(result.summary), words.coverage_statement(result.checks)):
         rows = rows.join(part, "site", "left")
     body = F.struct(*[c for c in rows.columns if c != "site"])
     return rows.select("site", body.alias("report"), F.to_json(body).alias("json"))
@@ -122,5 +135,5 @@ def markdown(reports: DataFrame) -> DataFrame:
     """(site, markdown) of report()."""
     line = lambda f: F.concat(F.lit("- **"), f["id"], F.lit("** "), f["check_id"], F.lit(" ("), f["severity"], F.lit(", "), f["confidence"], F.lit(" confidence)"))
     count = F.coalesce(F.size("report.findings"), F.lit(0))
-    return reports.select("site", F.concat_ws("\n", F.concat(F.lit("# Audit of "), F.col("site")), F.lit(""), F.concat(F.greatest(count, F.lit(0)).cast("string"), F.lit(" findings")), F.lit(""),
+    return reports.select("site", F.concat_ws("\n", F.concat(F.lit("# Audit of "), F.col("site")), F.lit(""), F.col("report.headline"), F.lit(""), F.col("report.statement"), F.lit(""), F.concat(F.greatest(count, F.lit(0)).cast("string"), F.lit(" findings")), F.lit(""),
                                               F.array_join(F.transform("report.findings", line), "\n")).alias("markdown"))
