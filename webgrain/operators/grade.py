@@ -139,7 +139,7 @@ def fold_site(findings: list[dict]) -> dict[str, tuple[str | None, int | None, i
     live = {f["check_id"]: dict(f) for f in findings}
     out: dict[str, tuple[str | None, int | None, int]] = {}
     home = next((f["home_url"] for f in findings if f["home_url"]), None)
-    read = max((f["sampled_pages"] or 0 for f in findings), default=0)
+    read = max((f.get("sampled_pages") or 0 for f in findings), default=0)
     for row, primary, victims, relation in FOLDS:
         if primary not in live:
             continue
