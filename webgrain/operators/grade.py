@@ -144,7 +144,7 @@ def fold_site(findings: list[dict]) -> dict[str, tuple[str | None, int | None, i
         if primary not in live:
             continue
         own = live[primary]
-        group = {k: own[k] or [] for k in ("pages", "blocks", "bare")}
+        group = {k: own.get(k) or [] for k in ("pages", "blocks", "bare")}
         for check_id in [c for c in live if c != primary and c.startswith(victims)]:
             if _related(relation, live[check_id], group, home, read):
                 victim = live.pop(check_id)
