@@ -236,7 +236,10 @@ def test_audit_without_recordings(spark):
     assert status["cr.access.challenge_page"][0] == "inconclusive" and status["or.run.probe_error"][0] == "pass"
     found = {r.check_id: r for r in result.findings.collect()}
     assert found["cr.access.challenge_page"].severity == "info" and "fx.jsonld.missing" in found
-    told = plan.report(result).first().report
+    told = plan.report(result, docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string")).first().report
+    assert "summary_file" in [r.name for r in told.recommendations] and len(told.recommendations) <= 8
+    assert told.limitations[0].startswith("This report reflects a single point-in-time fetch of 2 sampled pages") and "served HTML only" in told.limitations[-1]
+    assert told.narrative.startswith("This audit read 2 pages and ran 61 checks") and "Start with F-" in told.narrative
     assert told.headline.endswith(("low", "medium", "high", "critical")) and "not_recorded" in told.statement
     ready = written(checks.prepare(docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string")), "ready")
     plan_text = checks.grade_pages(ready, F.lit("2024-06-01").cast("date"))._jdf.queryExecution().executedPlan().toString()

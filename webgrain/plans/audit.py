@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
 from webgrain.functions.text import majority
-from webgrain.operators import checks, facts, gates, grade, robots
+from webgrain.operators import checks, compose, facts, gates, grade, robots
 from webgrain.operators import report as words
 from webgrain.sources.store import written
 
@@ -116,8 +116,21 @@ def audit(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded | No
     return Audit(every, findings, folded, resolved, questions, grade.summary(findings, every), grade.coverage(every))
 
 
-def report(result: Audit) -> DataFrame:
-    """One row a site: the report as a struct column and as JSON."""
+def prose(result: Audit, docs: DataFrame, sites: DataFrame) -> list[DataFrame]:
+    """Recommendations, limitations and narrative, one row a site each. docs and sites as for audit()."""
+    refused = F.count_if(F.col("status") == 429) if "status" in docs.columns else F.lit(0)
+    challenged = result.checks.where("check_id = 'cr.access.challenge_page' and status = 'inconclusive'").select("site", F.greatest(F.size("pages"), F.lit(0)).alias("challenged"))
+    read = docs.groupBy("site").agg(F.count_distinct("url").alias("pages"), F.collect_set("role").alias("roles"), refused.alias("limited"))
+    read = read.join(challenged, "site", "left").fillna({"challenged": 0}).withColumn("edition", F.lit(None).cast("string"))
+    listed = lambda rows, *columns: F.transform(F.array_sort(F.collect_list(F.struct("ord", *columns))), rows)
+    advice = compose.recommend(compose.advice_states(sites, result.checks, result.findings, result.facts, docs))
+    first = grade.start_with(result.findings).join(result.findings.select("site", "check_id", "id"), ["site", "check_id"]).select("site", "id", F.lit(None).cast("string").alias("title"))
+    return [advice.groupBy("site").agg(listed(lambda r: r.dropFields("ord"), "name", "title", "priority", "effort", "stage").alias("recommendations")),
+            compose.limitations(read, result.checks).groupBy("site").agg(listed(lambda r: r["line"], "line").alias("limitations")), compose.narrative(result.summary, read, first)]
+
+
+def report(result: Audit, docs: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    """One row a site: the report as a struct column and as JSON; with docs and sites also recommendations, limitations and narrative."""
     found = result.findings.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "id", "check_id", "severity", "confidence", "effort", "impact", "priority", "pages", "mode", "concepts", "pipeline", "quick_win"))).alias("findings"))
     asked = result.questions.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("ord", "question", "answerable", "missing"))).alias("questions"))
@@ -125,7 +138,7 @@ def report(result: Audit) -> DataFrame:
     letters = result.coverage.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "verdict")))).alias("coverage"))
     passed = grade.passed_titles(result.checks).groupBy("site").agg(F.array_sort(F.collect_list("title")).alias("working"))
     rows = result.summary
-    for part in (found, asked, first, letters, passed, words.headline(result.summary), words.coverage_statement(result.checks)):
+    for part in (found, asked, first, letters, passed, words.headline(result.summary), words.coverage_statement(result.checks), *(prose(result, docs, sites) if docs is not None else ())):
         rows = rows.join(part, "site", "left")
     body = F.struct(*[c for c in rows.columns if c != "site"])
     return rows.select("site", body.alias("report"), F.to_json(body).alias("json"))
