@@ -33,3 +33,10 @@ def test_stream_of_pages(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("states").count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_snapshots(spark, tmp_path):
+    (tmp_path / "home.html").write_text("<html>\n<title>a</title>\n</html>\n")
+    (tmp_path / "about.html").write_text("<p>\nb")
+    rows = readers.read_snapshots(spark, str(tmp_path), "https://a.test/").orderBy("page_ord", "role").collect()
+    assert [(r.site, r.url, r.role, r.html) for r in rows] == [("a.test", "https://a.test/", "home", "<html>\n<title>a</title>\n</html>\n"), ("a.test", "https://a.test/about", "about", "<p>\nb")]

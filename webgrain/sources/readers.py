@@ -83,11 +83,42 @@ def links_of(log: DataFrame) -> DataFrame:
 
 def read_snapshots(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """Saved pages, one file a role, as (site, url, role, page_ord, html)."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("role"), F.col("value").alias("html"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("role"), F.col("value").alias("html"))
     url = F.concat(F.lit(base_url.rstrip("/") + "/"), F.when(F.col("role") == "home", "").otherwise(F.col("role")))
     return files.select(host(url).alias("site"), url.alias("url"), "role", F.when(F.col("role") == "home", 0).otherwise(1).alias("page_ord"), "html")
 
 
+#: The results that one probe leaves: its name and its checks.
+RESULTS = "probe string, site string, checks array<struct<check_id:string,status:string,reason:string>>, _broken string"
+
+
+def read_results(spark: SparkSession, path: str, order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """((rank, probe, site, ord, check_id, status, reason), (file)): results of all probes, those in `order` first, and files that are no JSON."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = texts.select("file", F.from_json("value", RESULTS, {"columnNameOfCorruptRecord": "_broken"}).alias("r")).select("file", "r.*")
+    place = F.array_position(F.array(*map(F.lit, order)).cast("array<string>"), F.col("probe"))
+    rank = F.when(place > 0, place).otherwise(len(order) + 1)
+    results = files.where("_broken IS NULL").select(rank.alias("rank"), "probe", "site", F.posexplode("checks").alias("ord", "c")).select("rank", "probe", "site", "ord", "c.*")
+    return results, files.where("_broken IS NOT NULL").select("file")
+
+
+def write_manifest(log: DataFrame, path: str) -> None:
+    """A site's requests, in all and by purpose, as one object."""
+    counts = log.groupBy("site", "purpose").agg(F.count(F.lit(1)).alias("n"))
+    by_purpose = F.map_from_entries(F.array_sort(F.collect_list(F.struct("purpose", "n"))))
+    counts.groupBy("site").agg(F.sum("n").alias("requests"), by_purpose.alias("by_purpose")).write.json(path)
+
+
+def write_snapshots(log: DataFrame, path: str) -> None:
+    """Bodies as they came, a folder for each purpose; read_fetch_log's columns site, url and body."""
+    log.where("body IS NOT NULL").select("site", "url", "purpose", "body").write.partitionBy("purpose").parquet(path)
+
+
+def write_by_site(rows: DataFrame, name: str, path: str) -> None:
+    """Lookups, entities or engagement of a site: one object a row, its columns under `name`."""
+    rows.select("site", F.struct(*[c for c in rows.columns if c != "site"]).alias(name)).write.json(path)
+
+
 def write_report(reports: DataFrame, path: str) -> None:
     """One JSON object a line and site."""
     reports.select("json").write.text(path)
