@@ -1,12 +1,14 @@
-"""Encodings of recorded bodies, robots rules before fetching, and the sinks and readers of a run's folder."""
+"""Encodings of recorded bodies, robots rules before fetching, pages picked for roles, and the sinks and readers of a run's folder."""
 
 import gzip
 import json
+import random
 import zlib
 
 from pyspark.sql import functions as F
 
-from webgrain.operators import recorded, robots
+from webgrain.functions import vocab as V
+from webgrain.operators import recorded, robots, sampling
 from webgrain.sources import readers
 
 
@@ -62,3 +64,15 @@ def test_answers_that_are_not_there(spark):
     got = row.select(recorded.article_name(t).alias("name"), recorded.article_signals(t, t).alias("article"), recorded.entity_signals(t, t, t, t).alias("entity"), recorded.mention_searches(t, t, t).alias("asked")).first()
     assert got.name is None and got.article.title is None and not got.article.disambiguation and got.article.entries == 0
     assert not got.entity.website_match and got.asked == ['"" reviews', '"" site:linkedin.com']
+
+
+def test_pages_are_picked_in_turn(spark):
+    rng = random.Random(1)
+    rows = [(f"s{s}", role, i + 1, f"https://s/{u}" + "/" * (u % 2), "nav", "m") for s in range(60) for role in V.ROLE_ORDER for i, u in enumerate(rng.sample(range(9), rng.randint(0, 8)))]
+    got = sampling.pick_pages(spark.createDataFrame(rows, "site string, role string, rank int, url string, source string, matched string"))
+    want, taken = {}, set()
+    for site, role, _, url, _, _ in sorted(rows, key=lambda r: (r[0], V.ROLE_ORDER.index(r[1]), r[2])):
+        if (site, role) not in want and (site, url.rstrip("/")) not in taken:
+            want[site, role] = url
+            taken.add((site, url.rstrip("/")))
+    assert {(r.site, r.role): r.url for r in got.collect()} == want

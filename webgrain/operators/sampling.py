@@ -62,17 +62,17 @@ def role_candidates(links: DataFrame, sitemap: DataFrame | None = None) -> DataF
         "site", "role", "rank", "url", F.when(F.col("src") == 0, "nav").otherwise("sitemap").alias("source"), "matched")
 
 
-def pick_pages(candidates: DataFrame, depth: int = 2) -> DataFrame:
-    """The page of each role, in role order; a URL that a role took is not free for the next. Looks `depth` candidates deep for each role and falls back to deeper ones in the same way."""
-    taken = None
-    free = candidates.withColumn("key", F.regexp_replace("url", "/+$", ""))
-    for role in V.ROLE_ORDER:
-        own = free.where(F.col("role") == role)
-        if taken is not None:
-            own = own.join(taken.select("site", "key"), ["site", "key"], "left_anti")
-        first = own.groupBy("site").agg(F.min_by(F.struct("role", "url", "source", "matched", "key"), "rank").alias("p")).select("site", "p.*")
-        taken = first if taken is None else taken.unionByName(first)
-    return taken.drop("key")
+def pick_pages(candidates: DataFrame) -> DataFrame:
+    """The page of each role, in role order; a URL that a role took is not free for the next. candidates: as role_candidates() ranks them.
+
+    The roles before one take a URL each, so its first len(ROLE_ORDER) candidates decide, and those of a site are a row of bounded size.
+    """
+    turn = F.array_position(F.array(*map(F.lit, V.ROLE_ORDER)), F.col("role"))
+    rows = candidates.where(F.col("rank") <= len(V.ROLE_ORDER)).select("site", F.struct(turn.alias("turn"), "rank", "role", "url", "source", "matched", F.regexp_replace("url", "/+$", "").alias("key")).alias("c")).where("c.turn > 0")
+    listed = rows.groupBy("site").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    free = lambda taken, c: ~F.exists(taken, lambda t: (t["turn"] == c["turn"]) | (t["key"] == c["key"]))
+    picked = F.aggregate("c", F.slice("c", 1, 0), lambda taken, c: F.when(free(taken, c), F.array_append(taken, c)).otherwise(taken))
+    return listed.select("site", F.inline(picked)).select("site", "role", "url", "source", "matched")
 
 
 def missing_roles(picked: DataFrame, sites: DataFrame) -> DataFrame:
