@@ -586,7 +586,7 @@ def test_lm_scores(docs, none):
     seen = collections.Counter(w for i, t in ROWS if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
     n, v, ends = sum(seen.values()), len(seen), seen[None]
     once, twice = (sum(c == k for w, c in seen.items() if w is not None) for k in (1, 2))
-    discount = once / (once + 2 * twice)
+    discount = once / (once + 2 * max(twice, 1))
     first = lattice.Lattice(model)
     logs = first.logs
     for _ in range(lattice.ROUNDS):
@@ -595,7 +595,8 @@ def test_lm_scores(docs, none):
         for w, c in seen.items():
             if w is not None:
                 own.expect_alone(lattice.MARK + w, float(c), uses)
-        logs = np.append(np.log(uses[:-1] / uses[:-1].sum()), first.logs[-1])
+        with np.errstate(divide="ignore"):
+            logs = np.append(np.log(uses[:-1] / uses[:-1].sum()), first.logs[-1])
     own = lattice.Lattice(model, logs)
 
     def worth(w):
@@ -615,6 +616,16 @@ def test_lm_scores(docs, none):
     assert len(untaught) == len(ROWS) and all(r.score < 0 and r.train_tokens == 0 for r in untaught)
 
 
+@pytest.mark.parametrize("rows", [[(3, "alpha beta gamma")], [(3, "alpha beta gamma"), (4, "held out beta")], [(3, "")], [(3, "alpha alpha alpha")], [(3, "a b"), (5, "c d e")]])
+def test_lm_scores_of_few_training_words(spark, rows):
+    """One training document, words that all occur once, none at all: finite scores, and the learnt words are the likelier ones."""
+    few = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lattice.score(few, registry.vocabulary("piece_bpe_32k.model"), F.col("doc_id") != 4).collect()}
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+    if 4 in got:
+        assert got[3].score / got[3].n_tokens > got[4].score / got[4].n_tokens
+
+
 # ---- pipeline
 
 
@@ -691,4 +702,13 @@ def test_pipeline_stages_take_awkward_tables(spark, docs, none):
     from tests.conftest import SF
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, none, SF).count() == 0, name
-        assert stage(spark, docs, SF).columns == docs.columns, name
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns, name
+        rows = left.collect()
+        assert rows and all(r[c] == f"x{i}" for r in rows for i, c in enumerate(CLASHING)), name  # columns of any name keep their values
+        assert collections.Counter(r.doc_id for r in rows) <= collections.Counter(i for i, _ in ROWS)
+    assert corpus_pipeline.STAGES[4][1](spark, none, SF).count() == 0
+    pieces = collections.Counter()
+    for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect():
+        pieces[r.doc_id] += r.length
+    assert set(pieces) == {i for i, _ in ROWS}

@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: bytes, learn_from: Column, id_col: str = "doc_
         F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
     ends = blocks.rows.where("mark").count()
     tokens, kinds = int(seen) + ends, int(kinds) + (ends > 0)
-    discount = once / (once + 2 * twice) if once else 0.5
+    discount = once / (once + 2 * max(twice, 1)) if once else 0.5  # below 1, so that a word or an end that was seen once keeps a share
     logs = learn(words, model, rounds) if kinds > (ends > 0) else Lattice(model).logs
     given = context.broadcast((model, logs))
     floor = math.log10(tokens + kinds + 1)

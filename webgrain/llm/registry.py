@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from webgrain.llm import bytebpe as _bytebpe
 from webgrain.llm import chunk_dedup as _chunks
+from webgrain.llm import clusters as _clusters
 from webgrain.llm import exact_dedup as _exact
 from webgrain.llm import language as _language
 from webgrain.llm import lattice as _lattice
+from webgrain.llm import licenses as _licenses
 from webgrain.llm import packing as _packing
 from webgrain.llm import records as _records
+from webgrain.llm import runs as _runs
 from webgrain.llm import simhash as _simhash
 from webgrain.llm import sketch as _sketch
 from webgrain.llm import url_filter as _url
@@ -99,6 +102,44 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~F.col("marked")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: The phrases that op11's base labels rest on.
+OP11_PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+
+
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = [_licenses.Template(label, text, phrase=True) for label, text in OP11_PHRASES] + _licenses.NOTICES
+    return _licenses.scan(_table(spark, sf_dir, "documents"), templates)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth crc32(doc_id) the words from some place on go round with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"), F.floor(h / 10).alias("_g"))
+    n = F.size("_words")
+    rows = rows.withColumn("_a", F.when(n > 0, F.col("_g") % n)).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    turned = F.array_join(F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(
+        F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))), " ")
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), turned).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _runs.periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")), least_exponent=4, least_length=6)
+    better = lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)  # noqa: E731  of equal ones the earlier stays
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    runs_text = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs_text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = _clusters.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64.0, salt="1:")
+    return _clusters.with_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_records": op2_token_records,
@@ -110,11 +151,55 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_license_scan": op11_license_scan,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_clusters": op13_clusters,
 }
 
 ASCII_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _clusters_sql(k: int, rounds: int, dim: int) -> str:
+    """Assignments and means by turns, each a table expression."""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT rid, c, list_sum(list_transform(list_zip(v.q, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}),
+        a{i} AS MATERIALIZED (SELECT rid, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM d{i} GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""p{i} AS (SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM a{i} JOIN v USING (rid)) GROUP BY ALL),
+        m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS q FROM p{i} GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} USING (c)"""
+
+
+def _licenses_sql(stride: int = 16) -> str:
+    """Places by comparing slices; blocks and templates by intersecting sets."""
+    phrases = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in OP11_PHRASES)
+    notices = ", ".join(f"('{t.label}', list_distinct(string_split('{t.text}', ' ')))" for t in _licenses.NOTICES)
+    return f"""
+        WITH phrase(label, ws) AS (VALUES {phrases}), notice(label, ws) AS (VALUES {notices}),
+        d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+            regexp_extract_all({ASCII_LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        place AS (SELECT rid, label, unnest(list_filter(range(len(d.ws)), lambda i: d.ws[i + 1] = p.ws[1] AND d.ws[i + 1:i + len(p.ws)] = p.ws)) AS pos
+            FROM d, phrase p WHERE list_has_all(d.ws, p.ws)),
+        based AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY rid),
+        block AS (SELECT rid, list_distinct(ws[b * {stride} + 1:(b + 2) * {stride}]) AS ws FROM (SELECT rid, ws, unnest(range((len(ws) + {stride - 1}) // {stride})) AS b FROM d)),
+        met AS (SELECT rid, label, len(list_intersect(b.ws, n.ws)) / len(n.ws) AS score FROM block b, notice n WHERE len(list_intersect(b.ws, n.ws)) * 5 >= len(n.ws) * 4),
+        label AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+            FROM (SELECT rid, label, score FROM met UNION ALL SELECT rid, label, 1.0 FROM place) GROUP BY rid)
+        SELECT doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM d LEFT JOIN based USING (rid) LEFT JOIN label USING (rid)"""
+
+
 SQL = {
+    "op11_license_scan": _licenses_sql(),
     "op8_url_filter": f"""
         WITH p AS (
             SELECT page_id,
@@ -136,4 +221,5 @@ SQL = {
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
         FROM d JOIN g ON d.text_sha256 = g.text_sha256""",
+    "op13_clusters": _clusters_sql(16, 3, 64),
 }
