@@ -46,8 +46,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = chunk_dedup.dedup_passages(docs)
-    changed = F.col("_removed").isNotNull()
+    taken, removed = {c.lower() for c in docs.columns}, "_removed"
+    while removed in taken:
+        removed += "_"
+    cleaned = chunk_dedup.dedup_passages(docs, removed_col=removed)
+    changed = F.col(removed).isNotNull()
     left = cleaned.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
