@@ -131,14 +131,65 @@ def test_severity_order(spark):
         "cr.access.http_error": "critical", "en.mobile.viewport_missing": "medium", "en.perf.page_weight_heavy": "low", "cr.index.sitemap_missing": "medium"}
 
 
+def finding(check_id, pages=(), evidence=(), rank=3, top=0, **site):
+    return {"check_id": check_id, "pages": list(pages), "rank": rank, "top": top, "status": "fail", "home_url": "home", "html_urls": ["home", "u"], "category": "ecommerce",
+            "evidence": [{"page": "u", "kind": "computed", "value": v, "location": None, "note": None} for v in evidence]} | site
+
+
+def folded(*findings):
+    return {r["check_id"]: (r["folded_into"], r["fold_row"]) for r in grade.fold_site(list(findings)) if r["folded_into"]}
+
+
 def test_fold_order_and_inheritance():
-    base = {"home_url": None, "blocks": None, "missing": None, "statuses": None}
-    found = [base | {"check_id": "cr.render.js_gate", "pages": ["u"], "rank": 1, "top": 0}, base | {"check_id": "fx.identity.og_missing", "pages": ["u"], "rank": 3, "top": 3},
-             base | {"check_id": "en.mobile.viewport_missing", "pages": ["u", "v"], "rank": 1, "top": 1}]
-    out = grade.fold_site(found)
-    assert out["cr.render.js_gate"][0] is None and out["en.mobile.viewport_missing"][0] is None
-    primary = [c for c, (p, _, _) in out.items() if p == "cr.render.js_gate"]
-    assert all(c.startswith(tuple(V.RENDER_SUPPRESSES)) for c in primary)
+    found = [finding("cr.render.js_gate", ["u"], rank=1), finding("fx.identity.og_missing", ["u"], rank=0), finding("en.mobile.viewport_missing", ["u", "v"], rank=1), finding("cr.access.challenge_page", ["u"], rank=4, top=4, status="inconclusive")]
+    assert folded(*found[:3]) == {"fx.identity.og_missing": ("cr.render.js_gate", 4)}
+    assert folded(*found) == {"cr.render.js_gate": ("cr.access.challenge_page", 1), "fx.identity.og_missing": ("cr.access.challenge_page", 1)}  # row 1 leaves nothing for row 4
+    by_id = {r["check_id"]: r for r in grade.fold_site(found[:3])}
+    assert by_id["cr.render.js_gate"]["rank"] == 0  # inherited
+    assert [e["value"].split(";")[0] for e in by_id["cr.render.js_gate"]["evidence"]] == ["folded=fx.identity.og_missing", "severity_inherited_from=fx.identity.og_missing"]
+    assert {r["check_id"]: r["rank"] for r in grade.fold_site(found)}["cr.access.challenge_page"] == 4  # what is open inherits nothing
+    capped = {r["check_id"]: r["rank"] for r in grade.fold_site([finding("cr.index.sitemap_missing", rank=3, top=2), finding("cr.index.sitemap_invalid", rank=1)])}
+    assert capped["cr.index.sitemap_missing"] == 2
+
+
+def test_folds_by_provenance():
+    nap, fact = "ef.entity.nap_missing_plain_text", "fx.facts.key_fact_missing"
+    local = {"category": "local_business"}
+    assert folded(finding(nap, **local), finding(fact, evidence=["missing=address,phone"], **local)) == {fact: (nap, 8)}
+    assert not folded(finding(nap), finding(fact, evidence=["missing=address,phone"])) and not folded(finding(nap, **local), finding(fact, evidence=["missing=address,price"], **local))
+    tiers = [finding(f"cr.robots.{t}") for t in ("index_bot_blocked", "live_answer_bot_blocked")]
+    out = {r["check_id"]: r for r in grade.fold_site([finding("cr.robots.blanket_disallow"), *tiers])}
+    assert [e["value"].split("note=")[1] for e in out["cr.robots.blanket_disallow"]["evidence"]] == ["affected tiers: index", "affected tiers: index, live_answer"]
+    gates = [finding("cr.render.js_gate", ["home"]), finding("cr.render.csr_shell", ["u"]), finding(fact)]
+    assert folded(*gates) == {fact: ("cr.render.js_gate", 5)}  # the two together leave no page read
+    assert not folded(*[f | {"html_urls": ["home", "u", "v"]} for f in gates])
+    assert folded(*[f | {"html_urls": ["home"]} for f in gates]) == {fact: ("cr.render.js_gate", 5)}
+
+
+def test_a_new_link_or_headline_ends_the_open_one():
+    doc = html.read_document("<div><a href=/1>x<a href=/2>y</a></div><a href=/3>z</div> more</a><a href=/4>open", "http://a.test/")
+    assert [(x["url"], x["text"]) for x in doc["links"]] == [("http://a.test/2", "y"), ("http://a.test/3", "z more")]
+    doc = html.read_document("<div><h1>Title</h2><p>lots of other text</p></div><h2>One<h3>Two</h3></h2><h4>never ended", "http://a.test/")
+    assert [(h["tag"], h["text"]) for h in doc["headings"]] == [("h1", "Title"), ("h3", "Two")]
+    doc = html.read_document("<h1>A <a href=/1>linked <b>title</b></a> here</h1>", "http://a.test/")
+    assert doc["headings"][0]["text"] == "A linked title here" and doc["links"][0]["text"] == "linked title"
+
+
+def test_structured_data_at_any_depth(spark):
+    from webgrain.operators import nodes
+    markup = """<script type="application/ld+json">{"@graph": [{"@type": "WebPage", "@id": "#p", "name": "Page", "empty": "", "n": 3, "publisher": {"@type": "School", "name": "S"}, "mentions": [{"@type": "Store", "name": "T"}]},
+        {"@type": ["Dentist"], "name": "D"}]}</script><script type="application/ld+json">{"@type": "Organization", "@graph": [{"@type": "Person", "name": "P"}]}</script>
+        <script type="application/ld+json">{"@type": "Product", "review": [1], </script><script type="application/ld+json">[]</script>"""
+    docs = html.parse_pages(spark.createDataFrame([(1, "https://s.test/", markup)], "page_id long, url string, html string"))
+    got = docs.select("nodes", nodes.distinct_types().alias("types"), F.transform(nodes.owners(), lambda n: n["types"][0]).alias("owners"), nodes.values_of("name").alias("names"), nodes.lacking(F.col("nodes")).alias("lacking")).first()
+    assert got.types == ["WebPage", "School", "Store", "Dentist", "Organization", "Person"] and got.owners == ["School", "Dentist", "Organization"]
+    assert got.names == ["Page", "S", "T", "D", "P"]
+    assert [(m.block, m.type, m.as_type, m.missing) for m in got.lacking] == [(0, "Dentist", "LocalBusiness", ["address"]), (1, "Organization", "Organization", ["name", "url"])]
+    page = next(n for n in got.nodes if n.types == ["WebPage"])
+    assert page.keys == ["@type", "@id", "name", "n", "publisher", "mentions"] and page.id == "#p" and page.top and page.link == 0
+    assert [n.link for n in got.nodes if n.types == ["Store"]] == [None]
+    leaves = {(r.block, r.path): r.value for r in nodes.jsonld_walk(docs, "page_id").collect()}
+    assert leaves[0, "mentions.0.name"] == "T" and leaves[0, "n"] == "3" and leaves[1, "name"] == "P"
 
 
 def test_greedy_page_pick(spark):
@@ -240,7 +291,18 @@ def test_audit_without_recordings(spark):
     assert "summary_file" in [r.name for r in told.recommendations] and len(told.recommendations) <= 8
     assert told.limitations[0].startswith("This report reflects a single point-in-time fetch of 2 sampled pages") and "served HTML only" in told.limitations[-1]
     assert told.narrative.startswith("This audit read 2 pages and ran 61 checks") and "Start with F-" in told.narrative
-    assert told.headline.endswith(("low", "medium", "high", "critical")) and "not_recorded" in told.statement
+    assert told.headline.startswith(("1 high finding on the 1 page read. Start with F-001", "No critical or high findings on the 1 page read")) and told.headline.endswith("see Coverage and limitations.")
+    assert told.statement.startswith("Concepts covered: A, B, C, D partially (") and "Pages sampled: 2 (blog, home); no page found for: about, contact, pricing, product." in told.statement
+    first = told.findings[0]
+    assert first.id == "F-001" and first.title and first.evidence and first.suggested_action.summary and first.dedupe_key.startswith(first.check_id + "|")
+    notes = {f.check_id: (f.status, f.severity, f.effort) for f in told.findings}
+    assert notes["or.simulation.question_unanswerable"] == ("fail", "info", "n/a") and notes["cr.access.challenge_page"] == ("inconclusive", "info", "n/a")
+    questions = {q.question: q for q in told.questions}
+    assert any(q.startswith("What sets") and questions[q].informational for q in questions) and any("a good fit for" in q for q in questions)
+    from webgrain.operators import markdown
+    text = markdown.markdown(plan.report(result, docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string"))).first().markdown
+    for part in ("# AI-readiness audit: a.test", "## Summary", "## Quick wins", f"#### F-001 {first.title}", "*Do this.*", "## What is working", "## Questions and answers", "## Coverage and limitations", "Outside this audit's scope"):
+        assert part in text, part
     ready = written(checks.prepare(docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string")), "ready")
     plan_text = checks.grade_pages(ready, F.lit("2024-06-01").cast("date"))._jdf.queryExecution().executedPlan().toString()
     assert plan_text.count("MapInArrow") == 0 and plan_text.count("Exchange hashpartitioning") == 2  # page checks and site checks

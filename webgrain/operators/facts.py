@@ -23,8 +23,11 @@ TEXT_KEYS = ("description", "name", "slogan", "jobTitle", "priceRange", "opening
              "addressRegion", "postalCode", "addressCountry", "audience", "areaServed", "knowsAbout")
 OFFER_TYPES = ("Product", "Service", "Menu", "MenuItem", "ItemList", "Offer", "Course", "Event")
 MISSION_TYPES = ("NGO", "EducationalOrganization", "GovernmentOrganization", "Organization")
-ORG_TYPES = tuple(dict.fromkeys(("Organization", "Corporation", "NGO", "EducationalOrganization", "GovernmentOrganization", "NewsMediaOrganization", "OnlineStore",
-                                 "ProfessionalService", *V.LOCAL_BUSINESS_TYPES)))
+ORG_TYPES = tuple(dict.fromkeys((
+    *V.LOCAL_BUSINESS_TYPES, "Organization", "Corporation", "NGO", "EducationalOrganization", "CollegeOrUniversity", "School", "HighSchool", "ElementarySchool", "MiddleSchool", "Preschool",
+    "GovernmentOrganization", "NewsMediaOrganization", "MedicalOrganization", "SportsOrganization", "SportsTeam", "PerformingGroup", "MusicGroup", "Airline", "Consortium", "LibrarySystem",
+    "OnlineBusiness", "OnlineStore", "ResearchOrganization", "WorkersUnion", "FundingScheme", "FundingAgency", "Cooperative", "Project", "Church", "PlaceOfWorship", "Hospital", "Consultant",
+    "MarketingAgency", "DesignAgency", "Brand")))
 #: Fixed value: how far before a number a cue word may stand.
 CUE_REACH = 30
 
@@ -56,7 +59,7 @@ def anywhere(key: str) -> Column:
 
 
 def page_text() -> Column:
-    leaves = F.filter(F.flatten(F.transform("nodes", lambda n: F.array(*[text_of(n["json"], k) for k in TEXT_KEYS]))), lambda v: v.isNotNull())
+    leaves = F.transform(F.filter("leaves", lambda x: x["key"].isin(*TEXT_KEYS)), lambda x: x["value"])
     about = F.coalesce(F.nullif(F.try_element_at("meta", F.lit("description")), F.lit("")), F.try_element_at("meta", F.lit("og:description")))
     return F.substring(F.concat_ws(" \n ", "body_text", about, F.array_join(leaves, " \n ")), 1, TEXT_MOST)
 

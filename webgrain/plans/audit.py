@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
-from webgrain.functions.text import majority
+from webgrain.functions.text import detect_language
 from webgrain.operators import checks, compose, facts, gates, grade, robots
+from webgrain.operators import evidence as E
 from webgrain.operators import report as words
 from webgrain.sources.store import written
 
@@ -34,7 +35,7 @@ class Recorded:
 
 @dataclass
 class Audit:
-    """The results: checks (one row for each site and check), findings (ranked), folded, facts, questions, summary, coverage."""
+    """The results: checks (one row for each site and check), findings (ranked), folded, facts, questions, summary, stages and coverage (of stages and of concepts)."""
 
     checks: DataFrame
     findings: DataFrame
@@ -42,6 +43,7 @@ class Audit:
     facts: DataFrame
     questions: DataFrame
     summary: DataFrame
+    stages: DataFrame
     coverage: DataFrame
 
 
@@ -71,37 +73,62 @@ def run_checks(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded
     return checks.apply_category(grade.never_run(results, sites), sites), resolved, brands
 
 
-def simulation_check(questions: DataFrame) -> DataFrame:
-    """Whether every question that is not merely informational can be answered from the facts; open where one cannot."""
-    asked = questions.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("answerable"), F.col("question")))), "; ").alias("open"))
-    return checks._rows(asked, "or.simulation.question_unanswerable", F.when(F.col("open") != "", "inconclusive").otherwise("pass"), F.when(F.col("open") != "", "question_unanswerable"), F.nullif("open", F.lit("")))
+def simulation_check(questions: DataFrame, readable: DataFrame) -> DataFrame:
+    """Whether every question that is not merely informational can be answered from the facts: a note where one cannot, open where no page was readable. readable: site."""
+    asked = questions.where("not informational").groupBy("site").agg(F.array_sort(F.collect_list(F.when(~F.col("answerable"), F.struct("ord", "question", "missing")))).alias("open"))
+    rows = asked.join(readable.select("site", F.lit(True).alias("read")).distinct(), "site", "left")
+    some, blind = F.size("open") > 0, F.col("read").isNull()
+    told = F.transform("open", lambda q: E.item("computed", F.concat(F.lit("question="), q["question"], F.lit("; missing_facts="), F.array_join(q["missing"], ",")), page="site"))
+    none = E.items(E.item("computed", "pages_used=0", page="site"))
+    return checks._rows(rows, "or.simulation.question_unanswerable", F.when(some & blind, "not_evaluated").when(some, "fail").otherwise("pass"), F.when(some & blind, "no_readable_pages"),
+                        F.when(some & blind, "told"), F.when(blind, none).otherwise(told))
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """(site, links, missing_roles, roles, home_url, html_urls, sampled_pages, pages): what the sample of a site's pages holds, one row a site."""
+    have = set(docs.columns)
+    served = (F.coalesce(F.col("status"), F.lit(200)) == 200 if "status" in have else F.lit(True)) & (~F.coalesce("challenge", F.lit(False)) if "challenge" in have else F.lit(True)) & (
+        F.coalesce("is_html", F.lit(True)) if "is_html" in have else F.lit(True))
+    address, home = F.col("final_url") if "final_url" in have else F.col("url"), F.col("role") == "home"
+    inner = F.size(F.array_distinct(F.transform(F.filter("links", lambda x: x["internal"]), lambda x: x["url"])))
+    roles = F.array(*map(F.lit, V.ROLE_ORDER))
+    return docs.groupBy("site").agg(
+        F.max(F.when(home, inner)).alias("links"), F.array_except(roles, F.collect_set("role")).alias("missing_roles"), F.collect_set("role").alias("roles"), F.max(F.when(home, address)).alias("home_url"),
+        F.collect_set(F.when(served, address)).alias("html_urls"), F.count_distinct("url").cast("int").alias("sampled_pages"), F.count_if(served).alias("pages"))
 
 
-def gate_sample(results: DataFrame, docs: DataFrame, sites: DataFrame) -> DataFrame:
+def gate_sample(results: DataFrame, docs: DataFrame, sample: DataFrame) -> DataFrame:
     """results after the gates of language, of chrome that scripts fill in, and of a sample too thin to tell."""
-    declared = docs.select("site", "page_ord", F.lower(F.substring_index("lang", "-", 1)).alias("lang"))
-    roles = F.array(*map(F.lit, V.ROLE_ORDER))
-    seen = docs.groupBy("site").agg(F.max(F.when(F.col("role") == "home", F.size("links"))).alias("links"), F.array_except(roles, F.collect_set("role")).alias("missing_roles"))
-    out = gates.language_gate(results, majority(declared, "site", "lang", "page_ord"))
-    out = gates.chrome_gate(out, docs.where(F.size("empty_chrome") > 0).select("site"))
-    return gates.press_gate(out, seen.fillna({"links": 0}))
+    stopwords = dim(docs.sparkSession, "stopword")
+    detected = detect_language(docs, "page_id", "body_text", stopwords).withColumnRenamed("lang", "detected")
+    declared = docs.select("site", "page_id", "page_ord", F.nullif(F.lower(F.substring_index(F.trim("lang"), "-", 1)), F.lit("")).alias("declared"))
+    homes = docs.where("role = 'home'").groupBy("site").agg(F.max(F.size("empty_chrome")).alias("empty_chrome"), F.max("nav_count").alias("nav_count"), F.max(F.size("external_scripts")).alias("external_scripts"))
+    out = gates.language_gate(results, gates.sample_language(declared.join(detected, "page_id", "left")))
+    return gates.press_gate(gates.chrome_gate(out, homes), sample.select("site", "links", "missing_roles"))
 
 
-def grade_results(results: DataFrame, docs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grade_results(results: DataFrame, docs: DataFrame, sites: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results of all checks, findings, folded)."""
     spark = docs.sparkSession
-    gated = grade.absence_gate(gate_sample(results, docs, sites), dim(spark, "key_page"), docs.select("site", "role"))
-    bare = F.size(F.filter("headings", lambda h: h["tag"] == "h1")) == 0
-    counts = docs.groupBy("site").agg(F.count_distinct("url").cast("int").alias("sampled_pages"), F.max(F.when(F.col("role") == "home", F.col("url"))).alias("home_url"),
-                                      F.collect_set(F.when(bare, F.col("url"))).alias("bare"))
+    sample = written(sampled(docs), "sample")
+    gated = grade.absence_gate(gate_sample(results, docs, sample), dim(spark, "key_page"), docs.select("site", "role"))
+    expected = F.broadcast(dim(spark, "key_page").where("role <> 'home'").select("category", "role"))
+    unread = sample.select("site", F.explode("missing_roles").alias("role")).join(sites.select("site", "category"), "site").join(expected, ["category", "role"])
+    gated = written(gates.scope_facts(gated, gates.fact_gate(resolved, unread)), "gated")
+    counts = sample.select("site", "sampled_pages", "home_url", "html_urls")
     graded = grade.adjust_severity(gated.where("status = 'fail'").join(counts, "site"))
-    weak = F.col("capped") & ~F.col("severity").isin("low", "info")
-    lone = (F.col("check_id") == "fx.facts.key_fact_missing") & (F.size(F.split("detail", ",")) == 1) & (F.col("severity") == "high")
-    graded = graded.withColumn("severity", F.when(weak, "low").when(lone, "medium").otherwise(F.col("severity")))
-    every = graded.unionByName(grade.informational(gated.join(counts, "site")), allowMissingColumns=True)
-    of = lambda check, kind: F.when(F.col("check_id") == check, F.split("detail", ",")).cast(kind)
-    kept, folded = grade.fold(every.withColumns({"missing": of("fx.facts.key_fact_missing", "array<string>"), "statuses": of("en.links.broken_sampled", "array<int>")}))
-    findings = grade.tag(grade.rank_findings(grade.derive(kept)))
+    first = F.coalesce(F.get("pages", F.lit(0)), F.lit("site"))
+    adjusted = F.when(F.size("adjustments") > 0, E.items(E.item("computed", F.concat(F.lit("adjustments="), F.array_join("adjustments", ",")), page=first))).otherwise(E.none())
+    real = ~F.col("severity").isin("low", "info")
+    polish = (F.col("check_id") == "fx.jsonld.required_props_missing") & F.forall("evidence", lambda e: ~e["value"].contains("missing="))  # its nodes name themselves
+    lone = (F.col("check_id") == "fx.facts.key_fact_missing") & (F.size(F.split("detail", ",")) == 1) & F.col("severity").isin("critical", "high")
+    part = (F.col("absence_scope") == "sample") & (F.col("check_id") != "fx.facts.key_fact_missing") & F.col("severity").isin("critical", "high")
+    every = (F.col("check_id") == "cr.robots.live_answer_bot_blocked") & F.exists("evidence", lambda e: e["value"].startswith("blocked=all of "))
+    graded = graded.withColumns({"severity": F.when(every, "critical").when((F.col("capped") | polish) & real, "low").when(lone | part, "medium").otherwise(F.col("severity")),
+                                 "evidence": F.concat("evidence", adjusted)})
+    both = graded.unionByName(grade.informational(gated.join(counts, "site")), allowMissingColumns=True)
+    kept, folded = grade.fold(written(both, "graded"))
+    findings = E.describe(grade.tag(grade.rank_findings(grade.derive(kept))))
     filled = grade.fill_unreported(gated.select("site", "check_id", "status", "reason", "pages").dropDuplicates(["site", "check_id"]), sites)
     return filled, findings, folded
 
@@ -109,11 +136,14 @@ def grade_results(results: DataFrame, docs: DataFrame, sites: DataFrame) -> tupl
 def audit(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded | None = None) -> Audit:
     """docs: parse_pages() with role and page_ord, best read from a written table; sites: site, category; as_of: the day that counts as today."""
     results, resolved, brands = run_checks(docs, sites, as_of, recorded or Recorded())
-    questions = written(grade.simulate(sites.join(brands.select("site", "brand"), "site", "left").fillna({"brand": "the site"}), resolved), "questions")
-    results = results.unionByName(checks.apply_category(simulation_check(questions), sites))
-    every, findings, folded = grade_results(written(results, "results"), docs, sites)
+    asked = grade.simulate(sites.join(brands.select("site", "brand"), "site", "left").fillna({"brand": "the site"}), resolved)
+    questions = written(asked.join(words.answers(asked, resolved), ["site", "ord"], "left"), "questions")
+    readable = docs.where("word_count > 0").select("site")
+    results = results.unionByName(checks.apply_category(simulation_check(questions, readable), sites))
+    every, findings, folded = grade_results(written(results, "results"), docs, sites, resolved)
     every, findings = written(every, "checks"), written(findings, "findings")
-    return Audit(every, findings, folded, resolved, questions, grade.summary(findings, every), grade.coverage(every))
+    stages = words.stage_coverage(every)
+    return Audit(every, findings, folded, resolved, questions, grade.summary(findings, every), stages, words.concept_coverage(stages))
 
 
 def prose(result: Audit, docs: DataFrame, sites: DataFrame) -> list[DataFrame]:
@@ -124,7 +154,7 @@ def prose(result: Audit, docs: DataFrame, sites: DataFrame) -> list[DataFrame]:
     read = read.join(challenged, "site", "left").fillna({"challenged": 0}).withColumn("edition", F.lit(None).cast("string"))
     listed = lambda rows, *columns: F.transform(F.array_sort(F.collect_list(F.struct("ord", *columns))), rows)
     advice = compose.recommend(compose.advice_states(sites, result.checks, result.findings, result.facts, docs))
-    first = grade.start_with(result.findings).join(result.findings.select("site", "check_id", "id"), ["site", "check_id"]).select("site", "id", F.lit(None).cast("string").alias("title"))
+    first = grade.start_with(result.findings).join(result.findings.select("site", "check_id", "id", "title"), ["site", "check_id"]).select("site", "id", "title")
     return [advice.groupBy("site").agg(listed(lambda r: r.dropFields("ord"), "name", "title", "priority", "effort", "stage").alias("recommendations")),
             compose.limitations(read, result.checks).groupBy("site").agg(listed(lambda r: r["line"], "line").alias("limitations")), compose.narrative(result.summary, read, first)]
 
@@ -132,21 +162,25 @@ def prose(result: Audit, docs: DataFrame, sites: DataFrame) -> list[DataFrame]:
 def report(result: Audit, docs: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """One row a site: the report as a struct column and as JSON; with docs and sites also recommendations, limitations and narrative."""
     found = result.findings.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "id", "check_id", "severity", "confidence", "effort", "impact", "priority", "pages", "mode", "concepts", "pipeline", "quick_win"))).alias("findings"))
-    asked = result.questions.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("ord", "question", "answerable", "missing"))).alias("questions"))
-    first = grade.start_with(result.findings).withColumnRenamed("check_id", "start_with")
-    letters = result.coverage.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "verdict")))).alias("coverage"))
-    passed = grade.passed_titles(result.checks).groupBy("site").agg(F.array_sort(F.collect_list("title")).alias("working"))
+        "rank", "id", "check_id", "title", "status", "severity", "confidence", "effort", "impact", "priority", F.col("stage").alias("mechanism"), "pages", "evidence_text", "evidence", "why_it_matters", "suggested_action",
+        "mode", "concepts", "pipeline", "opportunity_type", "quick_win", "dedupe_key", F.coalesce("absence_scope", F.lit("site")).alias("absence_scope")))).alias("findings"))
+    asked = result.questions.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("ord", "question", "informational", "answerable", "answer", "missing"))).alias("questions"))
+    first = grade.start_with(result.findings).join(result.findings.select("site", "check_id", "id", "title"), ["site", "check_id"])
+    letters = result.coverage.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "state")))).alias("coverage"))
+    stages = result.stages.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "state")))).alias("stages"))
+    passed = result.checks.where("status = 'pass'").join(F.broadcast(dim(result.checks.sparkSession, "positive_title")), "check_id").join(
+        F.broadcast(dim(result.checks.sparkSession, "check_registry").select("check_id", "stage")), "check_id").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("stage", "title", "check_id"))).alias("working"))
+    open_ = result.checks.where(F.col("status").isin("not_evaluated", "inconclusive")).select("site", "check_id", F.coalesce("reason", "status").alias("reason"))
+    off = F.col("reason") == "not_applicable_for_category"
+    gaps = open_.groupBy("site").agg(F.array_sort(F.collect_list(F.when(~off, F.struct("check_id", "reason")))).alias("no_verdict"), F.array_sort(F.collect_list(F.when(off, F.col("check_id")))).alias("not_applicable"))
+    merged = result.folded.join(result.findings.select("site", F.col("check_id").alias("folded_into"), "id"), ["site", "folded_into"], "left").groupBy("site").agg(
+        F.array_sort(F.collect_list(F.struct("check_id", F.col("id").alias("merged_into"), "fold_row"))).alias("folded"))
+    none = "site string, roles array<string>, missing_roles array<string>, pages bigint, requests bigint"
+    sample = result.summary.sparkSession.createDataFrame([], none) if docs is None else sampled(docs).select("site", F.array_sort("roles").alias("roles"), "missing_roles", "pages", F.lit(None).cast("bigint").alias("requests"))
     rows = result.summary
-    for part in (found, asked, first, letters, passed, words.headline(result.summary), words.coverage_statement(result.checks), *(prose(result, docs, sites) if docs is not None else ())):
+    for part in (found, asked, first.select("site", F.col("id").alias("start_with")), letters, stages, passed, gaps, merged,
+                 words.headline(result.summary, sample.select("site", "pages"), first.select("site", "id", "title"), result.checks),
+                 words.coverage_statement(result.stages, result.coverage, result.checks, sample.drop("pages")), *(prose(result, docs, sites) if docs is not None else ())):
         rows = rows.join(part, "site", "left")
     body = F.struct(*[c for c in rows.columns if c != "site"])
     return rows.select("site", body.alias("report"), F.to_json(body).alias("json"))
-
-
-def markdown(reports: DataFrame) -> DataFrame:
-    """(site, markdown) of report()."""
-    line = lambda f: F.concat(F.lit("- **"), f["id"], F.lit("** "), f["check_id"], F.lit(" ("), f["severity"], F.lit(", "), f["confidence"], F.lit(" confidence)"))
-    count = F.coalesce(F.size("report.findings"), F.lit(0))
-    return reports.select("site", F.concat_ws("\n", F.concat(F.lit("# Audit of "), F.col("site")), F.lit(""), F.col("report.headline"), F.lit(""), F.col("report.statement"), F.lit(""), F.concat(F.greatest(count, F.lit(0)).cast("string"), F.lit(" findings")), F.lit(""),
-                                              F.array_join(F.transform("report.findings", line), "\n")).alias("markdown"))

@@ -11,7 +11,7 @@ from webgrain.functions import text as T
 from webgrain.functions import url as U
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import CONFIDENCES, SEVERITIES, dim
-from webgrain.operators import checks, facts, grade, html, relational, robots, sampling
+from webgrain.operators import checks, facts, grade, html, relational, report, robots, sampling
 from webgrain.plans import audit as plan
 from webgrain.sources.store import written
 
@@ -217,31 +217,44 @@ def exact_duplicates(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-#: Our own strings for the detectors that the tables do not exercise.
-_DATES = [("2024-02-29", "2024-02-29"), ("2023-02-30", None), ("3rd March 2021", "2021-03-03"), ("March 3, 2021", "2021-03-03"), ("sept 2020", "2020-09-01"), ("no date", None)]
+_MONTHS = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
 
 
-@query(f"SELECT raw, CAST(parsed AS VARCHAR) AS parsed FROM {_values(_DATES, 'raw, parsed')}")
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), m AS (SELECT *, {_MONTHS}[month(d)] AS name FROM o)
+    SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN concat(day(d), ' ', name, ' ', year(d)) WHEN 2 THEN concat(name, ' ', day(d), ', ', year(d))
+        WHEN 3 THEN concat(day(d), 'th ', lower(name), ' ', year(d)) WHEN 4 THEN concat(substr(name, 1, 3), '. ', year(d)) WHEN 5 THEN concat(year(d), '-02-30') ELSE concat('order of ', year(d)) END AS raw,
+        CASE WHEN o_orderkey % 7 IN (0, 1, 2, 3) THEN strftime(d, '%Y-%m-%d') WHEN o_orderkey % 7 = 4 THEN strftime(d, '%Y-%m-01') END AS parsed FROM m""")
 def date_parse(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r, _ in _DATES], "raw string").select("raw", T.parse_date(F.col("raw")).cast("string").alias("parsed"))
-
-
-_NOTICES = [("© 2019 A", 2019), ("(c) 2010-2022 B", 2022), ("Copyright 2015 – present", 2024), ("copyright 2001—2003", 2003), ("none", None)]
-
-
-@query(f"SELECT notice, CAST(year AS INT) AS year, coalesce(year <= 2022, false) AS stale FROM {_values(_NOTICES, 'notice, year')}")
+    """Order dates written in seven ways, two of which are no dates."""
+    d = F.col("o_orderdate").cast("date")
+    name, day, year = F.date_format(d, "MMMM"), F.day(d).cast("string"), F.year(d).cast("string")
+    ways = [F.date_format(d, "yyyy-MM-dd"), F.concat_ws(" ", day, name, year), F.concat(name, F.lit(" "), day, F.lit(", "), year), F.concat(day, F.lit("th "), F.lower(name), F.lit(" "), year),
+            F.concat(F.substring(name, 1, 3), F.lit(". "), year), F.concat(year, F.lit("-02-30")), F.concat(F.lit("order of "), year)]
+    raw = F.coalesce(*[F.when(F.col("o_orderkey") % 7 == i, w) for i, w in enumerate(ways)])
+    return _t(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", T.parse_date(F.col("raw")).cast("string").alias("parsed"))
+
+
+@query("""WITH q AS (SELECT c_custkey AS k, 1995 + c_custkey % 30 AS y FROM customer), n AS (SELECT k, CASE k % 5 WHEN 0 THEN concat('© ', y, ' A') WHEN 1 THEN concat('(c) ', y - 8, '-', y, ' B')
+        WHEN 2 THEN concat('Copyright ', y, ' – present') WHEN 3 THEN concat('copyright ', y - 3, '—', y) ELSE 'none' END AS notice, CASE WHEN k % 5 = 2 THEN 2024 WHEN k % 5 <> 4 THEN y END::INT AS year FROM q)
+    SELECT k, notice, year, coalesce(year <= 2022, FALSE) AS stale FROM n""")
 def copyright_stale(spark, sf_dir):
+    """A notice for each customer: one year, ranges, an open range, none."""
+    k, y = F.col("c_custkey"), 1995 + F.col("c_custkey") % 30
+    ways = [F.concat(F.lit("© "), y, F.lit(" A")), F.concat(F.lit("(c) "), y - 8, F.lit("-"), y, F.lit(" B")), F.concat(F.lit("Copyright "), y, F.lit(" – present")), F.concat(F.lit("copyright "), y - 3, F.lit("—"), y), F.lit("none")]
+    rows = _t(spark, sf_dir, "customer").select(k.alias("k"), F.coalesce(*[F.when(k % 5 == i, w) for i, w in enumerate(ways)]).alias("notice"))
     year = F.array_max(T.copyright_years(F.col("notice"), F.lit("2024-06-01").cast("date")))
-    return spark.createDataFrame([(n,) for n, _ in _NOTICES], "notice string").select("notice", year.alias("year"), F.coalesce(year <= 2024 - V.STALE_YEARS, F.lit(False)).alias("stale"))
+    return rows.select("k", "notice", year.alias("year"), F.coalesce(year <= 2024 - V.STALE_YEARS, F.lit(False)).alias("stale"))
 
 
 # ---- robots and sitemaps --------------------------------------------------------------------
 
-_ROBOTS = [("a.test", "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: *\nAllow: /\nDisallow: /private # no\nAllow: /private/open\nSitemap: https://a.test/s.xml"),
-           ("b.test", "Disallow: /lost\nUser-agent: *\nDisallow: /*.pdf$\nDisallow:\nAllow: /x\nDisallow: /x"), ("c.test", "User-agent: bingbot\nDisallow: /")]
-_ASKED = [(s, t, p) for s, _ in _ROBOTS for t in ("GPTBot", "Googlebot", "Bingbot") for p in ("/", "/private/a", "/private/open", "/a.pdf", "/a.pdfx", "/x")]
+#: Rules that the sites of the pages have by turns.
+_ROBOTS = ["User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: *\nAllow: /\nDisallow: /blog # no\nAllow: /blog/1\nSitemap: https://a.test/s.xml",
+           "Disallow: /lost\nUser-agent: *\nDisallow: /*1$\nDisallow:\nAllow: /x\nDisallow: /x", "User-agent: bingbot\nDisallow: /", "User-agent: *\nDisallow: /\nAllow: /*2"]
+_TOKENS = ("GPTBot", "Googlebot", "Bingbot")
+_PATHS = f"(SELECT DISTINCT {HOST.format('url')} AS site, CASE WHEN {PATH.format('url')} = '' THEN '/' ELSE {PATH.format('url')} END AS path FROM pages)"
 _LINES = f"""l AS (SELECT site, n, trim(regexp_replace(raw, '#.*$', '')) AS line FROM (SELECT site, unnest(string_split(robots, chr(10))) AS raw, generate_subscripts(string_split(robots, chr(10)), 1) AS n
-        FROM (SELECT site, replace(robots, '\\n', chr(10)) AS robots FROM {_values([(s, r.replace(chr(10), chr(92) + 'n')) for s, r in _ROBOTS], 'site, robots')}))),
+        FROM (SELECT site, replace([{', '.join("'" + r.replace(chr(10), chr(92) + 'n') + "'" for r in _ROBOTS)}][first_page % {len(_ROBOTS)} + 1], '\\n', chr(10)) AS robots FROM {SITES}))),
     k AS (SELECT site, n, lower(trim(split_part(line, ':', 1))) AS key, trim(substr(line, strpos(line, ':') + 1)) AS value FROM l WHERE contains(line, ':')),
     o AS (SELECT *, (key = 'user-agent' AND coalesce(lag(key) OVER (PARTITION BY site ORDER BY n), '') <> 'user-agent')::INT AS opens FROM k),
     g AS (SELECT *, sum(opens) OVER (PARTITION BY site ORDER BY n) AS group_no FROM o),
@@ -254,54 +267,70 @@ _DECIDED = """q AS (SELECT a.*, (SELECT min(group_no) FROM agents g WHERE g.site
     d AS (SELECT q.site, q.token, q.path, q.named IS NOT NULL AS own_group, coalesce(m.best.allow, true) AS allowed, m.best.rule AS rule FROM q LEFT JOIN m USING (site, token, path))"""
 
 
-def _robots(spark: SparkSession):
-    return robots.parse_robots(spark.createDataFrame(_ROBOTS, "site string, robots string"))
+def _robots(spark: SparkSession, sf_dir: str):
+    texts = F.array(*map(F.lit, _ROBOTS))
+    return robots.parse_robots(_sites(spark, sf_dir).select("site", F.element_at(texts, (F.col("first_page") % len(_ROBOTS) + 1).cast("int")).alias("robots")))
 
 
 @query(f"WITH {_LINES} SELECT site, group_no::BIGINT AS group_no, allow, pattern FROM rules")
 def robots_rules(spark, sf_dir):
-    return _robots(spark)[1].select("site", "group_no", "allow", "pattern")
+    return _robots(spark, sf_dir)[1].select("site", "group_no", "allow", "pattern")
 
 
-@query(f"WITH {_LINES}, asked AS (SELECT * FROM {_values(_ASKED, 'site, token, path')}), {_DECIDED} SELECT * FROM d")
+@query(f"WITH {_LINES}, asked AS (SELECT p.site, t.token, p.path FROM {_PATHS} p, {_values([(t,) for t in _TOKENS], 'token').replace('AS v', 'AS t')}), {_DECIDED} SELECT * FROM d")
 def robots_longest_match(spark, sf_dir):
-    agents, rules, _ = _robots(spark)
-    return robots.decide(agents, rules, spark.createDataFrame(_ASKED, "site string, token string, path string"))
+    """Whether each of three crawlers may read each page."""
+    agents, rules, _ = _robots(spark, sf_dir)
+    path = U.path(F.col("url"))
+    pages = _t(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), F.when(path == "", "/").otherwise(path).alias("path")).distinct()
+    return robots.decide(agents, rules, pages.select("site", F.explode(F.array(*map(F.lit, _TOKENS))).alias("token"), "path"))
 
 
-@query(f"""WITH {_LINES}, asked AS (SELECT s.site, t.token, '/' AS path FROM {_values([(s,) for s, _ in _ROBOTS], 'site').replace('AS v', 'AS s')}, {_values(V.BOT_TIERS, 'token, operator, tier').replace('AS v', 'AS t')}), {_DECIDED}
+@query(f"""WITH {_LINES}, asked AS (SELECT s.site, t.token, '/' AS path FROM {SITES} s, {_values(V.BOT_TIERS, 'token, operator, tier').replace('AS v', 'AS t')}), {_DECIDED}
     SELECT d.site, d.token, t.tier, d.own_group, d.allowed AS root_allowed, d.rule AS root_rule FROM d JOIN {_values(V.BOT_TIERS, 'token, operator, tier').replace('AS v', 'AS t')} USING (token)""")
 def bot_tier_grades(spark, sf_dir):
-    agents, rules, _ = _robots(spark)
-    sites = spark.createDataFrame([(s,) for s, _ in _ROBOTS], "site string")
-    return robots.grade_tokens(agents, rules, sites, dim(spark, "bot_tier")).select("site", "token", "tier", "own_group", "root_allowed", "root_rule")
+    agents, rules, _ = _robots(spark, sf_dir)
+    return robots.grade_tokens(agents, rules, _sites(spark, sf_dir).select("site"), dim(spark, "bot_tier")).select("site", "token", "tier", "own_group", "root_allowed", "root_rule")
 
 
-_MAPS = [("https://a.test/sitemap.xml", 0), ("https://a.test/sitemap_index.xml", 0), ("https://a.test/pages.xml", 1), ("https://a.test/other.xml", 2), ("https://a.test/de/sitemap.xml", 2), ("https://a.test/news-sitemap.xml", 6), ("https://a.test/shop/products.xml.gz", 8)]
+_MAPS = [("sitemap.xml", 0), ("sitemap_index.xml", 0), ("pages.xml", 1), ("other.xml", 2), ("de/sitemap.xml", 2), ("news-sitemap.xml", 6), ("shop/products.xml.gz", 8)]
 
 
-@query(f"SELECT url, CAST(rank AS INT) AS rank FROM {_values(_MAPS, 'url, rank')}")
+@query(f"SELECT page_id, 'https://' || {HOST.format('url')} || '/' || v.name AS url, CAST(v.rank AS INT) AS rank FROM pages JOIN {_values([(i, *m) for i, m in enumerate(_MAPS)], 'k, name, rank')} ON v.k = page_id % {len(_MAPS)}")
 def sitemap_ranks(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u, _ in _MAPS], "url string").select("url", U.sitemap_rank(F.col("url")).alias("rank"))
+    """A sitemap's name for each page, on its host."""
+    names = F.array(*[F.lit(n) for n, _ in _MAPS])
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://"), U.host(F.col("url")), F.lit("/"), F.element_at(names, (F.col("page_id") % len(_MAPS) + 1).cast("int"))).alias("url"))
+    return rows.select("page_id", "url", U.sitemap_rank(F.col("url")).alias("rank"))
 
 
 # ---- sampling -------------------------------------------------------------------------------
 
-_NAV = [("a.test", 0, "https://a.test/about-us", "About us", "nav"), ("a.test", 1, "https://a.test/team", "Our people", "footer"), ("a.test", 2, "https://a.test/kontakt", "Kontakt", "footer"),
-        ("a.test", 3, "https://a.test/fragments/news", "News", "nav"), ("a.test", 4, "https://a.test/pricing", "Plans", "header"), ("b.test", 0, "https://b.test/shop", "Everything we have in our shop today", "main")]
-_ROLES = [("a.test", "about", 1, "https://a.test/about-us"), ("a.test", "about", 2, "https://a.test/team"), ("a.test", "contact", 1, "https://a.test/kontakt"), ("a.test", "pricing", 1, "https://a.test/pricing"), ("b.test", "product", 1, "https://b.test/shop")]
+#: Links that a site has, one for each of seven parts: path, label, where it stands, and the role that it is a candidate for.
+_NAV = [("/about-us", "About us", "nav", "about"), ("/team", "Our people", "footer", "about"), ("/kontakt", "Kontakt", "footer", "contact"), ("/fragments/news", "News", "nav", None),
+        ("/pricing", "Plans", "header", "pricing"), ("/shop", "Everything we have in our shop today", "main", "product"), ("/x", "Something else", "nav", None)]
+_NAV_SQL = f"""n AS (SELECT concat('s', p_partkey // 7, '.test') AS site, p_partkey % 7 AS i FROM part),
+    c AS (SELECT n.site, v.role, row_number() OVER (PARTITION BY n.site, v.role ORDER BY n.i) AS rank, concat('https://', n.site, v.path) AS url
+        FROM n JOIN {_values([(i, path, role) for i, (path, _, _, role) in enumerate(_NAV) if role], 'i, path, role')} ON v.i = n.i)"""
 
 
-@query(f"SELECT site, role, CAST(rank AS INT) AS rank, url FROM {_values(_ROLES, 'site, role, rank, url')}")
+def _nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.broadcast(spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(_NAV)], "ord int, path string, text string, context string"))
+    rows = _t(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.floor(F.col("p_partkey") / 7), F.lit(".test")).alias("site"), (F.col("p_partkey") % 7).cast("int").alias("ord")).join(links, "ord")
+    return rows.select("site", "ord", F.concat(F.lit("https://"), "site", "path").alias("url"), "text", "context")
+
+
+@query(f"WITH {_NAV_SQL} SELECT site, role, CAST(rank AS INT) AS rank, url FROM c")
 def role_candidates(spark, sf_dir):
-    return sampling.role_candidates(spark.createDataFrame(_NAV, "site string, ord int, url string, text string, context string")).select("site", "role", "rank", "url")
+    """Roles by label and path: the footer's page of people comes after the navigation's page about the site, fragments are no pages."""
+    return sampling.role_candidates(_nav(spark, sf_dir)).select("site", "role", "rank", "url")
 
 
-@query(f"""SELECT s.site, r.role FROM {_values([('a.test',), ('b.test',)], 'site').replace('AS v', 'AS s')}, {_values([(r,) for r in V.ROLE_ORDER], 'role').replace('AS v', 'AS r')}
-    WHERE NOT EXISTS (SELECT 1 FROM {_values(_ROLES, 'site, role, rank, url')} WHERE v.site = s.site AND v.role = r.role AND v.rank = 1)""")
+@query(f"""WITH {_NAV_SQL} SELECT s.site, r.role FROM (SELECT DISTINCT site FROM n) s, {_values([(r,) for r in V.ROLE_ORDER], 'role').replace('AS v', 'AS r')}
+    WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.site = s.site AND c.role = r.role)""")
 def missing_roles(spark, sf_dir):
-    picked = sampling.pick_pages(sampling.role_candidates(spark.createDataFrame(_NAV, "site string, ord int, url string, text string, context string")))
-    return sampling.missing_roles(picked, spark.createDataFrame([("a.test",), ("b.test",)], "site string"))
+    links = _nav(spark, sf_dir)
+    return sampling.missing_roles(sampling.pick_pages(sampling.role_candidates(links)), links.select("site").distinct())
 
 
 _TLD = {c: v["tld"] for c, v in V.CATEGORY_SIGNALS.items()}
@@ -404,64 +433,81 @@ def turn_order(spark, sf_dir):
 
 # ---- grading --------------------------------------------------------------------------------
 
+#: A site for each customer: its category, the roles of the pages hit and the confidence go round with the key.
 _GRID_ROLES = [["home"], ["blog"], ["about", "contact", "home"], []]
 _REG = _values(V.CHECKS, "check_id, stage, dflt, max_severity, usual, effort, scope")
 _RANK = "list_position(['critical', 'high', 'medium', 'low', 'info'], {}) - 1"
-_GRID = f"""grid AS (SELECT r.*, c.category, p.roles, p.k, f.conf FROM {_REG.replace('AS v', 'AS r')}, {_values([(c,) for c in V.CATEGORIES], 'category').replace('AS v', 'AS c')},
-        {_values([(['home'], 0), (['blog'], 1), (['about', 'contact', 'home'], 2), (['-'], 3)], 'raw, k').replace('AS v', 'AS q')}, LATERAL (SELECT CASE WHEN q.k = 3 THEN CAST([] AS VARCHAR[]) ELSE q.raw END AS roles, q.k AS k) p, {_values([(c,) for c in CONFIDENCES], 'conf').replace('AS v', 'AS f')}),
+_NC = len(V.CATEGORIES)
+_GRID = f"""u AS (SELECT c_custkey AS site, {list(V.CATEGORIES)}[c_custkey % {_NC} + 1] AS category, (c_custkey // {_NC}) % 4 AS k, {list(CONFIDENCES)}[(c_custkey // {4 * _NC}) % 3 + 1] AS conf FROM customer),
+    grid AS (SELECT r.*, u.*, CASE u.k WHEN 0 THEN ['home'] WHEN 1 THEN ['blog'] WHEN 2 THEN ['about', 'contact', 'home'] ELSE CAST([] AS VARCHAR[]) END AS roles FROM {_REG.replace('AS v', 'AS r')}, u),
     s AS (SELECT g.*, o.sev AS override, {_RANK.format('coalesce(o.sev, g.dflt)')} AS s1, {_RANK.format('g.max_severity')} AS top, list_has_any(g.roles, k.keys) AS on_key
         FROM grid g LEFT JOIN {_values([(k, c, s) for k, row in V.SEVERITY_OVERRIDES.items() for c, s in row.items() if s != 'not_evaluated'], 'check_id, category, sev').replace('AS v', 'AS o')} ON o.check_id = g.check_id AND o.category = g.category
         JOIN {_values([(c, ['home', *r]) for c, r in V.KEY_PAGES.items()], 'category, keys').replace('AS v', 'AS k')} ON k.category = g.category),
     t AS (SELECT *, CASE WHEN len(roles) > 0 AND on_key AND list_contains(roles, 'home') AND max_severity = 'critical' AND dflt IN ('high', 'critical') THEN 0 WHEN len(roles) > 0 AND NOT on_key THEN least(s1 + 1, 3) ELSE s1 END AS s2 FROM s),
-    u AS (SELECT *, CASE WHEN len(roles) >= 3 THEN greatest(s2 - 1, 0, top) ELSE s2 END AS s3 FROM t),
-    w AS (SELECT *, greatest(CASE WHEN conf = 'low' AND s3 < 2 THEN 2 ELSE s3 END, top) AS s5 FROM u),
-    graded AS (SELECT check_id, category, k, conf AS confidence, effort, ['critical', 'high', 'medium', 'low', 'info'][s5 + 1] AS severity FROM w)"""
+    v3 AS (SELECT *, CASE WHEN len(roles) >= 3 THEN greatest(s2 - 1, 0, top) ELSE s2 END AS s3 FROM t),
+    w AS (SELECT *, greatest(CASE WHEN conf = 'low' AND s3 < 2 THEN 2 ELSE s3 END, top) AS s5 FROM v3),
+    graded AS (SELECT site, check_id, stage, category, k, conf AS confidence, CASE WHEN dflt = 'info' THEN 'n/a' ELSE effort END AS effort,
+        CASE WHEN dflt = 'info' THEN 'info' ELSE ['critical', 'high', 'medium', 'low', 'info'][s5 + 1] END AS severity FROM w)"""
 
 
-def _graded(spark: SparkSession) -> DataFrame:
-    rows = [(c, i, roles, conf) for c in V.CATEGORIES for i, roles in enumerate(_GRID_ROLES) for conf in CONFIDENCES]
-    grid = spark.createDataFrame(rows, "category string, k int, roles array<string>, confidence string").join(F.broadcast(dim(spark, "check_registry").select("check_id")))
-    return grade.adjust_severity(grid.withColumn("sampled_pages", F.lit(3)))
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    turn = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / by) % len(values) + 1).cast("int"))
+    n = F.floor(k / _NC) % 4
+    roles = F.coalesce(*[F.when(n == i, F.array(*map(F.lit, r)).cast("array<string>")) for i, r in enumerate(_GRID_ROLES)])
+    sites = _t(spark, sf_dir, "customer").select(k.alias("site"), turn(V.CATEGORIES, 1).alias("category"), n.alias("k"), roles.alias("roles"), turn(CONFIDENCES, 4 * _NC).alias("confidence"))
+    grid = sites.join(F.broadcast(dim(spark, "check_registry").select("check_id")))
+    return grade.derive(grade.adjust_severity(grid.withColumn("sampled_pages", F.lit(3))))
 
 
-@query(f"WITH {_GRID} SELECT check_id, category, k::INT AS k, confidence, severity FROM graded")
+@query(f"WITH {_GRID} SELECT site, check_id, category, k::INT AS k, confidence, severity FROM graded")
 def severity_adjust(spark, sf_dir):
-    return _graded(spark).select("check_id", "category", "k", "confidence", "severity")
+    return _graded(spark, sf_dir).select("site", "check_id", "category", F.col("k").cast("int").alias("k"), "confidence", "severity")
 
 
 _IMPACT = "CASE WHEN severity IN ('critical', 'high') THEN 'high' WHEN severity = 'medium' THEN 'medium' ELSE 'low' END"
 
 
-@query(f"""WITH {_GRID} SELECT check_id, category, k::INT AS k, confidence, {_IMPACT} AS impact,
+@query(f"""WITH {_GRID} SELECT site, check_id, confidence, {_IMPACT} AS impact,
         CASE WHEN confidence = 'low' AND ({_IMPACT}) = 'high' THEN 'medium' WHEN confidence = 'low' AND ({_IMPACT}) = 'medium' THEN 'low' ELSE {_IMPACT} END AS priority FROM graded""")
 def impact_priority(spark, sf_dir):
-    return grade.derive(_graded(spark)).select("check_id", "category", "k", "confidence", "impact", "priority")
+    return _graded(spark, sf_dir).select("site", "check_id", "confidence", "impact", "priority")
 
 
-def _site_findings(spark: SparkSession) -> DataFrame:
-    """One finding for each check of each category as a site, on home, with the usual confidence by turns."""
-    own = _graded(spark).where("k = 0").join(F.broadcast(dim(spark, "check_registry").select("check_id", F.col("confidence").alias("usual"))), "check_id").where("confidence = usual")
-    return own.withColumns({"site": F.col("category"), "pages": F.array(F.lit("https://a.test/")), "status": F.lit("fail")})
+def _site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of each customer's site have failed on its home page."""
+    return _graded(spark, sf_dir).withColumns({"pages": F.array(F.lit("https://a.test/")), "status": F.lit("fail")})
 
 
-_FINDINGS = f"""{_GRID}, f AS (SELECT g.category AS site, g.check_id, g.severity, g.confidence, g.effort, r.stage FROM graded g JOIN {_REG.replace('AS v', 'AS r')} ON r.check_id = g.check_id AND r.usual = g.confidence WHERE g.k = 0),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {_RANK.format('severity')}, list_position(['high', 'medium', 'low'], confidence), check_id) AS rank FROM f)"""
+_QUICK = "severity IN ('critical', 'high', 'medium') AND effort = 'low' AND confidence <> 'low'"
+_FINDINGS = f"""{_GRID}, ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {_RANK.format('severity')}, list_position(['high', 'medium', 'low'], confidence), check_id) AS rank FROM graded)"""
 
 
-@query(f"WITH {_FINDINGS} SELECT site, check_id, rank::INT AS rank, printf('F-%03d', rank) AS id, severity IN ('critical', 'high', 'medium') AND effort = 'low' AND confidence = 'high' AS quick_win FROM ranked")
+@query(f"WITH {_FINDINGS} SELECT site, check_id, rank::INT AS rank, printf('F-%03d', rank) AS id, {_QUICK} AS quick_win FROM ranked")
 def finding_rank(spark, sf_dir):
-    return grade.tag(grade.rank_findings(_site_findings(spark))).select("site", "check_id", "rank", "id", "quick_win")
+    return grade.tag(grade.rank_findings(_site_findings(spark, sf_dir))).select("site", "check_id", "rank", "id", "quick_win")
 
 
-@query(f"""WITH {_FINDINGS} SELECT site, coalesce(min_by(check_id, rank) FILTER (severity IN ('critical', 'high', 'medium') AND effort = 'low' AND confidence = 'high'), min_by(check_id, rank)) AS check_id
-    FROM ranked WHERE severity <> 'info' GROUP BY site""")
+@query(f"""WITH {_FINDINGS}, p AS (SELECT *, {_QUICK} AS quick, CASE WHEN severity IN ('critical', 'high') THEN CASE WHEN confidence = 'low' THEN 1 ELSE 0 END WHEN severity = 'medium' THEN CASE WHEN confidence = 'low' THEN 2 ELSE 1 END ELSE 2 END AS prio FROM ranked WHERE severity <> 'info'),
+    o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY NOT quick, CASE WHEN NOT quick THEN prio END, CASE WHEN NOT quick THEN list_position(['low', 'medium', 'high'], effort) END, CASE WHEN NOT quick THEN list_position(['high', 'medium', 'low'], confidence) END, rank) AS n FROM p)
+    SELECT site, check_id FROM o WHERE n = 1""")
 def start_with(spark, sf_dir):
-    return grade.start_with(grade.rank_findings(_site_findings(spark)))
+    return grade.start_with(grade.rank_findings(_site_findings(spark, sf_dir)))
 
 
-@query(f"WITH {_FINDINGS} SELECT site, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info FROM f GROUP BY 1")
+@query(f"WITH {_FINDINGS} SELECT site, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info FROM ranked GROUP BY 1")
 def severity_counts(spark, sf_dir):
-    return _site_findings(spark).groupBy("site").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    return _site_findings(spark, sf_dir).groupBy("site").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+
+
+@query(f"""WITH {_GRID}, m AS (SELECT * FROM (VALUES ('access', 'retrieval', 'invisible'), ('render', 'retrieval', 'invisible'), ('extract', 'ranking', 'invisible'), ('entity', 'ranking', 'stale'), ('freshness', 'ranking', 'stale'), ('corroboration', 'ranking', 'stale'),
+        ('engagement', NULL, 'bouncing')) AS v(stage, pipeline, mode))
+    SELECT g.site, g.check_id, CASE WHEN g.check_id LIKE 'or.run.%' THEN NULL ELSE m.mode END AS mode,
+        CASE WHEN g.check_id LIKE 'cr.%' OR g.check_id LIKE 'or.run.%' OR (g.check_id LIKE 'en.%' AND NOT regexp_matches(g.check_id, '^en[.](hero|cta|trust|continuity)[.]|^en[.]nav[.]related_links_missing')) THEN 'technical' ELSE 'content' END AS opportunity_type
+    FROM graded g LEFT JOIN m USING (stage)""")
+def finding_tags(spark, sf_dir):
+    """Mode and kind of opportunity of each finding."""
+    return grade.tag(_site_findings(spark, sf_dir)).select("site", "check_id", "mode", "opportunity_type")
 
 
 #: Results of checks for every site of the pages, made up by a rule on the first page's id and the check's place in the registry.
@@ -490,11 +536,32 @@ def status_counts(spark, sf_dir):
     return _results(spark, sf_dir).groupBy("site").agg(*[F.count_if(F.col("status") == s).alias(s) for s in _STATES if s])
 
 
-@query(f"""WITH {_RESULTS} SELECT r.site, l.letter, CASE WHEN bool_or(status = 'fail') THEN 'issues_found' WHEN bool_or(status IN ('inconclusive', 'not_evaluated')) AND bool_or(status = 'pass') THEN 'partly_checked'
-        WHEN bool_or(status IN ('inconclusive', 'not_evaluated')) THEN 'not_checked' ELSE 'no_issues' END AS verdict
-    FROM res r JOIN {_values([(k, s) for k, ss in V.LETTER_STAGES.items() for s in ss], 'letter, stage').replace('AS v', 'AS l')} USING (stage) WHERE status IS NOT NULL GROUP BY ALL""")
+#: The stages of each concept and what a full run says of it.
+_LETTERS = [("A", "access", "covered"), ("A", "render", "covered"), ("A", "extract", "covered"), ("B", "access", "covered"), ("B", "extract", "covered"), ("B", "freshness", "covered"),
+            ("C", "render", "covered"), ("C", "extract", "covered"), ("D", "entity", "partial"), ("D", "freshness", "partial"), ("D", "corroboration", "partial")]
+#: Stages by results of which every third site lacks all verdicts on access and rendering, every fourth on entities, and every other has reasons of category alone.
+_STAGE_RESULTS = f"""{_RESULTS}, x AS (SELECT r.site, r.check_id, r.stage, s.first_page AS p, CASE WHEN (s.first_page % 3 = 0 AND r.stage IN ('access', 'render', 'extract')) OR (s.first_page % 4 = 0 AND r.stage = 'entity') THEN 'not_evaluated'
+        ELSE r.status END AS status, CASE WHEN s.first_page % 2 = 0 THEN 'not_applicable_for_category' ELSE 'no_usable_pages' END AS reason FROM res r JOIN {SITES} s USING (site) WHERE r.status IS NOT NULL),
+    st AS (SELECT site, stage, CASE WHEN NOT bool_or(status IN ('pass', 'fail')) THEN 'not_evaluated' WHEN bool_or(status NOT IN ('pass', 'fail') AND reason <> 'not_applicable_for_category') THEN 'partial' ELSE 'evaluated' END AS state
+        FROM x WHERE stage <> '' GROUP BY ALL)"""
+
+
+def _stage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, stage = F.col("first_page"), F.col("stage")
+    rows = _results(spark, sf_dir).join(_sites(spark, sf_dir), "site").join(F.broadcast(dim(spark, "check_registry").select("check_id", "stage")), "check_id")
+    blind = ((p % 3 == 0) & stage.isin("access", "render", "extract")) | ((p % 4 == 0) & (stage == "entity"))
+    return rows.withColumns({"status": F.when(blind, "not_evaluated").otherwise(F.col("status")), "reason": F.when(p % 2 == 0, "not_applicable_for_category").otherwise("no_usable_pages")}).drop("stage", "first_page")
+
+
+@query(f"WITH {_STAGE_RESULTS} SELECT * FROM st")
+def stage_coverage(spark, sf_dir):
+    return report.stage_coverage(_stage_results(spark, sf_dir))
+
+
+@query(f"""WITH {_STAGE_RESULTS}, l AS (SELECT st.site, letter, any_value(base) AS base, bool_and(state = 'not_evaluated') AS none, bool_and(state = 'evaluated') AS whole FROM st JOIN {_values(_LETTERS, 'letter, stage, base')} ON v.stage = st.stage GROUP BY ALL)
+    SELECT site, letter, CASE WHEN none THEN 'not_evaluated' WHEN whole THEN base ELSE 'partial' END AS verdict FROM l UNION ALL SELECT DISTINCT site, unnest(['E', 'F']), 'out_of_scope' FROM st""")
 def coverage_rollup(spark, sf_dir):
-    return grade.coverage(_results(spark, sf_dir))
+    return report.concept_coverage(report.stage_coverage(_stage_results(spark, sf_dir))).withColumnRenamed("state", "verdict")
 
 
 @query(f"WITH {_RESULTS} SELECT r.site, r.check_id, t.title FROM res r JOIN {_values(V.POSITIVE_TITLES.items(), 'check_id, title').replace('AS v', 'AS t')} USING (check_id) WHERE r.status = 'pass'")
@@ -502,16 +569,21 @@ def passed_titles(spark, sf_dir):
     return grade.passed_titles(_results(spark, sf_dir))
 
 
-_QUESTIONS = [(c, i, f) for c, rows in V.SIMULATION_QUESTIONS.items() for i, (_, f, _) in enumerate(rows)]
+#: Besides each category's own questions two that all have: who it is for (by the category's audience fact) and what sets it apart.
+_AUDIENCE = {"ecommerce": "what_it_sells", "saas_software": "who_it_is_for", "unknown": "what_it_does"}
+_QUESTIONS = [(c, i, f) for c in _AUDIENCE for i, f in enumerate([*(list(f) for _, f, _ in V.SIMULATION_QUESTIONS[c]), [_AUDIENCE[c]], ["differentiator"]])]
 
 
 @query(f"""WITH q AS (SELECT s.site, s.first_page, v.ord, unnest(v.facts) AS fact FROM {SITES} s JOIN {_values(_QUESTIONS, 'category, ord, facts')} ON v.category = ['ecommerce', 'saas_software', 'unknown'][s.first_page % 3 + 1])
-    SELECT site, ord::INT AS ord, bool_and((first_page + length(fact)) % 2 = 0) AS answerable FROM q GROUP BY ALL""")
+    SELECT site, ord::INT AS ord, bool_and((first_page + length(fact)) % 2 = 0 AND (first_page + length(fact)) % 8 <> 0) AS answerable FROM q GROUP BY ALL""")
 def simulation_answerable(spark, sf_dir):
+    """Questions of three categories of sites; facts are present by their names' length, some with a value that is navigation."""
     kinds = F.array(F.lit("ecommerce"), F.lit("saas_software"), F.lit("unknown"))
     sites = _sites(spark, sf_dir).withColumns({"category": F.element_at(kinds, (F.col("first_page") % 3 + 1).cast("int")), "brand": F.col("site")})
-    known = sites.join(F.broadcast(dim(spark, "key_fact").select("category", "fact_id")), "category").where((F.col("first_page") + F.char_length("fact_id")) % 2 == 0)
-    return grade.simulate(sites, known.select("site", "fact_id", F.lit("present").alias("status"))).select("site", "ord", "answerable")
+    names = spark.createDataFrame(sorted({(f,) for _, _, fs in _QUESTIONS for f in fs}), "fact_id string")
+    n = F.col("first_page") + F.char_length("fact_id")
+    known = sites.join(F.broadcast(names)).where(n % 2 == 0).select("site", "fact_id", F.lit("present").alias("status"), F.when(n % 8 == 0, "Home | Shop").otherwise("We do this").alias("value"))
+    return grade.simulate(sites, known).select("site", "ord", "answerable")
 
 
 @query(f"""WITH e AS (SELECT s.site, s.first_page, a.check_id, a.role FROM {SITES} s, {_values([(k, r) for k, rs in V.ABSENCE_ROLES.items() for r in rs], 'check_id, role').replace('AS v', 'AS a')}
@@ -527,25 +599,32 @@ def absence_gate(spark, sf_dir):
     return grade.absence_gate(rows, keys, read).select("site", "check_id", "status", "absence_scope")
 
 
-_BROKEN = [("a", "cr.robots.blanket_disallow", "critical", "low", "high", "medium", 1, "F-001", "fail"), ("a", "no.such.check", "low", "high", "low", "low", 2, "F-003", "fail"),
-           ("a", "fx.identity.og_missing", "high", "high", "medium", "high", 3, "F-003", "fail"), ("b", "en.links.blocked_cluster", "info", "high", "low", "low", 1, "F-001", "inconclusive")]
-_PROBLEMS = [("a", "cr.robots.blanket_disallow", "low confidence with high severity"), ("a", "no.such.check", "unknown check"), ("a", "no.such.check", "id does not follow"),
-             ("a", "fx.identity.og_missing", "severity above its largest"), ("a", "fx.identity.og_missing", "impact does not follow"), ("a", "fx.identity.og_missing", "out of order")]
+_BROKEN = [("cr.robots.blanket_disallow", "critical", "low", "high", "medium", 1, "F-001", "fail"), ("no.such.check", "low", "high", "low", "low", 2, "F-003", "fail"),
+           ("fx.identity.og_missing", "high", "high", "medium", "high", 3, "F-003", "fail"), ("en.links.blocked_cluster", "info", "high", "low", "low", 4, "F-004", "inconclusive")]
+_PROBLEMS = [("cr.robots.blanket_disallow", "low confidence with high severity"), ("no.such.check", "unknown check"), ("no.such.check", "id does not follow"),
+             ("fx.identity.og_missing", "severity above its largest"), ("fx.identity.og_missing", "impact does not follow"), ("fx.identity.og_missing", "out of order")]
 
 
-@query(f"SELECT site, check_id, problem FROM {_values(_PROBLEMS, 'site, check_id, problem')}")
+@query(f"SELECT s_suppkey AS site, check_id, problem FROM supplier, {_values(_PROBLEMS, 'check_id, problem')} WHERE s_suppkey % 3 <> 0")
 def validator_violations(spark, sf_dir):
-    schema = "site string, check_id string, severity string, confidence string, impact string, priority string, rank int, id string, status string"
-    return grade.violations(spark.createDataFrame(_BROKEN, schema))
+    """A report for each supplier, of which two in three have spoilt findings."""
+    broken = F.broadcast(spark.createDataFrame(_BROKEN, "check_id string, severity string, confidence string, impact string, priority string, rank int, id string, status string"))
+    sites = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"))
+    return grade.violations(sites.join(broken).where("site % 3 <> 0 or rank = 4").withColumns({
+        "rank": F.when(F.col("site") % 3 == 0, 1).otherwise(F.col("rank")), "id": F.when(F.col("site") % 3 == 0, "F-001").otherwise(F.col("id"))}))
 
 
-_FOLD = [("a", "cr.access.challenge_page", ["u1", "u2"], "info", "info"), ("a", "en.mobile.viewport_missing", ["u1"], "high", "high"), ("a", "fx.identity.og_missing", ["u1", "u3"], "low", "low"),
-         ("a", "cr.index.sitemap_missing", [], "low", "medium"), ("a", "cr.index.sitemap_invalid", [], "medium", "medium")]
+_FOLD = [("cr.access.challenge_page", ["u1", "u2"], "info", "info"), ("en.mobile.viewport_missing", ["u1"], "high", "high"), ("fx.identity.og_missing", ["u1", "u3"], "low", "low"),
+         ("cr.index.sitemap_missing", [], "low", "medium"), ("cr.index.sitemap_invalid", [], "medium", "medium")]
 
 
-@query(f"SELECT site, check_id, folded_into FROM {_values([('a', 'en.mobile.viewport_missing', 'cr.access.challenge_page'), ('a', 'cr.index.sitemap_invalid', 'cr.index.sitemap_missing')], 'site, check_id, folded_into')}")
+@query("""SELECT s_suppkey AS site, 'en.mobile.viewport_missing' AS check_id, 'cr.access.challenge_page' AS folded_into FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT s_suppkey, 'cr.index.sitemap_invalid', 'cr.index.sitemap_missing' FROM supplier""")
 def dedupe_containment(spark, sf_dir):
-    return grade.fold(spark.createDataFrame(_FOLD, "site string, check_id string, pages array<string>, severity string, max_severity string"))[1].select("site", "check_id", "folded_into")
+    """Five findings a supplier; on odd ones the challenge did not hit the page of the other finding."""
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(F.broadcast(spark.createDataFrame(_FOLD, "check_id string, pages array<string>, severity string, max_severity string")))
+    missed = (F.col("site") % 2 == 1) & (F.col("check_id") == "cr.access.challenge_page")
+    return grade.fold(rows.withColumn("pages", F.when(missed, F.array(F.lit("u2"))).otherwise(F.col("pages"))))[1].select("site", "check_id", "folded_into")
 
 
 @query()
@@ -558,7 +637,8 @@ def audit_findings(spark, sf_dir):
     placed = docs.join(firsts, "site").withColumn("key", F.regexp_replace("url", "/+$", "")).join(picked, ["site", "key"], "left")
     roles = placed.withColumns({"role": role, "page_ord": F.col("page_id").cast("int")}).drop("first_page", "key", "picked")
     sites = written(sampling.categorize(_scores(spark, docs)).select("site", "category"), "categories")
-    return plan.audit(roles, sites, "2024-06-01").findings.select("site", "id", "check_id", "severity", "confidence", "impact", "priority", F.size("pages").alias("pages"), "quick_win")
+    return plan.audit(roles, sites, "2024-06-01").findings.select("site", "id", "check_id", "status", "severity", "confidence", "impact", "priority", F.size("pages").alias("pages"), "quick_win", "title", "evidence_text", "evidence",
+                                                                  "suggested_action")
 
 
 # ---- generality: the star schema ------------------------------------------------------------

@@ -13,7 +13,8 @@ from webgrain.functions import text as T
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
 from webgrain.operators import checks, facts, gates, grade, html, report
-from webgrain.queries import _RESULTS, SITES, _docs, _results, _sites, _t, _values, query
+from webgrain.operators.evidence import EVIDENCE
+from webgrain.queries import _LETTERS, _RESULTS, _STAGE_RESULTS, SITES, _docs, _results, _sites, _stage_results, _t, _values, query
 from webgrain.sources.store import written
 
 _WORDS = "plain words stand here and say nothing that a rule would look for " * 6
@@ -124,62 +125,126 @@ def audit_status(spark, sf_dir):
 
 # ---- folding --------------------------------------------------------------------------------
 
-#: row, primary, a victim, whether the two fold only where the part's key says so
-_FOLD_CASES = [(1, "cr.access.challenge_page", "fx.identity.og_missing", True), (2, "cr.robots.blanket_disallow", "cr.robots.index_bot_blocked", False), (3, "cr.access.non_html_seed", "en.mobile.viewport_missing", True),
-               (4, "cr.render.csr_shell", "en.hero.value_prop_unclear", True), (5, "cr.render.js_gate", "fx.facts.key_fact_missing", True), (6, "fx.jsonld.missing", "fx.jsonld.no_organization", False),
-               (8, "ef.entity.nap_missing_plain_text", "fx.facts.key_fact_missing", True), (9, "en.links.blocked_cluster", "en.links.broken_sampled", True),
-               (10, "fx.identity.h1_missing_or_multiple", "en.hero.value_prop_unclear", True), (11, "cr.index.sitemap_missing", "cr.index.sitemap_invalid", False),
-               (12, "ef.entity.wikidata_unavailable", "ef.entity.wikidata_not_found", False)]
+_HOME = "home"
+
+
+def _seen(value=None, kind="computed", page="u1", location=None, note=None):
+    return (page, kind, value or "x=1", location, note)
+
+
+def _case(primary, victim, pages=("u1", "u2"), own=("u1",), main=(), said=(), read=("home", "u1", "u2", "u3"), category="ecommerce", others=()):
+    """The findings of a made site: primary and victim with their pages and evidence, and others that are neither."""
+    return [(c, list(pg), list(ev), list(read), category) for c, pg, ev in ((primary, pages, main), (victim, own, said), *others)]
+
+
+_BLOCK = "script[type=application/ld+json][1]"
+_NAP, _FACT = "ef.entity.nap_missing_plain_text", "fx.facts.key_fact_missing"
+#: row, primary, victim, and a site where the two fold beside one where they do not (None: they always do; the same in both places: never).
+_FOLD_CASES = [
+    (1, "cr.access.challenge_page", "fx.identity.og_missing", {}, {"own": ("u3",)}),
+    (1, "cr.access.challenge_page", "ef.freshness.no_visible_dates", None, {"own": ()}),  # a finding of the site as a whole stays
+    (2, "cr.robots.blanket_disallow", "cr.robots.index_bot_blocked", {"own": ()}, None),
+    (3, "cr.access.non_html_seed", "en.mobile.viewport_missing", {"own": ("home",)}, {"own": ("home", "u1")}),
+    (4, "cr.render.csr_shell", "en.hero.value_prop_unclear", {}, {"own": ("u1", "u3")}),
+    (4, "cr.render.js_gate", "en.mobile.viewport_missing", None, {}),
+    (5, "cr.render.js_gate", _FACT, {"pages": ("home", "u1"), "own": (), "read": ("home", "u1")}, {"pages": ("home", "u1"), "own": (), "read": ("home", "u1", "u4")}),
+    (5, "cr.render.js_gate", _FACT, {"pages": ("home",), "own": (), "read": ("home", "u1"), "others": [("cr.render.csr_shell", ("u1",), ())]}, {"pages": ("u1",), "own": (), "read": ("home", "u1"), "others": [("cr.render.csr_shell", ("u4",), ())]}),
+    (6, "fx.jsonld.missing", "fx.jsonld.no_organization", {"own": ()}, None),
+    (6, "fx.jsonld.missing", "ef.entity.name_inconsistent", {"own": (), "said": [_seen("Acme", note="jsonld:Organization.name")]}, {"own": (), "said": [_seen("Acme", note="meta:og:site_name")]}),
+    (7, "fx.jsonld.malformed", "fx.jsonld.required_props_missing", {"main": [_seen(location=_BLOCK)], "said": [_seen(location=_BLOCK)]}, {"main": [_seen(location=_BLOCK)], "said": [_seen(location=_BLOCK.replace("1", "2"))]}),
+    (8, _NAP, _FACT, {"own": (), "category": "local_business", "said": [_seen("key_facts=6; missing=address,phone")]}, {"own": (), "category": "local_business", "said": [_seen("key_facts=6; missing=address,opening_hours")]}),
+    (8, _NAP, _FACT, {"own": (), "category": "local_business", "said": [_seen("missing=phone; pages=2")]}, {"own": (), "said": [_seen("missing=phone; pages=2")]}),
+    (9, "en.links.blocked_cluster", "en.links.broken_sampled", {"own": (), "said": [_seen("GET /a -> 403", "http_status"), _seen("GET /b -> 429", "http_status")]}, {"own": (), "said": [_seen("GET /a -> 403", "http_status"), _seen("GET /b -> 404", "http_status")]}),
+    (10, "fx.identity.h1_missing_or_multiple", "en.continuity.h1_title_mismatch", {"main": [_seen("h1_count=0")]}, {"main": [_seen("h1_count=2")]}),
+    (10, "fx.identity.h1_missing_or_multiple", "en.hero.value_prop_unclear", {"main": [_seen("h1_count=0")], "said": [_seen("signals=h1_missing")]}, {"main": [_seen("h1_count=0")], "said": [_seen("signals=lead_text_no_offer")]}),
+    (11, "cr.index.sitemap_missing", "cr.index.sitemap_invalid", {"own": ()}, None),
+    (12, "ef.entity.wikidata_unavailable", "ef.entity.wikidata_not_found", {"own": ()}, None),
+]
+
+
+def _fold_sites(spark, sf_dir):
+    """A site for each part: a case of a row of the folding table, met in one half of them."""
+    made = [(i, yes, *f) for i, (_, primary, victim, met, not_met) in enumerate(_FOLD_CASES) for yes, spec in ((True, met), (False, not_met)) for f in _case(primary, victim, **(spec if spec is not None else met or not_met))]
+    cases = spark.createDataFrame(made, f"k int, yes boolean, check_id string, pages array<string>, evidence {EVIDENCE}, html_urls array<string>, category string")
+    n, p = len(_FOLD_CASES), F.col("p_partkey")
+    rows = _t(spark, sf_dir, "part").select(p.cast("string").alias("site"), (p % n).cast("int").alias("k"), (F.floor(p / n) % 2 == 0).alias("yes"), p)
+    return rows.join(F.broadcast(cases), ["k", "yes"]).withColumns({"home_url": F.lit(_HOME), "severity": F.lit("medium"), "max_severity": F.lit("high")})
+
+
+@query(f"""SELECT p_partkey::VARCHAR AS site, f.victim AS check_id, f.primary_id AS folded_into, f.fold_row::INT AS fold_row FROM part JOIN (VALUES (0, 1, 'cr.access.challenge_page', 'fx.identity.og_missing', 1),
+        (2, 2, 'cr.robots.blanket_disallow', 'cr.robots.index_bot_blocked', 2), (3, 3, 'cr.access.non_html_seed', 'en.mobile.viewport_missing', 1), (4, 4, 'cr.render.csr_shell', 'en.hero.value_prop_unclear', 1),
+        (6, 5, 'cr.render.js_gate', '{_FACT}', 1), (7, 5, 'cr.render.js_gate', '{_FACT}', 1), (8, 6, 'fx.jsonld.missing', 'fx.jsonld.no_organization', 2), (9, 6, 'fx.jsonld.missing', 'ef.entity.name_inconsistent', 1),
+        (10, 7, 'fx.jsonld.malformed', 'fx.jsonld.required_props_missing', 1), (11, 8, '{_NAP}', '{_FACT}', 1), (12, 8, '{_NAP}', '{_FACT}', 1), (13, 9, 'en.links.blocked_cluster', 'en.links.broken_sampled', 1),
+        (14, 10, 'fx.identity.h1_missing_or_multiple', 'en.continuity.h1_title_mismatch', 1), (15, 10, 'fx.identity.h1_missing_or_multiple', 'en.hero.value_prop_unclear', 1), (16, 11, 'cr.index.sitemap_missing', 'cr.index.sitemap_invalid', 2),
+        (17, 12, 'ef.entity.wikidata_unavailable', 'ef.entity.wikidata_not_found', 2)) AS f(k, fold_row, primary_id, victim, halves) ON f.k = p_partkey % 18 WHERE f.halves = 2 OR (p_partkey // 18) % 2 = 0""")
+def made_folds(spark, sf_dir):
+    """Each row of the folding table both ways, by pages, places, statuses, notes, facts, category and the pages that were read."""
+    return grade.fold(_fold_sites(spark, sf_dir))[1].select("site", "check_id", "folded_into", "fold_row")
 
 
-@query(f"""SELECT p_partkey::VARCHAR AS site, f.victim AS check_id, f.primary_id AS folded_into, f.fold_row::INT AS fold_row FROM part
-    JOIN {_values([(i, *c) for i, c in enumerate(_FOLD_CASES)], 'k, fold_row, primary_id, victim, depends').replace('AS v', 'AS f')} ON f.k = p_partkey % {len(_FOLD_CASES)}
-    WHERE NOT f.depends OR (p_partkey // {len(_FOLD_CASES)}) % 2 = 0""")
-def made_folds(spark, sf_dir):
-    """A site for each part, with one primary and one victim of a row of the folding table, related or not by its key."""
-    n = len(_FOLD_CASES)
-    cases = F.broadcast(spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(_FOLD_CASES)], "k int, fold_row int, primary_id string, victim string"))
-    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("site"), (F.col("p_partkey") % n).cast("int").alias("k"), (F.floor(F.col("p_partkey") / n) % 2 == 0).alias("yes")).join(cases, "k")
-    row, yes = F.col("fold_row"), F.col("yes")
-    arr = lambda *x: F.array(*map(F.lit, x))
-    shared = dict(severity=F.lit("medium"), max_severity=F.lit("high"), home_url=F.lit("home"), sampled_pages=F.when(yes, 2).otherwise(3))
-    main = rows.select("site", F.col("primary_id").alias("check_id"), *[v.alias(k) for k, v in shared.items()], F.when(row == 5, arr("home", "u1")).otherwise(arr("u1", "u2")).alias("pages"),
-                       arr("u1").alias("bare"), F.lit(None).cast("array<string>").alias("missing"), F.lit(None).cast("array<int>").alias("statuses"))
-    inside = F.when(row == 3, F.when(yes, arr("home")).otherwise(arr("u3"))).when(row == 10, F.when(yes, arr("u1")).otherwise(arr("u2"))).when(yes, arr("u1")).otherwise(arr("u3"))
-    victim = rows.select("site", F.col("victim").alias("check_id"), *[v.alias(k) for k, v in shared.items()], inside.alias("pages"), F.lit(None).cast("array<string>").alias("bare"),
-                         F.when(yes, arr("address")).otherwise(arr("address", "price")).alias("missing"), F.when(yes, arr(403, 429)).otherwise(arr(403, 404)).alias("statuses"))
-    return grade.fold(main.unionByName(victim))[1].select("site", "check_id", "folded_into", "fold_row")
+@query("""WITH q AS (SELECT p_partkey AS p, ['critical', 'high', 'medium', 'low'][p_partkey % 4 + 1] AS victim, ['high', 'medium', 'low', 'info'][(p_partkey // 4) % 4 + 1] AS own, ['critical', 'high', 'medium', 'info'][(p_partkey // 16) % 4 + 1] AS top,
+        p_partkey % 5 <> 0 AS failed FROM part), r AS (SELECT *, ['critical', 'high', 'medium', 'low', 'info'] AS s FROM q), n AS (SELECT *, list_position(s, victim) AS v, list_position(s, own) AS o, list_position(s, top) AS t FROM r)
+    SELECT p AS site, CASE WHEN failed AND greatest(t, v) < o THEN s[greatest(t, v)] ELSE own END AS severity, CASE WHEN failed AND greatest(t, v) < o THEN 'folded=fx.identity.og_missing; note=root cause: content is not present in the server response|severity_inherited_from=fx.identity.og_missing'
+        ELSE 'folded=fx.identity.og_missing; note=root cause: content is not present in the server response' END AS notes FROM n""")
+def made_inheritance(spark, sf_dir):
+    """What a primary takes over from its victim: its severity, up to its own largest and only where it has failed, and notes in its evidence."""
+    p = F.col("p_partkey")
+    turn = lambda by, *values: F.element_at(F.array(*map(F.lit, values)), (F.floor(p / by) % len(values) + 1).cast("int"))
+    parts = _t(spark, sf_dir, "part")
+    page = F.array(F.lit("u1"))
+    main = parts.select(p.alias("site"), F.lit("cr.render.js_gate").alias("check_id"), page.alias("pages"), turn(4, "high", "medium", "low", "info").alias("severity"), turn(16, "critical", "high", "medium", "info").alias("max_severity"), F.when(p % 5 != 0, "fail").otherwise("inconclusive").alias("status"))
+    rest = parts.select(p.alias("site"), F.lit("fx.identity.og_missing").alias("check_id"), page.alias("pages"), turn(1, "critical", "high", "medium", "low").alias("severity"), F.lit("critical").alias("max_severity"), F.lit("fail").alias("status"))
+    return grade.fold(main.unionByName(rest))[0].select("site", "severity", F.array_join(F.transform("evidence", lambda e: e["value"]), "|").alias("notes"))
 
 
 # ---- gates ----------------------------------------------------------------------------------
 
-_LANG = "['en', 'de', NULL, 'fr'][first_page % 4 + 1]"
+_LANG = "['en', 'de', NULL, 'xx', 'fr'][first_page % 5 + 1]"
 
 
-@query(f"""WITH {_RESULTS}, f AS (SELECT r.*, s.first_page FROM res r JOIN {SITES} s USING (site) WHERE status IS NOT NULL)
-    SELECT site, check_id, CASE WHEN blind THEN 'not_evaluated' ELSE status END AS status, CASE WHEN blind THEN 'language_not_supported' END AS reason
-    FROM (SELECT *, status = 'fail' AND coalesce({_LANG} <> 'en', FALSE) AND check_id IN {tuple(gates.LANGUAGE_DEPENDENT)} AS blind FROM f)""")
+@query(f"""WITH {_RESULTS}, f AS (SELECT r.*, s.first_page FROM res r JOIN {SITES} s USING (site) WHERE status IS NOT NULL), b AS (SELECT *, status = 'fail' AND coalesce(({_LANG} <> 'en' AND check_id IN ('fx.facts.key_fact_missing', 'fx.content.faq_absent',
+        'ef.corroboration.press_page_missing', 'en.hero.value_prop_unclear', 'en.trust.signals_missing', 'en.nav.related_links_missing')) OR ({_LANG} = 'xx' AND check_id = 'en.cta.missing'), FALSE) AS blind FROM f)
+    SELECT site, check_id, CASE WHEN blind THEN 'not_evaluated' ELSE status END AS status, CASE WHEN blind THEN 'language_not_supported' END AS reason FROM b""")
 def language_gate(spark, sf_dir):
-    langs = F.array(F.lit("en"), F.lit("de"), F.lit(None).cast("string"), F.lit("fr"))
-    sites = _sites(spark, sf_dir).select("site", F.element_at(langs, (F.col("first_page") % 4 + 1).cast("int")).alias("lang"))
+    """Calls to act are read in German and French too, everything else in English alone."""
+    langs = F.array(F.lit("en"), F.lit("de"), F.lit(None).cast("string"), F.lit("xx"), F.lit("fr"))
+    sites = _sites(spark, sf_dir).select("site", F.element_at(langs, (F.col("first_page") % 5 + 1).cast("int")).alias("lang"))
     return gates.language_gate(_results(spark, sf_dir).withColumn("reason", F.lit(None).cast("string")), sites).select("site", "check_id", "status", "reason")
 
 
-@query(f"""WITH {_RESULTS}, f AS (SELECT r.*, s.first_page FROM res r JOIN {SITES} s USING (site) WHERE status IS NOT NULL)
-    SELECT site, check_id, CASE WHEN blind THEN 'not_evaluated' ELSE status END AS status, CASE WHEN blind THEN 'chrome_not_rendered' END AS reason
-    FROM (SELECT *, status = 'fail' AND first_page % 3 = 0 AND check_id IN {tuple(V.CHROME_DEPENDENT)} AS blind FROM f)""")
+@query("""WITH q AS (SELECT s_suppkey // 4 AS site, s_suppkey AS o, CASE s_suppkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'de' END AS declared, CASE WHEN (s_suppkey // 4) % 3 <> 0 THEN CASE s_suppkey % 7 WHEN 0 THEN 'fr' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' END END AS detected FROM supplier),
+    v AS (SELECT site, 0 AS k, detected AS lang, o FROM q WHERE detected IS NOT NULL UNION ALL SELECT site, 1, declared, o FROM q WHERE declared IS NOT NULL),
+    n AS (SELECT site, k, lang, count(*) AS n, min(o) AS o FROM v GROUP BY ALL) SELECT site, first(lang ORDER BY k, n DESC, o) AS lang FROM n GROUP BY 1""")
+def sample_languages(spark, sf_dir):
+    """Pages of four to a site: what most pages' words say wins over what most declare, of equals the first."""
+    k = F.col("s_suppkey")
+    some = lambda by, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (k % by + 1).cast("int"))
+    site = F.floor(k / 4)
+    rows = _t(spark, sf_dir, "supplier").select(site.alias("site"), k.alias("page_ord"), some(5, "en", "de", "de", None, None).alias("declared"), F.when(site % 3 != 0, some(7, "fr", "en", "fr", None, None, None, None)).alias("detected"))
+    return gates.sample_language(rows)
+
+
+@query(f"""WITH {_RESULTS}, f AS (SELECT r.*, s.first_page AS p FROM res r JOIN {SITES} s USING (site) WHERE status IS NOT NULL), b AS (SELECT *, status = 'fail' AND p % 2 = 0 AND p % 3 <> 1 AND p % 5 <> 2 AND check_id IN ('en.nav.landmark_missing', 'en.nav.site_search_missing',
+        'en.nav.breadcrumbs_missing', 'en.nav.related_links_missing', 'en.cta.missing', 'en.trust.signals_missing', 'en.errors.unhelpful_404', 'ef.freshness.no_visible_dates') AS blind FROM f)
+    SELECT site, check_id, CASE WHEN blind THEN 'not_evaluated' ELSE status END AS status, CASE WHEN blind THEN 'chrome_rendered_by_javascript' END AS reason FROM b""")
 def chrome_gate(spark, sf_dir):
-    empty = _sites(spark, sf_dir).where("first_page % 3 = 0").select("site")
-    return gates.chrome_gate(_results(spark, sf_dir).withColumn("reason", F.lit(None).cast("string")), empty).select("site", "check_id", "status", "reason")
+    """An empty header alone does not do: no nav may be served, and a script must be there to fill it."""
+    p = F.col("first_page")
+    homes = _sites(spark, sf_dir).select("site", F.when(p % 2 == 0, 1).otherwise(0).alias("empty_chrome"), F.when(p % 3 == 1, 1).otherwise(0).alias("nav_count"), F.when(p % 5 == 2, 0).otherwise(3).alias("external_scripts"))
+    return gates.chrome_gate(_results(spark, sf_dir).withColumn("reason", F.lit(None).cast("string")), homes).select("site", "check_id", "status", "reason")
 
 
-@query(f"""SELECT s.site, CASE WHEN first_page % 5 <= 3 - 1 OR (first_page % 4 = 0) THEN 'not_evaluated' ELSE 'fail' END AS status FROM {SITES} s""")
+@query(f"""WITH q AS (SELECT site, first_page AS p, first_page % 4 = 0 AS no_blog, CASE WHEN first_page % 3 = 0 THEN 4 ELSE 2 END AS gone, CASE WHEN first_page % 7 <> 0 THEN first_page % 5 + 1 END AS links FROM {SITES})
+    SELECT site, CASE WHEN no_blog AND (coalesce(links <= 3, FALSE) OR gone >= 4) THEN 'not_evaluated' ELSE 'fail' END AS status, CASE WHEN no_blog AND (coalesce(links <= 3, FALSE) OR gone >= 4) THEN 'navigation_not_readable' END AS reason FROM q""")
 def press_gate(spark, sf_dir):
-    sites = _sites(spark, sf_dir)
-    roles = F.when(F.col("first_page") % 4 == 0, F.array(*map(F.lit, ("about", "contact", "pricing", "blog")))).otherwise(F.array(*map(F.lit, ("about", "contact", "pricing", "product"))))
-    seen = sites.select("site", (F.col("first_page") % 5 + 1).alias("links"), roles.alias("missing_roles"))
+    """Few links or many unread roles withdraw the finding only where no blog page was read."""
+    p, sites = F.col("first_page"), _sites(spark, sf_dir)
+    listed = lambda *roles: F.array(*map(F.lit, roles))
+    last = F.when(p % 4 == 0, "blog").otherwise("product")
+    roles = F.when(p % 3 == 0, F.concat(listed("about", "contact", "pricing"), F.array(last))).otherwise(F.concat(listed("about"), F.array(last)))
+    seen = sites.select("site", F.when(p % 7 != 0, p % 5 + 1).alias("links"), roles.alias("missing_roles"))
     rows = sites.select("site", F.lit("ef.corroboration.press_page_missing").alias("check_id"), F.lit("fail").alias("status"), F.lit(None).cast("string").alias("reason"))
-    return gates.press_gate(rows, seen).select("site", "status")
+    return gates.press_gate(rows, seen).select("site", "status", "reason")
 
 
 @query(f"""WITH g AS (SELECT s.site, s.first_page, k.fact_id FROM {SITES} s, {_values([(f,) for f in V.KEY_FACTS['ecommerce']], 'fact_id').replace('AS v', 'AS k')} WHERE (s.first_page + length(k.fact_id)) % 3 <> 0),
@@ -218,41 +283,74 @@ def resolve_facts(spark, sf_dir):
 # ---- words of a report ----------------------------------------------------------------------
 
 
-@query(f"""WITH n AS (SELECT site, first_page % 3 AS c, first_page % 2 AS h, first_page % 5 AS m, first_page % 4 AS l FROM {SITES}), t AS (SELECT *, c + h + m + l AS t FROM n)
-    SELECT site, CASE WHEN t = 0 THEN 'No defects found in the checks that ran' ELSE concat(t, ' defect', CASE WHEN t = 1 THEN '' ELSE 's' END, ', of which ',
-        CASE WHEN c > 0 THEN concat(c, ' critical') WHEN h > 0 THEN concat(h, ' high') WHEN m > 0 THEN concat(m, ' medium') ELSE concat(l, ' low') END) END AS headline FROM t""")
-def report_headline(spark, sf_dir):
-    counts = _sites(spark, sf_dir).select("site", *[(F.col("first_page") % k).alias(s) for s, k in (("critical", 3), ("high", 2), ("medium", 5), ("low", 4))])
-    return report.headline(counts)
+def _times(n: str, one: str) -> str:
+    return f"concat({n}, ' {one}', CASE WHEN {n} = 1 THEN '' ELSE 's' END)"
 
 
-@query(f"""WITH {_RESULTS}, f AS (SELECT *, CASE WHEN status = 'not_evaluated' THEN ['not_recorded', 'no_usable_pages', 'gated'][ord % 3 + 1] END AS reason FROM res WHERE status IS NOT NULL),
-    r AS (SELECT site, reason, count(*) AS n FROM f WHERE status = 'not_evaluated' GROUP BY ALL), l AS (SELECT site, string_agg(concat(reason, ' ', n), ', ' ORDER BY n DESC, reason) AS why FROM r GROUP BY 1),
-    c AS (SELECT site, count(*) AS e, count(*) FILTER (status = 'pass') AS p, count(*) FILTER (status = 'fail') AS x, count(*) FILTER (status = 'inconclusive') AS i, count(*) FILTER (status = 'not_evaluated') AS n FROM f GROUP BY 1)
-    SELECT c.site, concat(e - n, ' of ', e, ' checks ran: ', p, ' passed, ', x, ' failed, ', i, ' open', CASE WHEN why IS NOT NULL THEN concat('; not evaluated: ', why) ELSE '' END) AS statement FROM c LEFT JOIN l ON l.site = c.site""")
+@query(f"""WITH n AS (SELECT site, first_page % 3 AS c, first_page % 2 AS h, first_page % 5 AS m, first_page % 4 AS l, first_page % 6 AS pages, first_page % 7 AS gated, first_page % 11 = 0 AS broken FROM {SITES}), r AS (SELECT *, concat({_times('pages', 'page')}, ' read') AS pg,
+        array_to_string(list_filter([CASE WHEN c > 0 THEN concat(c, ' critical') END, CASE WHEN h > 0 THEN concat(h, ' high') END], lambda x: x IS NOT NULL), ' and ') AS s,
+        array_to_string(list_filter([CASE WHEN m > 0 THEN concat(m, ' medium') END, CASE WHEN l > 0 THEN concat(l, ' low') END], lambda x: x IS NOT NULL), ' and ') AS w FROM n)
+    SELECT site, concat(CASE WHEN broken THEN 'The run was incomplete: 1 probe did not finish. ' ELSE '' END, CASE WHEN c + h > 0 THEN concat(s, ' finding', CASE WHEN c + h = 1 THEN '' ELSE 's' END, ' on the ', pg, '.')
+        WHEN m + l > 0 THEN concat('No critical or high findings on the ', pg, '; ', w, '.') ELSE concat('No defects on the ', pg, '.') END, CASE WHEN c + h + m + l > 0 THEN ' Start with F-002: Mend it.' ELSE '' END,
+        CASE WHEN gated > 0 THEN concat(' ', {_times('gated', 'check')}, ' had no verdict because parts of the site were not reached; see Coverage and limitations.') ELSE '' END) AS headline FROM r""")
+def report_headline(spark, sf_dir):
+    p, sites = F.col("first_page"), _sites(spark, sf_dir)
+    counts = sites.select("site", *[(p % k).alias(s) for s, k in (("critical", 3), ("high", 2), ("medium", 5), ("low", 4))])
+    start = counts.where("critical + high + medium + low > 0").select("site", F.lit("F-002").alias("id"), F.lit("Mend it.").alias("title"))
+    reasons = F.array(F.lit("role_page_not_sampled"), F.lit("navigation_not_readable"))
+    gaps = sites.where(p % 7 > 0).select("site", F.explode(F.sequence(F.lit(1), (p % 7).cast("int"))).alias("i")).select("site", F.concat(F.lit("c."), "i").alias("check_id"), F.lit("not_evaluated").alias("status"), F.element_at(reasons, F.col("i") % 2 + 1).alias("reason"))
+    broken = sites.where(p % 11 == 0).select("site", F.lit("or.run.probe_error").alias("check_id"), F.lit("fail").alias("status"), F.lit(None).cast("string").alias("reason"))
+    return report.headline(counts, sites.select("site", (p % 6).alias("pages")), start, gaps.unionByName(broken))
+
+
+_CHOSEN = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ', ')"
+_PICK = lambda key, known, state: _CHOSEN.format(", ".join(f"max({key}) FILTER ({key} = '{k}' AND state = '{state}')" for k in known))
+_STAGES = ("access", "render", "extract", "entity", "freshness", "corroboration", "engagement")
+
+
+@query(f"""WITH {_STAGE_RESULTS}, l0 AS (SELECT st.site, letter, any_value(base) AS base, bool_and(state = 'not_evaluated') AS none, bool_and(state = 'evaluated') AS whole FROM st JOIN {_values(_LETTERS, 'letter, stage, base')} ON v.stage = st.stage GROUP BY ALL),
+    l AS (SELECT site, letter, CASE WHEN none THEN 'not_evaluated' WHEN whole THEN base ELSE 'partial' END AS state FROM l0),
+    a AS (SELECT site, {_PICK('letter', 'ABCD', 'covered')} AS lc, {_PICK('letter', 'ABCD', 'partial')} AS lp, {_PICK('letter', 'ABCD', 'not_evaluated')} AS ln FROM l GROUP BY 1),
+    b AS (SELECT site, {_PICK('stage', _STAGES, 'evaluated')} AS se, {_PICK('stage', _STAGES, 'partial')} AS sp, {_PICK('stage', _STAGES, 'not_evaluated')} AS sn FROM st GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY check_id) AS n FROM x WHERE status NOT IN ('pass', 'fail') AND reason <> 'not_applicable_for_category'),
+    y AS (SELECT site, string_agg(concat(string_split(check_id, '.')[-1], ': ', reason), '; ' ORDER BY n) AS why FROM o WHERE n <= 3 GROUP BY 1)
+    SELECT a.site, concat('Concepts covered: ', coalesce(nullif(array_to_string(list_filter([CASE WHEN lc <> '' THEN concat(lc, ' fully') END, CASE WHEN lp <> '' THEN concat(lp, ' partially', CASE WHEN why IS NOT NULL THEN concat(' (', why, ')') ELSE '' END) END,
+        CASE WHEN ln <> '' THEN concat(ln, ' not evaluated') END], lambda v: v IS NOT NULL), '; '), ''), 'none'), '; E and F out of scope for a site audit, site-side levers reported. Stages evaluated: ', CASE WHEN se = '' THEN 'none' ELSE se END,
+        CASE WHEN sp <> '' THEN concat('; partial: ', sp) ELSE '' END, CASE WHEN sn <> '' THEN concat('; not evaluated: ', sn) ELSE '' END, '. Pages sampled: ', CASE WHEN first_page % 2 = 0 THEN '2 (home, about); no page found for: blog' ELSE '1 (home)' END,
+        '. Requests made: ', CASE WHEN first_page % 3 = 0 THEN 'unknown' ELSE (first_page % 9)::VARCHAR END, '. This audit reads what a non-JavaScript fetcher receives; it does not query live assistants or execute scripts.') AS statement
+    FROM a JOIN b USING (site) JOIN {SITES} s USING (site) LEFT JOIN y USING (site)""")
 def coverage_statement(spark, sf_dir):
-    order = F.broadcast(dim(spark, "check_registry").select("check_id", "ord"))
-    reasons = F.array(*map(F.lit, ("not_recorded", "no_usable_pages", "gated")))
-    rows = _results(spark, sf_dir).join(order, "check_id").withColumn("reason", F.when(F.col("status") == "not_evaluated", F.element_at(reasons, (F.col("ord") % 3 + 1).cast("int"))))
-    return report.coverage_statement(rows)
+    rows, p = _stage_results(spark, sf_dir), F.col("first_page")
+    listed = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    sample = _sites(spark, sf_dir).select("site", F.when(p % 2 == 0, listed("home", "about")).otherwise(listed("home")).alias("roles"), F.when(p % 2 == 0, listed("blog")).otherwise(listed()).alias("missing_roles"), F.when(p % 3 != 0, p % 9).alias("requests"))
+    stages = report.stage_coverage(rows)
+    return report.coverage_statement(stages, report.concept_coverage(stages), rows, sample)
 
 
 @query(f"""WITH q AS (SELECT s.site, s.first_page, v.ord, v.facts FROM {SITES} s JOIN {_values([(c, i, list(f)) for c, rows in V.SIMULATION_QUESTIONS.items() for i, (_, f, _) in enumerate(rows)], 'category, ord, facts')}
         ON v.category = ['ecommerce', 'saas_software', 'unknown'][s.first_page % 3 + 1])
-    SELECT site, ord::INT AS ord, CASE WHEN len(list_filter(facts, lambda f: (first_page + length(f)) % 2 <> 0)) = 0 THEN array_to_string(list_transform(facts, lambda f: concat(f, '!')), '; ') END AS answer FROM q""")
+    SELECT site, ord::INT AS ord, CASE WHEN len(list_filter(facts, lambda f: (first_page + length(f)) % 2 <> 0 OR (first_page + length(f)) % 8 = 0)) = 0 THEN concat('According to the site, "', facts[1], '!".',
+        CASE WHEN len(facts) > 1 THEN concat(' It also states "', array_to_string(list_transform(facts[2:], lambda f: concat(f, '!')), '" and "'), '".') ELSE '' END) END AS answer FROM q""")
 def question_answers(spark, sf_dir):
+    """Values quoted to the letter; one that is navigation is no answer."""
     kinds = F.array(F.lit("ecommerce"), F.lit("saas_software"), F.lit("unknown"))
     sites = _sites(spark, sf_dir).withColumn("category", F.element_at(kinds, (F.col("first_page") % 3 + 1).cast("int")))
     asked = sites.join(F.broadcast(dim(spark, "sim_question")), "category")
-    known = asked.select("site", "first_page", F.explode("fact_ids").alias("fact_id")).distinct().where((F.col("first_page") + F.char_length("fact_id")) % 2 == 0)
-    return report.answers(asked.select("site", "ord", "fact_ids"), known.select("site", "fact_id", F.lit("present").alias("status"), F.concat("fact_id", F.lit("!")).alias("value")))
+    n = F.col("first_page") + F.char_length("fact_id")
+    known = asked.select("site", "first_page", F.explode("fact_ids").alias("fact_id")).distinct().where(n % 2 == 0)
+    value = F.when(n % 8 == 0, "a | b").otherwise(F.concat(F.lit(" "), "fact_id", F.lit("! ")))
+    return report.answers(asked.select("site", "ord", "fact_ids"), known.select("site", "fact_id", F.lit("present").alias("status"), value.alias("value")))
 
 
-@query("""SELECT p_partkey AS p, CASE WHEN length(p_name) <= 20 THEN contains(a, p_name) ELSE len(list_filter(range(1, length(p_name) - 18), lambda i: contains(a, substr(p_name, i, 20)))) > 0 END AS quoted
-    FROM (SELECT *, concat('It says: ', CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN substr(concat(p_name, p_name), 3, 22) ELSE left(p_name, 5) END, '.') AS a, FROM (SELECT p_partkey, concat(p_name, ' by ', p_brand) AS p_name FROM part))""")
+@query(r"""WITH q AS (SELECT p_partkey AS p, concat(p_name, '  by ', p_brand) AS v FROM part), a AS (SELECT p, lower(trim(regexp_replace(v, '\s+', ' ', 'g'))) AS v,
+        lower(concat('it says: ', CASE p % 5 WHEN 0 THEN regexp_replace(v, '\s+', ' ', 'g') WHEN 1 THEN substr(concat(regexp_replace(v, '\s+', ' ', 'g'), ' x'), 3, 22) WHEN 2 THEN left(v, 5) WHEN 3 THEN upper(regexp_replace(v, '\s+', ' ', 'g')) ELSE concat(left(regexp_replace(v, '\s+', ' ', 'g'), 12), ' ', substr(regexp_replace(v, '\s+', ' ', 'g'), 13)) END, '.')) AS a FROM q)
+    SELECT p, CASE WHEN length(v) <= 20 THEN contains(regexp_replace(a, '\s+', ' ', 'g'), v) ELSE len(list_filter(range(1, length(v) - 18), lambda i: contains(regexp_replace(a, '\s+', ' ', 'g'), substr(v, i, 20)))) > 0 END AS quoted FROM a""")
 def quotes_fact(spark, sf_dir):
-    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.concat("p_name", F.lit(" by "), "p_brand").alias("v"))
-    said = F.when(F.col("p") % 3 == 0, F.col("v")).when(F.col("p") % 3 == 1, F.substring(F.concat("v", "v"), 3, 22)).otherwise(F.substring("v", 1, 5))
+    """Case, runs of white space and ellipses do not matter; letters do, twenty in a row."""
+    v = F.concat("p_name", F.lit("  by "), "p_brand")
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), v.alias("v"), F.regexp_replace(v, r"\s+", " ").alias("one"))
+    said = F.when(F.col("p") % 5 == 0, F.col("one")).when(F.col("p") % 5 == 1, F.substring(F.concat("one", F.lit(" x")), 3, 22)).when(F.col("p") % 5 == 2, F.substring("v", 1, 5)).when(F.col("p") % 5 == 3, F.upper("v")).otherwise(
+        F.concat(F.substring("one", 1, 12), F.lit("…"), F.substring("one", 13, 1 << 20)))
     return rows.select("p", report.quotes_fact(F.concat(F.lit("It says: "), said, F.lit(".")), F.col("v")).alias("quoted"))
 
 
@@ -268,24 +366,6 @@ def recommended_props(spark, sf_dir):
     return report.missing_recommended(rows, 2).select("site", "ord", "type", F.array_join("missing", ",").alias("missing"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS p, list_filter(string_split(concat(p_name, ' ', p_brand), ' '), lambda x: x <> '') AS w FROM part)
-    SELECT p, array_to_string(list_transform(list_reverse(range(least(2, len(w)), len(w) + 1)), lambda n: array_to_string(w[1:n], ' ')), '|') AS names FROM w""")
-def lookup_names(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.array_join(report.lookup_names(F.concat_ws(" ", "p_name", "p_brand")), "|").alias("names"))
-
-
-@query("""WITH a AS (SELECT c_nationkey::VARCHAR AS site, c_nationkey % 7 AS k, c_custkey AS c FROM customer)
-    SELECT site, CASE WHEN k = 0 THEN 'no_name' WHEN k = 1 THEN 'unavailable' WHEN k = 2 AND bool_or(c % 3 = 0) THEN 'match' WHEN k = 3 AND bool_or(c % 2 = 0) THEN 'ambiguous' WHEN k IN (3, 5) THEN 'mismatch' WHEN k = 4 THEN 'collision' ELSE 'not_found' END AS outcome
-    FROM a GROUP BY site, k""")
-def lookup_outcomes(spark, sf_dir):
-    k, c = F.col("c_nationkey") % 7, F.col("c_custkey")
-    rows = _t(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").cast("string").alias("site"), F.when(k != 0, F.lit("A")).alias("name"), F.when(k == 1, "error").otherwise("ok").alias("state"),
-        F.when((k == 2) & (c % 3 == 0), "entity").when(k == 3, F.when(c % 2 == 0, "list").otherwise("entity")).when(k.isin(4, 5), "entity").otherwise("none").alias("kind"),
-        F.when(k == 2, True).when(k == 4, False).cast("boolean").alias("own_site"))
-    return report.lookup_outcome(rows)
-
-
 @query(f"SELECT s.site, t.token, CASE WHEN (s.first_page + length(t.token)) % 2 = 0 THEN 'probe' ELSE 'policy' END AS action FROM {SITES} s, {_values([(t[0],) for t in V.BOT_TIERS], 'token').replace('AS v', 'AS t')}")
 def edge_plan(spark, sf_dir):
     rows = _sites(spark, sf_dir).join(F.broadcast(dim(spark, "bot_tier").select("token")))
