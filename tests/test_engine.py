@@ -123,6 +123,23 @@ def test_addresses(spark):
     assert [r.t for r in rows if r.a] == yes
 
 
+def test_guarded_matches(spark):
+    """Spans of all matches against the regular expression engine of Python, and guards that let a later match pass."""
+    import re
+    from webgrain.functions import text as T
+    texts = ["Call 020 7946 0958 or 030 1234567, x020 7946 0958y", "020 7946 0958", "", None, "no numbers", "+44 20 1234 5678 é 020 7946 0958 ü 0211 635 5335 end"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.spans(F.col("t"), "phone_text").alias("s"), T.first_span(F.col("t"), "phone_text").alias("f"),
+                                                                            T.guarded(F.col("t"), "phone_text", lambda t, s: s["start"] > 10).alias("g")).collect()
+    for r in rows:
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer(V.PATTERNS["phone_text"][0], r.t or "")]
+        assert [tuple(x) for x in r.s] == want and (r.f and tuple(r.f)) == (want[0] if want else None)
+        assert (r.g and tuple(r.g)) == next((w for w in want if w[0] > 10), None)
+    got = lambda t: spark.range(1).select(facts.text_phone(F.lit(t)), facts.address_label(F.lit(t)), facts.address_excerpt(F.lit(t))).first()
+    assert got("order 020 7946 0958, tel. 030 12345678")[0] == "030 12345678" and got("phone us at any time on 020 7946 0958")[0] is None
+    assert got("4 x AB1 2CD, 2 x Foo House LS1 4AP.")[1] == "uk_postcode" and got("4 x AB1 2CD.")[1] is None
+    assert got("4 x AB1 2CD, and so many other things that nobody can count them, 2 x Foo House LS1 4AP.")[2].endswith("2 x Foo House LS1 4AP.")
+
+
 def test_severity_order(spark):
     rows = [("s", "cr.access.http_error", "unknown", ["home"], 5, None), ("s", "en.mobile.viewport_missing", "unknown", ["blog"], 5, None),
             ("s", "en.perf.page_weight_heavy", "unknown", ["home"], 5, "low"), ("s", "cr.index.sitemap_missing", "ecommerce", [], 5, None)]

@@ -49,10 +49,42 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def excerpt(text: Column, name: str, before: int = 40, after: int = 100) -> Column:
-    """The first match with its surroundings, cut at spaces, with an ellipsis on each cut side; null without a match."""
+def first_span(text: Column, name: str) -> Column:
+    """struct(start, stop, m) of the first match, places from 0; null without a match."""
+    full = F.coalesce(text, F.lit(""))
+    found = F.struct((F.regexp_instr(full, F.lit(pattern(name))) - 1).alias("start"), F.regexp_extract(full, pattern(name), 0).alias("m"))
+    return let(found, lambda x: F.when(x["start"] >= 0, F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["m"])).alias("stop"), x["m"].alias("m"))))
+
+
+def spans(text: Column, name: str) -> Column:
+    """struct(start, stop, m) of all matches in order: what stands between them gives their places."""
+    full = F.coalesce(text, F.lit(""))
+    cut = F.arrays_zip(F.split(full, pattern(name), -1).alias("gap"), F.regexp_extract_all(full, F.lit(pattern(name)), F.lit(0)).alias("m"))
+    span = "array<struct<start:int,stop:int,m:string>>"
+
+    def add(done: Column, x: Column) -> Column:
+        start = done["at"] + F.char_length(x["gap"])
+        stop = start + F.char_length(x["m"])
+        return F.struct(stop.alias("at"), F.concat(done["list"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m")))).alias("list"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("list"))
+    return F.aggregate(F.filter(cut, lambda x: x["m"].isNotNull()), begin, add, lambda done: done["list"])
+
+
+def guarded(text: Column, name: str, ok) -> Column:
+    """The first match that ok(text, span) lets pass, as a span; null without one."""
+    return let(F.coalesce(text, F.lit("")), lambda t: F.get(F.filter(spans(t, name), lambda s: ok(t, s)), F.lit(0)))
+
+
+def window(text: Column, low: Column, high: Column) -> Column:
+    """The characters from low to high, places from 0."""
+    start = F.greatest(F.lit(0), low)
+    return F.substring(text, start + 1, F.greatest(F.lit(0), high - start))
+
+
+def around(text: Column, span: Column, before: int = 40, after: int = 100) -> Column:
+    """A span with its surroundings, cut at spaces, with an ellipsis on each cut side; null without a span."""
     def sides(m: Column) -> Column:
-        full, start, stop = m["t"], m["s"], m["s"] + F.char_length(m["m"])
+        full, start, stop = m["t"], m["s"]["start"], m["s"]["stop"]
         low, high = F.greatest(F.lit(0), start - before), F.least(F.char_length(full), stop + after)
         return F.struct(full.alias("t"), low.alias("low"), high.alias("high"), F.locate(" ", F.substring(full, low + 1, start - low)).alias("gap"),
                         F.locate(" ", F.reverse(F.substring(full, stop + 1, high - stop))).alias("back"))
@@ -65,9 +97,13 @@ def excerpt(text: Column, name: str, before: int = 40, after: int = 100) -> Colu
         return F.concat(F.when(x["low"] > 0, "…").otherwise(""), F.trim(F.substring(x["t"], x["low"] + 1, x["high"] - x["low"])),
                         F.when(x["high"] < F.char_length(x["t"]), "…").otherwise(""))
 
-    full = F.coalesce(text, F.lit(""))
-    found = F.struct(full.alias("t"), (F.regexp_instr(full, F.lit(pattern(name))) - 1).alias("s"), F.regexp_extract(full, pattern(name), 0).alias("m"))
-    return let(found, lambda m: F.when(m["s"] >= 0, let(let(sides(m), cut), show)))
+    found = F.struct(F.coalesce(text, F.lit("")).alias("t"), span.alias("s"))
+    return let(found, lambda m: F.when(m["s"].isNotNull(), let(let(sides(m), cut), show)))
+
+
+def excerpt(text: Column, name: str, before: int = 40, after: int = 100) -> Column:
+    """The first match with its surroundings."""
+    return around(text, first_span(text, name), before, after)
 
 
 def clip(text: Column, limit: int = 200) -> Column:

@@ -7,14 +7,12 @@ is no fact, it does not make way for the next.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
-from webgrain.functions.text import clip, excerpt, first_match, looks_like_prose, matches, pattern, usable_value, words
+from webgrain.functions.text import all_matches, around, clip, excerpt, first_match, first_span, guarded, let, looks_like_prose, matches, usable_value, window, words
 from webgrain.functions.url import host, without_www
 
 TEXT_MOST = 400_000
@@ -69,30 +67,43 @@ def digits(text: Column) -> Column:
 
 
 def text_phone(text: Column) -> Column:
-    """The first number of 9 to 15 digits that has a plus or a cue word up to CUE_REACH characters before it; else of 8 to 15 in any grouping after a cue."""
-    raw, cue = V.PATTERNS["phone_text"][0], re.match(r"\\b\(\?:[^)]*\)\\b", V.PATTERNS["phone_after_cue"][0])[0]
-    full = F.coalesce(text, F.lit(""))
-    both = f"(?isuU)(?:({cue}).{{0,{CUE_REACH}}}?)?({raw})"
-    told, numbers = (F.regexp_extract_all(full, F.lit(both), F.lit(k)) for k in (1, 2))
-    fit = F.filter(F.zip_with(told, numbers, lambda c, n: F.when(((c != "") | F.trim(n).startswith("+")) & digits(n).between(9, 15), n)), lambda n: n.isNotNull())
-    loose = F.filter(F.regexp_extract_all(full, F.lit(pattern("phone_after_cue")), F.lit(1)), lambda m: digits(m).between(8, 15))
-    return F.trim(F.coalesce(F.get(fit, F.lit(0)), F.get(loose, F.lit(0))))
+    """The first number of 9 to 15 digits that has a plus or a cue word right before it (in CUE_REACH characters); else of 8 to 15 in any grouping after a cue."""
+    def announced(t: Column, s: Column) -> Column:
+        return digits(s["m"]).between(9, 15) & (F.trim(s["m"]).startswith("+") | matches(window(t, s["start"] - CUE_REACH, s["start"]), "phone_cue"))
+
+    loose = F.filter(all_matches(text, "phone_after_cue", 1), lambda m: digits(m).between(8, 15))
+    return F.trim(F.coalesce(guarded(text, "phone_text", announced)["m"], F.get(loose, F.lit(0))))
+
+
+def _word_before(t: Column, s: Column) -> Column:
+    """A postcode without a word before it is more likely a product code."""
+    return window(t, s["start"] - 40, s["start"]).rlike("[A-Za-z]{3,}")
+
+
+def _place_beside(t: Column, s: Column) -> Column:
+    """A postcode and a town need a word for an address nearby, or a country next to them."""
+    return matches(window(t, s["start"] - 60, s["stop"] + 40), "address_cue") | matches(window(t, s["stop"], s["stop"] + 30), "country_after") | matches(window(t, s["start"] - 30, s["start"]), "country_before")
+
+
+#: Address grammars in order, with the name that each reports and the guard that each match must pass.
+ADDRESS_GRAMMARS = [("street", "street", None), ("street_reversed", "street", None), ("street_fr", "street", None), ("uk_postcode", "uk_postcode", _word_before), ("us_city_state_zip", "us_city_state_zip", None),
+                    ("in_pin", "in_pin", None), ("eu_postcode_city", "eu_postcode_city", _place_beside), ("jp_postcode", "jp_postcode", None)]
+
+
+def address_span(text: Column) -> Column:
+    """struct(label, start, stop, m) of the first grammar that has a match which its guard lets pass, null for none. Every match is tried."""
+    def named(label: str, span: Column) -> Column:
+        return let(span, lambda s: F.when(s.isNotNull(), F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["stop"].alias("stop"), s["m"].alias("m"))))
+    return F.coalesce(*[named(label, guarded(text, name, guard) if guard else first_span(text, name)) for name, label, guard in ADDRESS_GRAMMARS])
 
 
 def address_label(text: Column) -> Column:
-    """Which address grammar a text holds, null for none. Postcode shapes need a word before them, or a cue or country beside them."""
-    full = F.coalesce(text, F.lit(""))
-    eu = V.PATTERNS["eu_postcode_city"][0]
-    cue, after, before = V.PATTERNS["address_cue"][0], V.PATTERNS["country_after"][0].removeprefix("^"), V.PATTERNS["country_before"][0].removesuffix("$")
-    beside = f"(?imuU)(?:(?:{cue})[\\s\\S]{{0,60}}?(?:{eu}))|(?:(?:{eu})[\\s\\S]{{0,40}}?(?:{cue}))|(?:(?:{eu}){after})|(?:(?:{before})\\s*(?:{eu}))"
-    return (F.when(matches(full, "street") | matches(full, "street_reversed") | matches(full, "street_fr"), "street")
-            .when(full.rlike(rf"(?U)[A-Za-z]{{3,}}[\s\S]{{0,37}}?{V.PATTERNS['uk_postcode'][0]}"), "uk_postcode").when(matches(full, "us_city_state_zip"), "us_city_state_zip")
-            .when(matches(full, "in_pin"), "in_pin").when(full.rlike(beside), "eu_postcode_city").when(matches(full, "jp_postcode"), "jp_postcode"))
+    """Which address grammar a text holds, null for none."""
+    return address_span(text)["label"]
 
 
 def address_excerpt(text: Column) -> Column:
-    names = ("street", "street_reversed", "street_fr", "uk_postcode", "us_city_state_zip", "in_pin", "eu_postcode_city", "jp_postcode")
-    return F.when(address_label(text).isNotNull(), F.coalesce(*[excerpt(text, n, 40, 30) for n in names]))
+    return around(text, address_span(text), 40, 30)
 
 
 def _link(name: str) -> Column:
@@ -158,7 +169,7 @@ def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column]]:
         ("sales_led", 0, (), 0, "text", excerpt(text, "sales_led")), ("sales_led", 0, (), 1, "link", _link("sales_led")),
         ("free_trial", 0, (), 0, "text", excerpt(text, "free_trial", 30, 40)), ("free_tier", 0, (), 0, "text", excerpt(text, "free_tier", 30, 40)),
         ("email", 0, ch, 0, "link:mailto", F.substring_index(F.substring(mail, 8, 400), "?", 1)),
-        ("email", 0, ch, 1, "text", F.when(~F.lower(first_match(text, "email")).rlike(r"\.(png|jpg|svg|gif)$"), first_match(text, "email"))),
+        ("email", 0, ch, 1, "text", let(first_match(text, "email"), lambda m: F.when(~F.lower(m).rlike(r"\.(png|jpg|svg|gif)$"), m))),
         ("phone", 0, ch, 0, "link:tel", F.substring(tel, 5, 60)), ("phone", 0, ch, 1, "jsonld:telephone", phone_ld), ("phone", 1, ch, 0, "text", text_phone(text)),
         ("form", 0, ("contact",), 0, "form", F.when(form.isNotNull(), F.concat(F.lit("contact form ("), F.size(form["inputs"]).cast("string"), F.lit(" fields)")))),
         ("address", 0, cah, 0, "jsonld:PostalAddress", postal), ("address", 0, cah, 1, "jsonld:address", _long(first_of(F.col("nodes"), lambda j: text_of(j, "address")), 11)),
@@ -209,7 +220,7 @@ def detect(docs: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
             pref = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, prefer)), F.col("role")), F.lit(0)), F.lit(99)) if prefer else F.lit(99)
             rows.append(F.struct(F.lit(name).alias("detector"), F.lit(group).alias("pass"), pref.cast("int").alias("pref"), F.col("page_ord").cast("int").alias("page_ord"),
                                  F.lit(sub).alias("sub"), F.lit(source).alias("source"), value.cast("string").alias("value")))
-    proposed = pages.select("site", "url", F.explode(F.array(*rows)).alias("c")).select("site", "url", "c.*").where("value is not null")
+    proposed = pages.select("site", "url", F.explode(F.filter(F.array(*rows), lambda c: c["value"].isNotNull())).alias("c")).select("site", "url", "c.*")
     first = proposed.groupBy("site", "detector").agg(F.min_by(F.struct("value", F.col("url").alias("page"), "source"), F.struct("pass", "pref", "page_ord", "sub", "url")).alias("f"))
     return first.select("site", "detector", F.when(usable_value(F.col("f.value")), clip(F.col("f.value"))).alias("value"), "f.page", "f.source")
 

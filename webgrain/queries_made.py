@@ -102,13 +102,28 @@ _TALK = """CASE c % 5 WHEN 0 THEN concat('Call 020 7946 ', 1000 + c % 9000, ' to
     WHEN 2 THEN concat('You may phone us at any time on 020 7946 ', 1000 + c % 9000) WHEN 3 THEN concat('+44 20 1234 ', 1000 + c % 9000) ELSE concat('Part no. 020 7946 ', 1000 + c % 9000) END"""
 
 
-@query("""SELECT c_custkey AS c, CASE c_custkey % 5 WHEN 1 THEN concat('030 ', 1000000 + c_custkey) WHEN 3 THEN concat('+44 20 1234 ', 1000 + c_custkey % 9000) WHEN 4 THEN NULL
+@query("""SELECT c_custkey AS c, CASE c_custkey % 5 WHEN 1 THEN concat('030 ', 1000000 + c_custkey) WHEN 3 THEN concat('+44 20 1234 ', 1000 + c_custkey % 9000) WHEN 2 THEN NULL WHEN 4 THEN NULL
     ELSE concat('020 7946 ', 1000 + c_custkey % 9000) END AS phone FROM customer""")
 def made_phones(spark, sf_dir):
-    """The first number that qualifies by a plus or by a cue a little before it."""
+    """The first number that qualifies by a plus or by a cue right before it; a cue further off does not do."""
     return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).select("c", facts.text_phone(F.expr(_TALK)).alias("phone"))
 
 
+#: Addresses of which the first that looks like one is guarded away: {n} is the key.
+_PLACES = ["4 x AB1 2CD, 2 x Foo House LS1 {n}AP.", "Room, 45000 Requests in 2020 and so much more than that was said here by many of us. Anschrift: Beispielweg, 10115 Berlin",
+           "Seen by, 99999 Visitors so far and by more than that in other years of this house. Come to, 75011 Paris, France for {n} years", "Code EC1A 1BB", "Room, 45000 Requests handled", "12 Harbour Street, Leeds and 14 Other Road, York"]
+
+
+@query("""WITH q AS (SELECT c_custkey AS c, c_custkey % 6 AS k, c_custkey % 9 + 1 AS n FROM customer)
+    SELECT c, CASE k WHEN 0 THEN 'uk_postcode' WHEN 1 THEN 'eu_postcode_city' WHEN 2 THEN 'eu_postcode_city' WHEN 3 THEN 'uk_postcode' WHEN 5 THEN 'street' END AS label,
+        CASE k WHEN 0 THEN concat('LS1 ', n, 'AP') WHEN 1 THEN ', 10115 Berlin' WHEN 2 THEN ', 75011 Paris' WHEN 3 THEN 'EC1A 1BB' WHEN 5 THEN '12 Harbour Street' END AS m FROM q""")
+def made_addresses(spark, sf_dir):
+    """Every match of a grammar is tried until its guard lets one pass: words before a postcode, a cue or a country beside a town."""
+    c = F.col("c_custkey")
+    text = F.replace(F.element_at(F.array(*map(F.lit, _PLACES)), (c % len(_PLACES) + 1).cast("int")), F.lit("{n}"), (c % 9 + 1).cast("string"))
+    return _t(spark, sf_dir, "customer").select(c.alias("c"), facts.address_span(text).alias("s")).select("c", "s.label", "s.m")
+
+
 @query(f"""SELECT s.site, c.check_id, CASE WHEN c.check_id IN ('cr.access.challenge_page', 'or.run.probe_error') THEN 'pass' ELSE 'not_evaluated' END AS status,
         CASE WHEN c.check_id NOT IN ('cr.access.challenge_page', 'or.run.probe_error') THEN 'not_recorded' END AS reason
     FROM {SITES} s, {_values([(r[0],) for r in V.CHECKS], 'check_id').replace('AS v', 'AS c')}
