@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.functions import vocab as V
+from webgrain.functions.extend import REGISTERED
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 CONFIDENCES = ("high", "medium", "low")
@@ -42,7 +43,7 @@ ROWS = {
     "score_cap": ("kind string, points int", lambda: list(V.SCORE_CAPS.items())),
     "signal_rank": ("kind string, rank int", lambda: list(V.SIGNAL_RANK.items())),
     "key_page": ("category string, ord int, role string", lambda: _listed({c: ["home", *r] for c, r in V.KEY_PAGES.items()})),
-    "key_fact": ("category string, ord int, fact_id string", lambda: _listed(V.KEY_FACTS)),
+    "key_fact": ("category string, ord int, fact_id string", lambda: _listed(V.KEY_FACTS) + [(c, 100 + i, f) for i, (f, (_, categories)) in enumerate(REGISTERED.facts.items()) for c in categories]),
     "fact_role": ("fact_id string, ord int, role string", lambda: _listed(V.FACT_ROLES)),
     "audience_fact": ("category string, fact_id string", lambda: list(V.AUDIENCE_FACT.items())),
     "engagement_cap": ("check_id string, category string, cap string",
@@ -56,13 +57,13 @@ ROWS = {
                      lambda: [(c, i, t, list(f), n) for c, rows in V.SIMULATION_QUESTIONS.items() for i, (t, f, n) in enumerate(rows)]),
     "stopword": ("lang string, ord int, word string", lambda: _listed(V.STOPWORDS)),
     "check_registry": ("check_id string, stage string, severity string, max_severity string, confidence string, effort string, scope string, ord int",
-                       lambda: [(*row, i) for i, row in enumerate(V.CHECKS)]),
+                       lambda: [(*row, i) for i, row in enumerate([*V.CHECKS, *((r.check_id, r.stage, r.severity, r.max_severity, r.confidence, r.effort, r.scope) for r in REGISTERED.rows.values())])]),
     "bot_tier": ("token string, operator string, tier string", lambda: list(V.BOT_TIERS)),
-    "positive_title": ("check_id string, title string", lambda: list(V.POSITIVE_TITLES.items())),
+    "positive_title": ("check_id string, title string", lambda: list(V.POSITIVE_TITLES.items()) + [(r.check_id, r.passed or r.check_id) for r in REGISTERED.rows.values()]),
     "stage_tag": ("stage string, concepts array<string>, pipeline string, mode string",
                   lambda: [(s, list(V.STAGE_CONCEPTS[s]), V.STAGE_PIPELINE[s], V.STAGE_MODE[s]) for s in V.STAGE_ORDER]),
     "concept_stage": ("letter string, stage string", lambda: [(k, s) for k, stages in V.LETTER_STAGES.items() for s in stages]),
-    "absence_role": ("check_id string, role string", lambda: [(k, r) for k, roles in V.ABSENCE_ROLES.items() for r in roles]),
+    "absence_role": ("check_id string, role string", lambda: [(k, r) for k, roles in V.ABSENCE_ROLES.items() for r in roles] + [(c.check_id, r) for c in REGISTERED.rows.values() for r in c.absent_on]),
     "second_level": ("suffix string", lambda: [(s,) for s in V.SECOND_LEVEL]),
     "cctld_language": ("tld string, lang string", lambda: list(V.CCTLD_LANGUAGE.items())),
     "schema_spec": ("type string, required array<string>, any_of array<array<string>>, recommended array<string>",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
+from webgrain.functions.extend import REGISTERED
 from webgrain.functions.text import copyright_years, matches, normal_name, parse_date, word_count, words
 from webgrain.functions.url import canonical_key, host, path, registrable_domain, same_site, without_www
 from webgrain.operators import evidence as E
@@ -357,9 +358,11 @@ def prepare(docs: DataFrame, sites: DataFrame) -> DataFrame:
 def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     """Results of all page and site checks over prepare()d pages: one aggregation by site and check for page checks, one by site for site checks."""
     pages = pages if "page_ord" in pages.columns else pages.withColumn("page_ord", F.lit(0))
-    flags, sums = page_flags(as_of), site_flags(as_of)
+    added = {k: f() for k, f in REGISTERED.page_checks.items()}
+    flags = page_flags(as_of) | {k: (f.judged, f.failed, F.lit(None).cast("string") if f.confidence is None else f.confidence) for k, f in added.items()}
+    sums = site_flags(as_of)
     # the flags are computed once for each page, in one projection, and carried as one array
-    shown = page_evidence()
+    shown = page_evidence() | {k: f.evidence.cast(E.EVIDENCE) for k, f in added.items() if f.evidence is not None}
     found = F.array(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(judged, F.lit(False)).alias("judged"), F.coalesce(judged & failed, F.lit(False)).alias("failed"), conf.alias("confidence"),
                                F.when(judged & failed, shown.get(k, E.none())).alias("evidence"))
                       for k, (judged, failed, conf) in (flags | {k: (F.lit(True), hit, F.lit(None).cast("string")) for k, hit in open_flags().items()}).items()])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
+from webgrain.functions.extend import REGISTERED
 from webgrain.functions.text import all_matches, around, clip, excerpt, first_match, first_span, guarded, let, looks_like_prose, matches, usable_value, window, words
 from webgrain.functions.url import host, without_www
 
@@ -215,7 +216,8 @@ def detect(docs: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     """docs: parsed pages with site, role, page_ord, url. (site, detector, value, page, source); a value of navigation text is null."""
     pages = docs.withColumn("text", page_text())
     rows = []
-    for name, group, prefer, sub, source, value in proposals():
+    added = [(name, *candidate) for name, f in REGISTERED.detectors.items() for candidate in f()]
+    for name, group, prefer, sub, source, value in proposals() + added:
         if not only or name in only:
             pref = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, prefer)), F.col("role")), F.lit(0)), F.lit(99)) if prefer else F.lit(99)
             rows.append(F.struct(F.lit(name).alias("detector"), F.lit(group).alias("pass"), pref.cast("int").alias("pref"), F.col("page_ord").cast("int").alias("page_ord"),
@@ -245,7 +247,7 @@ def resolve(detected: DataFrame, sites: DataFrame) -> DataFrame:
     A free trial alone is a partial answer to the question of price.
     """
     spark = sites.sparkSession
-    plan = F.broadcast(spark.createDataFrame([(f, i, d) for f, ds in FACT_DETECTORS.items() for i, d in enumerate(ds)], "fact_id string, n int, detector string"))
+    plan = F.broadcast(spark.createDataFrame([(f, i, d) for f, ds in (FACT_DETECTORS | {f: ds for f, (ds, _) in REGISTERED.facts.items()}).items() for i, d in enumerate(ds)], "fact_id string, n int, detector string"))
     needed = F.broadcast(dim(spark, "key_fact").select("category", "fact_id", F.lit(True).alias("required")))
     optional = sites.select("site", F.explode(F.array(F.lit("audience"), F.lit("differentiator"))).alias("fact_id"), F.lit(False).alias("required"))
     wanted = sites.select("site", F.coalesce("category", F.lit("unknown")).alias("category")).join(needed, "category").select("site", "fact_id", "required").unionByName(optional)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
+from webgrain.functions.extend import REGISTERED
 from webgrain.functions.text import detect_language
 from webgrain.operators import checks, compose, facts, gates, grade, robots
 from webgrain.operators import evidence as E
@@ -67,6 +68,7 @@ def run_checks(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded
                          (recorded.missing_pages, checks.missing_page_checks), (recorded.lookups, checks.entity_checks)):
         if table is not None:
             parts.append(judge(table))
+    parts += [f(pages, sites).select(parts[0].columns) for f in REGISTERED.probes.values()]
     results = parts[0]
     for part in parts[1:]:
         results = results.unionByName(part)
@@ -134,7 +136,12 @@ def grade_results(results: DataFrame, docs: DataFrame, sites: DataFrame, resolve
 
 
 def audit(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded | None = None) -> Audit:
-    """docs: parse_pages() with role and page_ord, best read from a written table; sites: site, category; as_of: the day that counts as today."""
+    """docs: parse_pages() with role and page_ord, best read from a written table; sites: site, category and, where someone knows better, category_override; as_of: the day that counts as today.
+
+    Checks, detectors, facts and probes of functions.extend take part.
+    """
+    if "category_override" in sites.columns:
+        sites = sites.withColumn("category", F.coalesce("category_override", "category")).drop("category_override")
     results, resolved, brands = run_checks(docs, sites, as_of, recorded or Recorded())
     asked = grade.simulate(sites.join(brands.select("site", "brand"), "site", "left").fillna({"brand": "the site"}), resolved)
     questions = written(asked.join(words.answers(asked, resolved), ["site", "ord"], "left"), "questions")

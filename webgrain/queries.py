@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgrain.functions import extend
 from webgrain.functions import text as T
 from webgrain.functions import url as U
 from webgrain.functions import vocab as V
@@ -627,6 +628,55 @@ def dedupe_containment(spark, sf_dir):
     return grade.fold(rows.withColumn("pages", F.when(missed, F.array(F.lit("u2"))).otherwise(F.col("pages"))))[1].select("site", "check_id", "folded_into")
 
 
+#: Pages with their markup's marks; titles that say nothing are those of identity_checks.
+_GENERIC = f"(lower({TITLE}) IN ({', '.join("'" + t + "'" for t in V.GENERIC_TITLES)}) OR lower({TITLE}) = {HOST.format('url')} OR lower({TITLE}) = regexp_replace({HOST.format('url')}, '^www\\.', '') OR length({TITLE}) < 3)"
+_PAGE_FAILS = {
+    "fx.identity.meta_description_missing": "NOT regexp_matches(html, '<meta[^>]*name=.description')", "fx.identity.og_missing": "NOT regexp_matches(html, '<meta[^>]*property=.og:')",
+    "en.mobile.viewport_missing": "NOT regexp_matches(html, '<meta[^>]*name=.viewport')", "fx.identity.h1_missing_or_multiple": "len(regexp_extract_all(html, '<h1[ >]')) <> 1", "fx.identity.title_missing_or_generic": _GENERIC,
+    "fx.jsonld.malformed": "FALSE", "cr.render.js_gate": "FALSE", "cr.index.canonical_offsite": "FALSE", "cr.index.noindex_on_key_page": "FALSE",
+}
+_SITE_FAILS = {"fx.jsonld.missing": "NOT bool_or(contains(html, 'ld+json'))", "en.nav.site_search_missing": "NOT bool_or(home AND regexp_matches(html, 'type=.search|role=.search'))",
+               "en.nav.landmark_missing": "NOT bool_or(home AND contains(html, '<nav'))", "en.lang.attribute_missing": "NOT bool_or(home AND regexp_matches(html, '<html[^>]* lang='))"}
+
+
+@query(f"""WITH p AS (SELECT *, {HOST.format('url')} AS site, page_id = min(page_id) OVER (PARTITION BY {HOST.format('url')}) AS home FROM pages)
+    {' UNION ALL '.join(f"SELECT site, '{k}' AS check_id, CASE WHEN bool_or({c}) THEN 'fail' WHEN bool_or({'home' if k.startswith('cr.index.noindex') else 'TRUE'}) THEN 'pass' ELSE 'not_evaluated' END AS status, count(*) FILTER ({c})::INT AS pages, count(*) FILTER ({c})::INT AS items FROM p GROUP BY site" for k, c in _PAGE_FAILS.items())}
+    UNION ALL {' UNION ALL '.join(f"SELECT site, '{k}', CASE WHEN {c} THEN 'fail' ELSE 'pass' END, 0, CASE WHEN {c} THEN 1 ELSE 0 END FROM p GROUP BY site" for k, c in _SITE_FAILS.items())}""")
+def page_check_results(spark, sf_dir):
+    """The results of checks that the crawled pages decide, with how many pages fail and how much evidence there is; a site's first page is its home page."""
+    docs = written(_docs(spark, sf_dir), "documents")
+    firsts = docs.groupBy("site").agg(F.min("page_id").alias("first_page"))
+    placed = docs.join(firsts, "site").withColumns({"role": F.when(F.col("page_id") == F.col("first_page"), "home").otherwise("blog"), "page_ord": F.col("page_id").cast("int")})
+    pages = written(checks.prepare(placed.drop("first_page"), firsts.select("site", F.lit("unknown").alias("category"))), "pages")
+    results = checks.grade_pages(pages, F.lit("2024-06-01").cast("date")).where(F.col("check_id").isin(*_PAGE_FAILS, *_SITE_FAILS))
+    return results.select("site", "check_id", "status", F.size("pages").alias("pages"), F.size("evidence").alias("items"))
+
+
+@query(f"""WITH p AS (SELECT {HOST.format('url')} AS site, page_id, len(regexp_extract_all(html, '<a href=')) AS links FROM pages), f AS (SELECT site, count(*) FILTER (links < 6)::INT AS n, count(*) AS every FROM p GROUP BY 1)
+    SELECT site, 'ux.links.few' AS check_id, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n AS pages, CASE WHEN n > 0 THEN CASE WHEN n >= 3 AND n = every THEN 'medium' ELSE 'low' END END AS severity FROM f
+    UNION ALL SELECT site, 'ux.site.small', CASE WHEN every < 3 THEN 'fail' ELSE 'pass' END, 0, CASE WHEN every < 3 THEN 'high' END FROM f""")
+def added_checks(spark, sf_dir):
+    """A check of pages and a probe that a user registers, run and graded with all others, then forgotten."""
+    @extend.check(extend.CheckRow("ux.links.few", "engagement", "low", "medium", "high", "low"))
+    def few():
+        return extend.Flag(F.lit(True), F.size("links") < 6, evidence=F.array(F.struct(F.lit(None).cast("string"), F.lit("computed"), F.concat(F.lit("links="), F.size("links")), F.lit(None).cast("string"), F.lit(None).cast("string"))))
+
+    @extend.probe("sizes", [extend.CheckRow("ux.site.small", "access", "high", "high", scope="site")])
+    def sizes(pages, sites):
+        return checks._rows(pages.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "ux.site.small", F.when(F.col("n") < 3, "fail").otherwise("pass"))
+
+    try:
+        docs = written(_docs(spark, sf_dir), "documents").withColumns({"role": F.concat(F.lit("r"), "page_id"), "page_ord": F.col("page_id").cast("int")})
+        sites = docs.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("sampled_pages")).withColumn("category", F.lit("unknown"))
+        pages = written(checks.prepare(docs, sites), "pages")
+        results = checks.grade_pages(pages, F.lit("2024-06-01").cast("date")).withColumn("detail", F.lit(None).cast("string"))
+        every = results.unionByName(extend.REGISTERED.probes["sizes"](pages, sites)).where(F.col("check_id").startswith("ux."))
+        graded = written(grade.adjust_severity(every.where("status = 'fail'").join(sites, "site")).select("site", "check_id", "severity"), "graded")
+        return written(every.join(graded, ["site", "check_id"], "left").select("site", "check_id", "status", F.size("pages").alias("pages"), "severity"), "added")
+    finally:
+        extend.forget("ux.links.few", "ux.site.small", "sizes")
+
+
 @query()
 def audit_findings(spark, sf_dir):
     """The whole audit: every host is a site, its first page the home page, the others have the role they are picked for or are blog pages."""
