@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
-from webgrain import queries, queries_made, queries_recorded, queries_report  # noqa: F401
+from webgrain import queries, queries_entities, queries_made, queries_recorded, queries_report  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -81,7 +81,7 @@ def window(text: Column, low: Column, high: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(F.lit(0), high - start))
 
 
-def around(text: Column, span: Column, before: int = 40, after: int = 100) -> Column:
+def around(text: Column, span: Column, before: int | Column = 40, after: int | Column = 100) -> Column:
     """A span with its surroundings, cut at spaces, with an ellipsis on each cut side; null without a span."""
     def sides(m: Column) -> Column:
         full, start, stop = m["t"], m["s"]["start"], m["s"]["stop"]

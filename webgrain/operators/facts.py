@@ -7,6 +7,8 @@ is no fact, it does not make way for the next.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ ORG_TYPES = tuple(dict.fromkeys((
     "GovernmentOrganization", "NewsMediaOrganization", "MedicalOrganization", "SportsOrganization", "SportsTeam", "PerformingGroup", "MusicGroup", "Airline", "Consortium", "LibrarySystem",
     "OnlineBusiness", "OnlineStore", "ResearchOrganization", "WorkersUnion", "FundingScheme", "FundingAgency", "Cooperative", "Project", "Church", "PlaceOfWorship", "Hospital", "Consultant",
     "MarketingAgency", "DesignAgency", "Brand")))
+_SPAN = "struct<start:int,stop:int,m:string>"
 #: Fixed value: how far before a number a cue word may stand.
 CUE_REACH = 30
 
@@ -135,7 +138,15 @@ def _long(value: Column, least: int = 40) -> Column:
     return F.when(F.char_length(value) >= least, value)
 
 
-def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column]]:
+class Window(NamedTuple):
+    """A candidate that is the first match of a pattern in a column of text, with so many characters around it; detect() cuts all of them in one expression."""
+    column: str
+    pattern: str
+    before: int
+    after: int
+
+
+def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column | Window]]:
     """(detector, pass, preferred roles, place in the page, source, value) over a page row with `text` (page_text)."""
     text, body = F.col("text"), F.col("body_text")
     meta = lambda k: F.nullif(F.try_element_at("meta", F.lit(k)), F.lit(""))
@@ -166,9 +177,9 @@ def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column]]:
     ch, cah, hap, ah, ha = ("contact", "home"), ("contact", "about", "home"), ("home", "about", "product"), ("about", "home"), ("home", "about")
     part = excerpt(text, "participate", 20, 60)
     found = [
-        ("price", 0, ps, 0, "text", excerpt(text, "price", 30, 40)), ("price", 0, ps, 1, "jsonld:Offer.price", price),
-        ("sales_led", 0, (), 0, "text", excerpt(text, "sales_led")), ("sales_led", 0, (), 1, "link", _link("sales_led")),
-        ("free_trial", 0, (), 0, "text", excerpt(text, "free_trial", 30, 40)), ("free_tier", 0, (), 0, "text", excerpt(text, "free_tier", 30, 40)),
+        ("price", 0, ps, 0, "text", Window("text", "price", 30, 40)), ("price", 0, ps, 1, "jsonld:Offer.price", price),
+        ("sales_led", 0, (), 0, "text", Window("text", "sales_led", 40, 100)), ("sales_led", 0, (), 1, "link", _link("sales_led")),
+        ("free_trial", 0, (), 0, "text", Window("text", "free_trial", 30, 40)), ("free_tier", 0, (), 0, "text", Window("text", "free_tier", 30, 40)),
         ("email", 0, ch, 0, "link:mailto", F.substring_index(F.substring(mail, 8, 400), "?", 1)),
         ("email", 0, ch, 1, "text", let(first_match(text, "email"), lambda m: F.when(~F.lower(m).rlike(r"\.(png|jpg|svg|gif)$"), m))),
         ("phone", 0, ch, 0, "link:tel", F.substring(tel, 5, 60)), ("phone", 0, ch, 1, "jsonld:telephone", phone_ld), ("phone", 1, ch, 0, "text", text_phone(text)),
@@ -176,12 +187,12 @@ def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column]]:
         ("address", 0, cah, 0, "jsonld:PostalAddress", postal), ("address", 0, cah, 1, "jsonld:address", _long(first_of(F.col("nodes"), lambda j: text_of(j, "address")), 11)),
         ("address", 1, cah, 0, "text", address_excerpt(body)),
         ("hours", 0, ("contact", "home", "product"), 0, "jsonld:openingHours", F.coalesce(first_of(F.col("nodes"), lambda j: text_of(j, "openingHours")), F.when(anywhere("openingHoursSpecification").isNotNull() | anywhere("openingHours").isNotNull(), F.lit("openingHoursSpecification")))),
-        ("hours", 1, ("contact", "home", "product"), 0, "text", excerpt(body, "hours", 20, 40)),
+        ("hours", 1, ("contact", "home", "product"), 0, "text", Window("body_text", "hours", 20, 40)),
         ("description", 0, hap, 0, "meta:description", _long(meta("description"))), ("description", 1, hap, 0, "meta:og:description", _long(meta("og:description"))),
         ("description", 1, hap, 1, "jsonld:description", first_of(top, lambda j: _long(text_of(j, "description")))),
         ("description", 2, hap, 0, "heading+text", F.when((words_in(h1) >= 3) & (words_in(after_h1) >= 12), F.concat(h1, F.lit(" — "), after_h1))),
         ("audience", 0, hap, 0, "jsonld:audience", first_of(F.col("nodes"), lambda j: F.coalesce(text_of(j, "audience.audienceType"), text_of(j, "audience.name"), text_of(j, "audience")))),
-        ("audience", 1, hap, 0, "text", excerpt(text, "audience", 20, 30)),
+        ("audience", 1, hap, 0, "text", Window("text", "audience", 20, 30)),
         ("location", 0, ("about", "home", "contact"), 0, "jsonld:PostalAddress", locality), ("location", 0, ("about", "home", "contact"), 1, "jsonld:areaServed", first_of(F.col("nodes"), lambda j: text_of(j, "areaServed"))),
         ("location", 1, ("about", "home", "contact"), 0, "text", first_match(body, "location_phrase")),
         ("date", 0, (), 0, "html:time", F.get("times", F.lit(0))), ("date", 1, (), 0, "jsonld:date", first_of(top, lambda j: F.coalesce(text_of(j, "datePublished"), text_of(j, "dateModified")))),
@@ -195,15 +206,15 @@ def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column]]:
         ("role", 1, ha, 1, "title", F.when(words_in(F.get(parts, F.lit(1))) >= 2, F.get(parts, F.lit(1)))), ("role", 1, ha, 2, "heading:h1", F.when(words_in(h1) >= 4, h1)),
         ("profile", 0, (), 0, "jsonld:sameAs", first_of(F.col("nodes"), lambda j: F.when(value_of(j, "sameAs").contains("http"), F.array_join(F.slice(F.regexp_extract_all(value_of(j, "sameAs"), F.lit(r"https?://[^\"\s,\]]+"), F.lit(0)), 1, 3), ", ")))),
         ("profile", 0, (), 1, "link:profile", profile),
-        ("mission", 0, ah, 0, "text", excerpt(text, "mission", 20, 60)), ("mission", 1, ha, 0, "jsonld:description", first_of(typed(MISSION_TYPES), lambda j: _long(text_of(j, "description")))),
+        ("mission", 0, ah, 0, "text", Window("text", "mission", 20, 60)), ("mission", 1, ha, 0, "jsonld:description", first_of(typed(MISSION_TYPES), lambda j: _long(text_of(j, "description")))),
         ("participation", 0, hap, 0, "heading", _heading("participate")), ("participation", 0, hap, 1, "link", _link("participate")), ("participation", 0, hap, 2, "button", _button("participate")),
         ("participation", 0, hap, 3, "text", F.when(looks_like_prose(part), part)),
         ("leadership", 0, ah, 0, "jsonld:leadership", staff), ("leadership", 0, ah, 1, "text", F.coalesce(excerpt(body, "leadership", 40, 40), excerpt(body, "size", 40, 40))),
-        ("signup", 0, ("home", "pricing", "product"), 0, "text", excerpt(text, "signup", 20, 60)), ("signup", 0, ("home", "pricing", "product"), 1, "link", _link("signup")), ("signup", 0, ("home", "pricing", "product"), 2, "button", _button("signup")),
-        ("press", 0, (), 0, "text:press_email", excerpt(text, "press_email", 0, 40)),
-        ("press", 1, ("about", "contact", "blog", "home"), 0, "text", excerpt(text, "press", 20, 60)), ("press", 1, ("about", "contact", "blog", "home"), 1, "heading", _heading("press")), ("press", 1, ("about", "contact", "blog", "home"), 2, "link", _link("press")),
-        ("policy", 0, ("product", "home", "contact"), 0, "text", excerpt(text, "shipping_returns", 20, 60)), ("policy", 0, ("product", "home", "contact"), 1, "heading", _heading("shipping_returns")), ("policy", 0, ("product", "home", "contact"), 2, "link", _link("shipping_returns")),
-        ("differentiator", 0, hap, 0, "text", excerpt(text, "differentiator", 20, 60)),
+        ("signup", 0, ("home", "pricing", "product"), 0, "text", Window("text", "signup", 20, 60)), ("signup", 0, ("home", "pricing", "product"), 1, "link", _link("signup")), ("signup", 0, ("home", "pricing", "product"), 2, "button", _button("signup")),
+        ("press", 0, (), 0, "text:press_email", Window("text", "press_email", 0, 40)),
+        ("press", 1, ("about", "contact", "blog", "home"), 0, "text", Window("text", "press", 20, 60)), ("press", 1, ("about", "contact", "blog", "home"), 1, "heading", _heading("press")), ("press", 1, ("about", "contact", "blog", "home"), 2, "link", _link("press")),
+        ("policy", 0, ("product", "home", "contact"), 0, "text", Window("text", "shipping_returns", 20, 60)), ("policy", 0, ("product", "home", "contact"), 1, "heading", _heading("shipping_returns")), ("policy", 0, ("product", "home", "contact"), 2, "link", _link("shipping_returns")),
+        ("differentiator", 0, hap, 0, "text", Window("text", "differentiator", 20, 60)),
         ("faq", 0, (), 0, "jsonld:FAQPage", F.when(F.size(typed(("FAQPage",), top=False)) > 0, F.lit("FAQPage JSON-LD"))), ("faq", 1, (), 0, "heading", _heading("faq_heading")), ("faq", 1, (), 1, "heading:questions", F.when(F.size(questions) >= 3, F.array_join(F.slice(questions, 1, 3), "; "))),
     ]
     for name, prefer in (("offers", ("product", "home", "contact")), ("services", ("product", "home", "about")), ("goods", ("product", "home")), ("topics", ("blog", "home"))):
@@ -215,14 +226,19 @@ def proposals() -> list[tuple[str, int, tuple[str, ...], int, str, Column]]:
 def detect(docs: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     """docs: parsed pages with site, role, page_ord, url. (site, detector, value, page, source); a value of navigation text is null."""
     pages = docs.withColumn("text", page_text())
-    rows = []
+    rows, where = [], ("text", "body_text")
     added = [(name, *candidate) for name, f in REGISTERED.detectors.items() for candidate in f()]
     for name, group, prefer, sub, source, value in proposals() + added:
         if not only or name in only:
             pref = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, prefer)), F.col("role")), F.lit(0)), F.lit(99)) if prefer else F.lit(99)
+            window = value if isinstance(value, Window) else None
+            span = F.lit(None).cast(_SPAN) if window is None else first_span(F.col(window.column), window.pattern)
             rows.append(F.struct(F.lit(name).alias("detector"), F.lit(group).alias("pass"), pref.cast("int").alias("pref"), F.col("page_ord").cast("int").alias("page_ord"),
-                                 F.lit(sub).alias("sub"), F.lit(source).alias("source"), value.cast("string").alias("value")))
-    proposed = pages.select("site", "url", F.explode(F.filter(F.array(*rows), lambda c: c["value"].isNotNull())).alias("c")).select("site", "url", "c.*")
+                                 F.lit(sub).alias("sub"), F.lit(source).alias("source"), (F.lit(None) if window else value).cast("string").alias("value"), span.alias("span"),
+                                 *[F.lit(x).alias(c) for c, x in zip(("in", "before", "after"), (where.index(window.column), window.before, window.after) if window else (0, 0, 0), strict=True)]))
+    found = F.filter(F.array(*rows), lambda c: c["value"].isNotNull() | c["span"].isNotNull())
+    cut = F.transform(found, lambda c: c.withField("value", F.coalesce(c["value"], around(F.when(c["in"] == 0, F.col("text")).otherwise(F.col("body_text")), c["span"], c["before"], c["after"]))).dropFields("span", "in", "before", "after"))
+    proposed = pages.select("site", "url", F.explode(cut).alias("c")).select("site", "url", "c.*")
     first = proposed.groupBy("site", "detector").agg(F.min_by(F.struct("value", F.col("url").alias("page"), "source"), F.struct("pass", "pref", "page_ord", "sub", "url")).alias("f"))
     return first.select("site", "detector", F.when(usable_value(F.col("f.value")), clip(F.col("f.value"))).alias("value"), "f.page", "f.source")
 
