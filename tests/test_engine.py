@@ -256,7 +256,7 @@ def test_site_categories_use_all_evidence(spark, tmp_path):
     assert ("shop.test", "about", "https://shop.test/about") in {(r.site, r.role, r.url) for r in queries.page_roles(spark, str(tmp_path)).where("rank = 1").collect()}
 
     docs = {}
-    for d in queries._docs(spark, str(tmp_path)).select("site", "page_id", "url", "links", "nodes").collect():
+    for d in queries._docs(spark, str(tmp_path)).select("site", "page_id", "url", "links", "nodes", "body_text").collect():
         docs.setdefault(d.site, []).append(d)
     bare = lambda x: " " + re.sub(r"[^\w']+", " ", x) + " "
     domain = lambda h: ".".join(h.split(".")[-2:])
@@ -271,7 +271,12 @@ def test_site_categories_use_all_evidence(spark, tmp_path):
         for category, sig in V.CATEGORY_SIGNALS.items():
             hits = {next((k for k in sig["nav"] if x == k or bare(k) in bare(x)), None) for x in labels} - {None}
             cluster = sig.get("nav_cluster")
-            score = min(len(hits), caps["nav"]) + 2 * bool(cluster and len(labels & set(cluster["members"])) >= cluster["min"])
+            score = min(len(hits), caps["nav"])
+            members = {next((k for k in cluster["members"] if x == k or bare(k) in bare(x)), None) for x in labels} - {None} if cluster else set()
+            if cluster and len(members) >= cluster["min"]:
+                score = min(caps["nav"], score + len(members))
+            score += 2 * (category == "portfolio_personal" and len({x.url for x in home.links if x.internal}) <= 5)
+            score += 2 * (category == "ecommerce" and len(re.findall(V.PATTERNS["price"][0], home.body_text, re.I)) >= 3)
             score += min(sum(any(p in x for x in paths) for p in set(sig["url"])), caps["url"])
             score += caps["tld"] * bool(set(site.split(".")[-2:]) & set(sig["tld"]))
             score += caps["jsonld"] if types & set(sig["jsonld"]) else caps["jsonld_generic"] if types & set(sig.get("jsonld_generic", ())) else 0

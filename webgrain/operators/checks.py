@@ -475,6 +475,31 @@ def edge_checks(probes: DataFrame) -> DataFrame:
                                F.when(ready & (F.col("refused") == 0) & F.coalesce(differs, F.lit(False)), "content_varies_by_agent"), evidence=sizes)))
 
 
+#: Statuses by which a site refuses a client rather than fails.
+REFUSALS = (401, 403, 429)
+
+
+def split_refusals(results: DataFrame, pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """results in which a home page that refused the audit is told from one that is down, by what crawlers got who may read it.
+
+    All of them refused: it fails. None refused: it is open, for the refusal is the audit's own matter. Some, or none asked: open as well, for nobody
+    knows. A crawler that was kept waiting was neither served nor refused. probes: as for edge_checks().
+    """
+    homes = pages.where(F.col("role") == "home").groupBy("site").agg(F.max(F.col("status").isin(*REFUSALS)).alias("_refused"))
+    if probes is None:
+        asked = homes.select("site", F.lit(0).alias("_asked"), F.lit(0).alias("_denied"))
+    else:
+        timeout = F.coalesce(F.col("error").isin("timeout", "read_timeout", "connect_timeout"), F.lit(False))
+        denied = ~timeout & (F.col("error").isNotNull() | (F.col("status") >= 400))
+        asked = probes.where("tier <> 'baseline'").groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("_asked"), F.count_if(F.coalesce(denied, F.lit(False))).cast("int").alias("_denied"))
+    rows = results.join(homes, "site", "left").join(asked, "site", "left").fillna({"_asked": 0, "_denied": 0})
+    own = F.coalesce((F.col("check_id") == "cr.access.http_error") & (F.col("status") == "fail") & F.col("_refused"), F.lit(False))
+    reason = F.when(F.col("_asked") == 0, "crawler_access_unknown").when(F.col("_denied") == 0, "audit_user_agent_refused").when(F.col("_denied") < F.col("_asked"), "crawler_access_mixed")
+    told = F.when(F.col("_asked") > 0, E.items(E.item("computed", F.concat(F.lit("crawlers_asked="), F.col("_asked"), F.lit("; refused="), F.col("_denied")), page="site"))).otherwise(E.none())
+    return rows.withColumns({"status": F.when(own & reason.isNotNull(), "inconclusive").otherwise(F.col("status")), "reason": F.when(own, reason).otherwise(F.col("reason")),
+                             "evidence": F.when(own, F.concat("evidence", told)).otherwise(F.col("evidence"))}).drop("_refused", "_asked", "_denied")
+
+
 def sitemap_checks(sitemaps: DataFrame) -> DataFrame:
     """sitemaps: site, state (ok, missing, invalid, unreachable, challenge)."""
     open_ = F.col("state").isin("unreachable", "challenge")

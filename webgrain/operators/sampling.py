@@ -89,10 +89,15 @@ def link_sample(links: DataFrame, most: int = V.LINK_SAMPLE_MAX) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy(*order))).where(F.col("rank") <= most).select("site", "rank", "url", "context")
 
 
+#: Pages that make a small site, prices that make a shop.
+SMALL_SITE, SHOP_PRICES = 5, 3
+
+
 def score_categories(spark: SparkSession, sites: DataFrame, nav: DataFrame, urls: DataFrame, types: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Scores of every site and category. nav: site, text. urls: site, url. types: site, type (JSON-LD). counts: site, pages, prices.
 
-    Each kind of evidence is counted once for each distinct value and capped; a declared type counts 3, a general one 2.
+    Each kind of evidence is counted once for each distinct value and capped; a declared type counts 3, a general one 2. Labels of a cluster count with the
+    other labels, where enough of its members are there. Few pages speak for a personal site, several prices on the home page for a shop.
     """
     signal = F.broadcast(dim(spark, "category_signal").withColumnRenamed("ord", "signal_ord"))
     of = lambda kind: signal.where(F.col("kind") == kind)
@@ -100,7 +105,7 @@ def score_categories(spark: SparkSession, sites: DataFrame, nav: DataFrame, urls
     words = texts.join(of("nav"), phrase_in(F.col("label"), F.col("value"))).withColumn(
         "n", F.row_number().over(W.partitionBy("site", "category", "label").orderBy("signal_ord"))).where("n = 1").select("site", "category", "kind", "value")
     least = V.CATEGORY_SIGNALS["publisher_media"]["nav_cluster"]["min"]
-    section = texts.join(of("nav_cluster"), F.col("label") == F.col("value")).groupBy("site", "category").agg(
+    section = texts.join(of("nav_cluster"), phrase_in(F.col("label"), F.col("value"))).groupBy("site", "category").agg(
         F.collect_set("value").alias("members")).where(F.size("members") >= least).select("site", "category", F.lit("section").alias("kind"), F.array_join(F.array_sort("members"), "+").alias("value"))
     paths = urls.select("site", F.lower("url").alias("url")).distinct().join(of("url"), F.col("url").contains(F.col("value"))).select("site", "category", "kind", "value").distinct()
     labels = F.split("site", r"\.")
@@ -108,10 +113,17 @@ def score_categories(spark: SparkSession, sites: DataFrame, nav: DataFrame, urls
     own = types.select("site", "type").distinct()
     declared = own.join(signal.where("kind in ('jsonld', 'jsonld_generic')"), F.col("type") == F.col("value")).select("site", "category", "kind", "value")
     every = words.unionByName(section).unionByName(paths).unionByName(tld).unionByName(declared)
+    if counts is not None:
+        told = F.array_compact(F.array(F.when(F.col("pages") <= SMALL_SITE, F.struct(F.lit("portfolio_personal").alias("category"), F.lit("pages").alias("kind"), F.lit(f"<={SMALL_SITE}").alias("value"))),
+                                       F.when(F.col("prices") >= SHOP_PRICES, F.struct(F.lit("ecommerce").alias("category"), F.lit("prices").alias("kind"), F.col("prices").cast("string").alias("value")))))
+        every = every.unionByName(counts.select("site", F.inline(told)))
     kinds = every.groupBy("site", "category", "kind").agg(F.count_distinct("value").alias("n"), F.array_sort(F.collect_set("value")).alias("values"))
     caps = V.SCORE_CAPS
-    points = (F.when(F.col("kind") == "jsonld", caps["jsonld"]).when(F.col("kind") == "jsonld_generic", caps["jsonld_generic"])
-              .when(F.col("kind") == "section", 2).when(F.col("kind") == "nav", F.least("n", F.lit(caps["nav"])))
+    labels_found = F.sum(F.when(F.col("kind") == "nav", F.least("n", F.lit(caps["nav"])))).over(W.partitionBy("site", "category"))
+    members = F.size(F.split(F.get("values", F.lit(0)), r"\+"))
+    kinds = kinds.withColumn("room", F.greatest(F.lit(0), F.least(members, caps["nav"] - F.coalesce(labels_found, F.lit(0)))))
+    points = (F.when(F.col("kind") == "jsonld", caps["jsonld"]).when(F.col("kind") == "jsonld_generic", caps["jsonld_generic"]).when(F.col("kind").isin("pages", "prices"), 2)
+              .when(F.col("kind") == "section", F.col("room")).when(F.col("kind") == "nav", F.least("n", F.lit(caps["nav"])))
               .when(F.col("kind") == "url", F.least("n", F.lit(caps["url"]))).otherwise(caps["tld"]))
     rank = F.when(F.col("kind").startswith("jsonld"), 3).when(F.col("kind").isin("nav", "section"), 2).when(F.col("kind") == "url", 1).otherwise(0)
     specific = W.partitionBy("site", "category")

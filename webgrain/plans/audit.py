@@ -72,6 +72,7 @@ def run_checks(docs: DataFrame, sites: DataFrame, as_of: str, recorded: Recorded
     results = parts[0]
     for part in parts[1:]:
         results = results.unionByName(part)
+    results = checks.split_refusals(results, pages, recorded.edge_probes)
     return checks.apply_category(grade.never_run(results, sites), sites), resolved, brands
 
 

@@ -356,11 +356,13 @@ def _own_links(docs: DataFrame) -> DataFrame:
 
 
 def _scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Scores by the labels and paths of the home page's own links, the paths of all pages read, and the types in their structured data."""
+    """Scores by the labels and paths of the home page's own links, how many there are, its prices, the paths of all pages read, and the types in their structured data."""
     links = _own_links(docs)
     urls = links.select("site", "url").unionByName(docs.select("site", "url")).select("site", U.path(F.col("url")).alias("url"))
     types = docs.select("site", F.explode(F.flatten(F.transform("nodes", lambda n: n["types"]))).alias("type"))
-    return sampling.score_categories(spark, docs.select("site").distinct(), links.select("site", "text"), urls, types)
+    inner = F.size(F.array_distinct(F.transform(F.filter("links", lambda x: x["internal"]), lambda x: x["url"])))
+    counts = _homes(docs).select("site", inner.alias("pages"), F.size(T.prices(F.col("body_text"))).alias("prices"))
+    return sampling.score_categories(spark, docs.select("site").distinct(), links.select("site", "text"), urls, types, counts)
 
 
 def _roles(docs: DataFrame) -> DataFrame:

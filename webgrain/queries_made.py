@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webgrain.functions import text as T
 from webgrain.functions import vocab as V
 from webgrain.functions.dims import dim
-from webgrain.operators import checks, facts, gates, grade, html, report
+from webgrain.operators import checks, facts, gates, grade, html, report, sampling
 from webgrain.operators.evidence import EVIDENCE
 from webgrain.queries import _LETTERS, _RESULTS, _STAGE_RESULTS, SITES, _docs, _results, _sites, _stage_results, _t, _values, query
 from webgrain.sources.store import written
@@ -385,3 +385,37 @@ def recommended_props(spark, sf_dir):
 def edge_plan(spark, sf_dir):
     rows = _sites(spark, sf_dir).join(F.broadcast(dim(spark, "bot_tier").select("token")))
     return report.edge_plan(rows.withColumn("root_allowed", (F.col("first_page") + F.char_length("token")) % 2 == 0))
+
+
+# ---- categories and refusals ----------------------------------------------------------------
+
+_LABELS = ["Cart", "Checkout", "World", "Politics", "Culture", "Sport", "Opinion", "World news and politics of the week", "Something else"]
+
+
+@query("""WITH q AS (SELECT s_suppkey AS s, s_suppkey % 9 AS pages, s_suppkey % 5 AS prices, s_suppkey % 4 AS k FROM supplier)
+    SELECT s AS site, 'ecommerce' AS category, (CASE WHEN prices >= 3 THEN 2 ELSE 0 END + CASE WHEN k = 1 THEN 2 ELSE 0 END)::INT AS score FROM q UNION ALL SELECT s, 'portfolio_personal', CASE WHEN pages <= 5 THEN 2 ELSE 0 END FROM q
+    UNION ALL SELECT s, 'publisher_media', CASE k WHEN 2 THEN 4 ELSE 0 END FROM q""")
+def made_category_scores(spark, sf_dir):
+    """Labels of a shop, of an editorial section (five of its members count as four labels) and too few of them; few pages; several prices."""
+    k = F.col("s_suppkey")
+    site = F.concat(F.lit("m"), k.cast("string"), F.lit(".test"))
+    rows = _t(spark, sf_dir, "supplier").select(site.alias("site"), k)
+    chosen = F.when(k % 4 == 1, F.array(F.lit("Cart"), F.lit("Checkout"))).when(k % 4 == 2, F.array(*map(F.lit, _LABELS[2:7]))).when(k % 4 == 3, F.array(F.lit("World"), F.lit("Something else"))).otherwise(F.array().cast("array<string>"))
+    none = spark.createDataFrame([], "site string, url string, type string")
+    scores = sampling.score_categories(spark, rows.select("site"), rows.select("site", F.explode(chosen).alias("text")), none.select("site", "url"), none.select("site", "type"), rows.select("site", (k % 9).alias("pages"), (k % 5).alias("prices")))
+    return scores.where(F.col("category").isin("ecommerce", "portfolio_personal", "publisher_media")).select(F.regexp_extract("site", r"^m(\d+)", 1).cast("bigint").alias("site"), "category", "score")
+
+
+@query("""WITH q AS (SELECT s_suppkey AS s, s_suppkey % 6 AS k, s_suppkey % 7 = 0 AS down FROM supplier)
+    SELECT s AS site, CASE WHEN down OR k IN (0, 1) THEN 'fail' ELSE 'inconclusive' END AS status, CASE WHEN down OR k IN (0, 1) THEN NULL WHEN k = 2 THEN 'audit_user_agent_refused' WHEN k = 3 THEN 'crawler_access_mixed' WHEN k = 4 THEN 'crawler_access_unknown' ELSE 'crawler_access_mixed' END AS reason FROM q""")
+def refused_homes(spark, sf_dir):
+    """A home page that refused the audit, by what crawlers got: all refused, none, some, none asked, one kept waiting; and home pages that are down."""
+    s, k = F.col("s_suppkey"), F.col("s_suppkey") % 6
+    rows = _t(spark, sf_dir, "supplier").select(s.alias("site"), s)
+    pages = rows.select("site", F.lit("home").alias("role"), F.when(s % 7 == 0, 503).otherwise(F.element_at(F.array(F.lit(401), F.lit(403), F.lit(429)), (s % 3 + 1).cast("int"))).alias("status"))
+    answer = lambda status, error=None: F.struct(F.lit("live_answer").alias("tier"), F.lit(status).cast("int").alias("status"), F.lit(error).cast("string").alias("error"))
+    asked = F.when(k == 0, F.array(answer(403), answer(429))).when(k == 1, F.array(answer(None, "connection_reset"))).when(k == 2, F.array(answer(200), answer(200))).when(k == 3, F.array(answer(200), answer(403))).when(k == 5, F.array(answer(403), answer(None, "read_timeout")))
+    baseline = rows.select("site", F.lit("baseline").alias("tier"), F.lit(403).alias("status"), F.lit(None).cast("string").alias("error"))
+    probes = rows.select("site", F.explode(asked).alias("a")).select("site", "a.*").unionByName(baseline)
+    results = rows.select("site", F.lit("cr.access.http_error").alias("check_id"), F.lit("fail").alias("status"), F.lit(None).cast("string").alias("reason"), F.array().cast(EVIDENCE).alias("evidence"))
+    return checks.split_refusals(results, pages, probes).select("site", "status", "reason")
