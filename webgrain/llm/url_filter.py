@@ -82,7 +82,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
             .withColumn("active", F.last("state", ignorenulls=True).over(sweep))
             .where((F.col("kind") == 1) & F.col("active.top").isNotNull()))
     best = cut(hits.groupBy("host", "path").agg(F.max("active.top").alias("best")), "url-best")
-    return rows.join(best, ["host", "path"], "left").select(
+    return rows.join(best.hint("merge"), ["host", "path"], "left").select(  # as large as there are urls under rules: never broadcast
         id_col, "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
