@@ -323,7 +323,7 @@ def test_audit_without_recordings(spark):
     assert any(q.startswith("What sets") and questions[q].informational for q in questions) and any("a good fit for" in q for q in questions)
     from webgrain.operators import markdown
     text = markdown.markdown(plan.report(result, docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string"))).first().markdown
-    for part in ("# AI-readiness audit: a.test", "## Summary", "## Quick wins", f"#### F-001 {first.title}", "*Do this.*", "## What is working", "## Questions and answers", "## Coverage and limitations", "Outside this audit's scope"):
+    for part in ("# Audit of a.test", "## Summary", "## Quick wins", f"#### F-001 {first.title}", "*Do this.*", "## What is working", "## Questions and answers", "## Coverage and limitations", "Outside this audit's scope"):
         assert part in text, part
     ready = written(checks.prepare(docs, spark.createDataFrame([("a.test", "saas_software")], "site string, category string")), "ready")
     plan_text = checks.grade_pages(ready, F.lit("2024-06-01").cast("date"))._jdf.queryExecution().executedPlan().toString()

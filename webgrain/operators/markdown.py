@@ -89,7 +89,7 @@ def markdown(reports: DataFrame) -> DataFrame:
     outside = F.lit("- Outside this audit's scope: " + "; ".join(what for what, _ in NOT_COVERED) + ".")
     there = lambda c: F.coalesce(F.size(r[c]), F.lit(0)) > 0
     body = _lines(
-        _text("# AI-readiness audit: ", F.col("site"), "\n"), _section("Summary", _lines(r["headline"], F.lit(""), counts, F.lit(""), checks), F.lit(True)),
+        _text("# Audit of ", F.col("site"), "\n"), _section("Summary", _lines(r["headline"], F.lit(""), counts, F.lit(""), checks), F.lit(True)),
         _section("What this means", r["narrative"], r["narrative"].isNotNull()) if "narrative" in have else F.lit(None).cast("string"),
         _section("Quick wins", quick, (F.size(wins) > 0) | first.isNotNull()), _section("Findings", F.array_join(F.array_compact(F.array(*groups)), "\n"), some),
         _section("Folded into other findings", folded, there("folded")), _section("What is working", working, there("working")),
