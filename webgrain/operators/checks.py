@@ -25,6 +25,9 @@ SMALL_IMAGE = 50
 RESULT = "site string, check_id string, status string, reason string, pages array<string>, roles array<string>, confidence string, detail string"  # and evidence
 
 
+#: The parts of a document that prepare() reads for a page's state and language.
+STATE_PARTS = ("lang", "body_text", "noscript", "body_onload", "inline_scripts", "headings", "empty_roots", "script_bytes", "external_scripts")
+
 # ---- states of a page -----------------------------------------------------------------------
 
 
@@ -346,26 +349,38 @@ def site_flags(as_of: Column) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def prepare(docs: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages with their state, their site's category, their language and whether their role is a key page of the category. sites: site, category."""
+#: What several flags and their evidence look at, worked out once for a page.
+SIGNS = {"gate_signs": gate_signals, "shell_signs": shell_signals, "hero_signs": hero_signals, "image_signs": image_only, "lacking": lacking_properties}
+
+
+def prepare(docs: DataFrame, sites: DataFrame, signs: tuple[str, ...] = tuple(SIGNS)) -> DataFrame:
+    """Pages with their state, their site's category, their language, whether their role is a key page of the category, and signs. sites: site, category."""
     keys = F.broadcast(dim(docs.sparkSession, "key_page").select("category", "role", F.lit(True).alias("is_key")))
     rows = classify(docs).join(sites.select("site", "category"), "site", "left").fillna({"category": "unknown"})
     rows = rows.join(keys, ["category", "role"], "left").withColumns({"is_key": F.coalesce("is_key", F.lit(False)), "page_lang": F.lower(F.substring_index("lang", "-", 1))})
-    # what several flags and their evidence look at is worked out once
-    return rows.withColumns({"gate_signs": gate_signals(), "shell_signs": shell_signals(), "hero_signs": hero_signals(), "image_signs": image_only(), "lacking": lacking_properties()})
+    return rows.withColumns({k: SIGNS[k]() for k in signs}) if signs else rows
 
 
-def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Results of all page and site checks over prepare()d pages: one aggregation by site and check for page checks, one by site for site checks."""
+def grade_pages(pages: DataFrame, as_of: Column, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Results of all page and site checks (or of those that only names) over prepare()d pages: one aggregation by site and check for page checks, one by site for site checks."""
     pages = pages if "page_ord" in pages.columns else pages.withColumn("page_ord", F.lit(0))
     added = {k: f() for k, f in REGISTERED.page_checks.items()}
     flags = page_flags(as_of) | {k: (f.judged, f.failed, F.lit(None).cast("string") if f.confidence is None else f.confidence) for k, f in added.items()}
-    sums = site_flags(as_of)
+    flags |= {k: (F.lit(True), hit, F.lit(None).cast("string")) for k, hit in open_flags().items()}
+    asked = lambda checks: {k: v for k, v in checks.items() if only is None or k in only}
+    flags, sums = asked(flags), asked(site_flags(as_of))
+    if not sums:
+        return _page_results(pages, flags, added)
+    results = _site_results(pages, sums)
+    return _page_results(pages, flags, added).unionByName(results) if flags else results
+
+
+def _page_results(pages: DataFrame, flags: dict[str, tuple[Column, Column, Column]], added: dict) -> DataFrame:
     # the flags are computed once for each page, in one projection, and carried as one array
     shown = page_evidence() | {k: f.evidence.cast(E.EVIDENCE) for k, f in added.items() if f.evidence is not None}
     found = F.array(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(judged, F.lit(False)).alias("judged"), F.coalesce(judged & failed, F.lit(False)).alias("failed"), conf.alias("confidence"),
                                F.when(judged & failed, shown.get(k, E.none())).alias("evidence"))
-                      for k, (judged, failed, conf) in (flags | {k: (F.lit(True), hit, F.lit(None).cast("string")) for k, hit in open_flags().items()}).items()])
+                      for k, (judged, failed, conf) in flags.items()])
     rows = pages.select("site", "category", "page_ord", "final_url", "role", F.inline(found))
     worst = F.max(F.when(F.col("failed"), F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("confidence"))))
     hit = F.col("failed")
@@ -381,19 +396,21 @@ def grade_pages(pages: DataFrame, as_of: Column) -> DataFrame:
     once = F.aggregate("evidence", E.none(), lambda seen, e: F.when(F.exists(seen, lambda s: s["note"] == e["note"]), seen).otherwise(F.concat(seen, F.array(e))))
     repeated = F.col("check_id") == "fx.jsonld.required_props_missing"
     own_pages = F.array_distinct(F.transform("evidence", lambda e: e["page"]))
-    page_results = page_results.withColumn("evidence", F.when(repeated, once).otherwise(F.col("evidence"))).withColumns({
+    return page_results.withColumn("evidence", F.when(repeated, once).otherwise(F.col("evidence"))).withColumns({
         "roles": F.when(repeated, F.transform(F.filter(F.arrays_zip("pages", "roles"), lambda x: F.array_contains(own_pages, x["pages"])), lambda x: x["roles"])).otherwise(F.col("roles")),
         "pages": F.when(repeated, own_pages).otherwise(F.col("pages"))})
+
+
+def _site_results(pages: DataFrame, sums: dict[str, tuple[Column, Column]]) -> DataFrame:
     # one aggregation for all site checks: whether any page was judged, and the sum over the judged pages
     sites = pages.groupBy("site").agg(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(F.bool_or(judged), F.lit(False)).alias("judged"), failing.alias("failed"), F.count_if(judged).alias("n")).alias(f"c{i}")
                                         for i, (k, (judged, failing)) in enumerate(sums.items())])
     each = sites.select("site", F.inline(F.array(*[f"c{i}" for i in range(len(sums))])))
     said = F.coalesce(*[F.when(F.col("check_id") == k, v) for k, v in site_evidence().items()])
-    site_results = each.select(
+    return each.select(
         "site", "check_id", F.when(~F.col("judged"), "not_evaluated").when(F.col("failed"), "fail").otherwise("pass").alias("status"),
         F.when(~F.col("judged"), "no_usable_pages").alias("reason"), F.array().cast("array<string>").alias("pages"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("confidence"),
         F.when(F.col("judged") & F.col("failed"), E.items(E.item("computed", F.concat(said, F.lit("; pages="), F.col("n")), page="site"))).otherwise(E.none()).alias("evidence"))
-    return page_results.unionByName(site_results)
 
 
 #: Checks that pages leave open, and why: those answered by a bot challenge, and those whose markup could not be read to its end.
