@@ -20,8 +20,12 @@ def label(text: Column) -> Column:
 
 def phrase_in(text: Column, phrase: Column) -> Column:
     """Whether a phrase is in a text as whole words; the text is a label, with a space on each side of every word."""
-    bare = F.regexp_replace(text, r"(?U)[^\w']+", " ")
-    return (text == phrase) | F.concat(F.lit(" "), bare, F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(phrase, r"(?U)[^\w']+", " "), F.lit(" ")))
+    return (text == phrase) | bare_words(text).contains(bare_words(phrase))
+
+
+def bare_words(text: Column) -> Column:
+    """The words of a text with one space before, between and after them."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"(?U)[^\w']+", " "), F.lit(" "))
 
 
 def is_label(text: Column, max_words: int = V.NAV_LABEL_MAX_WORDS) -> Column:
@@ -37,13 +41,15 @@ def role_candidates(links: DataFrame, sitemap: DataFrame | None = None) -> DataF
     spark = links.sparkSession
     rows = links.where(~is_page_part(F.col("url"))).select("site", "ord", "url", label(F.col("text")).alias("label"), F.coalesce("context", F.lit("body")).alias("context"),
                                                            segments(F.col("url")).alias("parts"))
-    words = F.broadcast(dim(spark, "role_keyword").groupBy("role").agg(F.array_sort(F.collect_list(F.struct("ord", "phrase"))).alias("phrases")))
-    slugs = F.broadcast(dim(spark, "role_slug").groupBy("role").agg(F.array_sort(F.collect_list(F.struct("ord", "slug"))).alias("slugs")))
-    crossed = rows.join(words).join(slugs, "role")  # five roles
-    keyword = F.get(F.filter("phrases", lambda p: phrase_in(F.col("label"), p["phrase"])), F.lit(0))["phrase"]
-    slug = F.get(F.filter("slugs", lambda s: (F.get(F.col("parts"), F.lit(0)) == s["slug"]) | ((F.size("parts") > 1) & (F.element_at("parts", -1) == s["slug"]))), F.lit(0))["slug"]
-    hit = crossed.select("site", "role", "ord", "url", "context", F.size("parts").alias("depth"), F.when(is_label(F.col("label")), keyword).alias("keyword"),
-                         F.when(F.size("parts") > 0, slug).alias("slug")).where("keyword is not null or slug is not null")
+    words = dim(spark, "role_keyword").groupBy("role").agg(F.array_sort(F.collect_list(F.struct("ord", "phrase", bare_words(F.col("phrase")).alias("bare")))).alias("phrases"))
+    slugs = dim(spark, "role_slug").groupBy("role").agg(F.array_sort(F.collect_list(F.struct("ord", "slug"))).alias("slugs"))
+    rules = F.broadcast(words.join(slugs, "role").agg(F.array_sort(F.collect_list(F.struct("role", "phrases", "slugs"))).alias("rules")))  # one row of five roles
+    named = F.when(is_label(F.col("label")), F.struct("label", bare_words(F.col("label")).alias("bare")))
+    crossed = rows.select("site", "ord", "url", "context", "parts", named.alias("named")).join(rules)
+    keyword = lambda r: F.when(F.col("named").isNotNull(), F.get(F.filter(r["phrases"], lambda p: (F.col("named.label") == p["phrase"]) | F.col("named.bare").contains(p["bare"])), F.lit(0))["phrase"])
+    slug = lambda r: F.when(F.size("parts") > 0, F.get(F.filter(r["slugs"], lambda s: (F.get(F.col("parts"), F.lit(0)) == s["slug"]) | ((F.size("parts") > 1) & (F.element_at("parts", -1) == s["slug"]))), F.lit(0))["slug"])
+    found = F.filter(F.transform("rules", lambda r: F.struct(r["role"].alias("role"), keyword(r).alias("keyword"), slug(r).alias("slug"))), lambda x: x["keyword"].isNotNull() | x["slug"].isNotNull())
+    hit = crossed.select("site", "ord", "url", "context", F.size("parts").alias("depth"), F.inline(found))
     ranked = hit.join(F.broadcast(dim(spark, "context_rank")), "context", "left").select(
         "site", "role", "url", F.lit(0).alias("src"), F.when(F.col("keyword").isNotNull() & F.col("slug").isNotNull(), 0).otherwise(1).alias("strength"),
         F.coalesce("rank", F.lit(3)).alias("place"), "depth", "ord", F.coalesce("keyword", "slug").alias("matched"))
@@ -56,7 +62,8 @@ def role_candidates(links: DataFrame, sitemap: DataFrame | None = None) -> DataF
             F.col("pattern").alias("matched"))
         ranked = ranked.unionByName(mapped)
     best = ("src", "strength", "place", "depth", "ord", "url")
-    once = ranked.withColumn("key", F.regexp_replace("url", "/+$", "")).withColumn("n", F.row_number().over(
+    # one shuffle by site serves both windows and what picks from a site's candidates
+    once = ranked.repartition("site").withColumn("key", F.regexp_replace("url", "/+$", "")).withColumn("n", F.row_number().over(
         W.partitionBy("site", "role", "key").orderBy(*best))).where("n = 1")
     return once.withColumn("rank", F.row_number().over(W.partitionBy("site", "role").orderBy(*best))).select(
         "site", "role", "rank", "url", F.when(F.col("src") == 0, "nav").otherwise("sitemap").alias("source"), "matched")
