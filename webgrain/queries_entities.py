@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from webgrain.operators import entities, fetched, html, nodes
 from webgrain.queries import SITES, _sites, _t, query
+from webgrain.sources.store import written
 
 _ORG = '{"@type": "Organization", "name": "Maker", "address": {"streetAddress": "1 High Street"}}'
 #: What hangs from a made page's node, by its key modulo 6: over one owner key, another key, three owner keys, four, a person, nothing.
@@ -68,9 +69,11 @@ def _names(spark, sf_dir):
     name = F.when(s % 2 == 0, text("Other ", s)).otherwise(text("Shop Number ", s, " Ltd"))
     node = F.when(p % 3 == 1, text('<script type="application/ld+json">{"@type": "Bakery", "name": "', name, '"}</script>')).otherwise("")
     title = F.when(p % 5 != 0, text("<title>Page of part ", p, " | Number ", s, "</title>")).otherwise(text("<title>A long title that is no name of anything at all ", p, "</title>"))
-    rows = _t(spark, sf_dir, "part").select(s.alias("s"), text("https://s", s, ".test/", p).alias("url"), text("<html><head>", title, meta, node, "</head><body></body></html>").alias("html"),
+    keys = html.spread(_t(spark, sf_dir, "part").select("p_partkey"))  # keys are moved, not pages
+    rows = keys.select(s.alias("s"), text("https://s", s, ".test/", p).alias("url"), text("<html><head>", title, meta, node, "</head><body></body></html>").alias("html"),
                                             F.element_at(F.array(F.lit("home"), F.lit("about"), F.lit("blog")), (i + 1).cast("int")).alias("role"), i.cast("int").alias("page_ord"))
-    return html.parse_pages(rows).withColumns({"final_url": F.col("url"), "category": F.lit("unknown")})
+    # names are looked for in three ways: the pages are parsed once for them all
+    return written(html.parse_pages(rows, parts=("meta", "title", "nodes")), "named").withColumns({"final_url": F.col("url"), "category": F.lit("unknown")})
 
 
 @query(f"WITH {_NAMED} SELECT concat('s', s, '.test') AS site, ord::INT AS ord, name, source FROM c")
@@ -88,7 +91,7 @@ def name_conflicts(spark, sf_dir):
 @query(f"""WITH {_NAMED} SELECT concat('s', s, '.test') AS site, string_agg(name, '|' ORDER BY len(string_split(name, ' ')), length(name), ord) AS names FROM c WHERE len(string_split(name, ' ')) < 3 GROUP BY s""")
 def lookup_names(spark, sf_dir):
     """Shorter names of the site besides its brand of three words, the shortest first."""
-    found = entities.name_candidates(_names(spark, sf_dir))
+    found = written(entities.name_candidates(_names(spark, sf_dir)), "names")
     brands = found.select("site").distinct().withColumn("brand", F.concat(F.lit("Shop Number "), F.regexp_extract("site", r"^s(\d+)", 1)))
     return entities.alternates(brands, found).select("site", F.array_join("names", "|").alias("names"))
 
