@@ -4,13 +4,15 @@ The vocabularies used here drop white space and never merge across it, so a text
 ids of its pieces one after the other. Pieces recur, so a worker keeps the ids of those it has
 met lately, up to CACHE_BYTES. A piece of plain letters and marks goes straight to the library's
 model, any other piece through the library's whole chain, and so does a whole text that has one of
-the vocabulary's special tokens, in upper or lower case.
+the vocabulary's special tokens, in upper or lower case. Letters with marks after them are kept apart
+too, so that "word", "word," and "Word." ask the model once for the letters.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -37,6 +39,20 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class _Pieces(dict):
+    """Pieces and their ids; what is not there is asked for, once, where it is looked up."""
+
+    __slots__ = ("find",)
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.find(piece)
+        return ids
+
+
 class PieceEncoder:
     """encode(text): the ids as the bytes of little-endian unsigned integers of `width` bytes."""
 
@@ -45,8 +61,8 @@ class PieceEncoder:
         self.model, self.half, self.used = self.tokenizer.model, cache_bytes // 2, 0
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.width, self.code = self.dtype.itemsize, "H" if self.dtype.itemsize == 2 else "I"
-        self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.pieces: dict[str, bytes] = {}  # those met lately
+        self.letters = byte_letters()
+        self.pieces = _Pieces(self._find)  # those met lately
         self.before: dict[str, bytes] = {}  # those met before that
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {t[0] for t in special}
@@ -55,15 +71,25 @@ class PieceEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _find(self, piece: str) -> bytes:
+        ids = self.before.get(piece) or self._piece(piece)
+        self.used += ENTRY_BYTES + len(piece) + len(ids)
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        plain = _PLAIN.fullmatch(piece.lower())
-        if plain is None:
-            return self._ids(piece)
-        ids = []
-        for run in plain.groups():
-            if run:
-                ids += [t.id for t in self.model.tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))]
-        return array(self.code, ids).tobytes()
+        low = piece.lower()
+        if not (low.isascii() and low.isalpha()):
+            plain = _PLAIN.fullmatch(low)
+            if plain is None:
+                return self._ids(piece)
+            letters, marks = plain.groups()
+            if letters and marks:
+                return self.pieces[letters] + self.pieces[marks]
+        return self._run(low) if low == piece else self.pieces[low]
 
     def encode(self, text: str) -> bytes:
         if _CONTROL.search(text) or any(m in text for m in self.marks) and self.special.search(text):
@@ -71,12 +97,8 @@ class PieceEncoder:
         if not _BEYOND.search(text):
             text = text.encode().translate(bytes.maketrans(*_UPPER)).decode()
         if self.used > self.half:
-            self.pieces, self.before, self.used = {}, self.pieces, 0
-        pieces, known, before = text.split(), self.pieces, self.before
-        for piece in {p for p in pieces if p not in known}:
-            ids = known[piece] = before.get(piece) or self._piece(piece)
-            self.used += ENTRY_BYTES + len(piece) + len(ids)
-        return b"".join(map(known.__getitem__, pieces))
+            self.pieces, self.before, self.used = _Pieces(self._find), self.pieces, 0
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
 def encoder(vocabulary: bytes) -> PieceEncoder:
