@@ -26,35 +26,43 @@ def priority(severity: Column, confidence: Column) -> Column:
     return F.when((confidence == "low") & (own == "high"), "medium").when((confidence == "low") & (own == "medium"), "low").otherwise(own)
 
 
+def placed(fails: DataFrame) -> DataFrame:
+    """fails (category, roles, sampled_pages) with what the pages hit say: hit, on_key, on_home, wide. Worked out before checks are joined, it is once a site."""
+    keys = F.broadcast(dim(fails.sparkSession, "key_page").groupBy("category").agg(F.collect_set("role").alias("keys")))
+    roles, hit = F.coalesce("roles", F.array().cast("array<string>")), F.size("roles") > 0
+    known = F.coalesce("keys", F.array(F.lit("home"), F.lit("about"), F.lit("contact")))
+    wide = hit & (F.col("sampled_pages") >= 3) & (F.size(F.array_distinct(roles)) >= F.col("sampled_pages"))
+    rows = fails.join(keys, "category", "left")
+    return rows.withColumns({"hit": hit, "on_key": F.arrays_overlap(roles, known), "on_home": F.array_contains(roles, "home"), "wide": wide}).drop("keys")
+
+
 def adjust_severity(fails: DataFrame) -> DataFrame:
     """fails: site, check_id, category, roles, sampled_pages, confidence (null: the registry's). Adds the registry's columns, severity and adjustments.
 
     In this order: the category's override; one level down on pages that are no key pages, critical on home where the check can be;
     one level up when every one of three pages or more is hit; medium at most with low confidence; the largest severity last.
+    What placed() adds is added here unless fails has it.
     """
     spark = fails.sparkSession
-    registry = F.broadcast(dim(spark, "check_registry").withColumnsRenamed({"severity": "default", "confidence": "usual"}))
-    override = F.broadcast(dim(spark, "severity_override").where("severity <> 'not_evaluated'").withColumnRenamed("severity", "override"))
-    keys = F.broadcast(dim(spark, "key_page").groupBy("category").agg(F.collect_set("role").alias("keys")))
-    rows = fails.join(registry, "check_id").join(override, ["check_id", "category"], "left").join(keys, "category", "left")
+    # what a check alone decides is worked out over the registry, not over the rows; a check of policy is no defect and stays informational
+    registry = dim(spark, "check_registry").withColumns({
+        "start": severity_rank(F.col("severity")), "most": severity_rank(F.col("max_severity")), "policy": F.col("severity") == "info",
+        "may": (F.col("max_severity") == "critical") & F.col("severity").isin("high", "critical")}).withColumnRenamed("confidence", "usual").drop("severity")
+    override = dim(spark, "severity_override").where("severity <> 'not_evaluated'").select("check_id", "category", F.col("severity").alias("override"), severity_rank(F.col("severity")).alias("moved"))
+    rows = fails.join(F.broadcast(registry), "check_id").join(F.broadcast(override), ["check_id", "category"], "left")
+    rows = rows if "on_key" in fails.columns else placed(rows)
     rows = rows.withColumn("confidence", F.coalesce("confidence", "usual"))
-    roles, most, hit = F.coalesce("roles", F.array().cast("array<string>")), severity_rank(F.col("max_severity")), F.size("roles") > 0
-    known = F.coalesce("keys", F.array(F.lit("home"), F.lit("about"), F.lit("contact")))
-    start = severity_rank(F.coalesce("override", "default"))
-    policy = F.col("default") == "info"  # a matter of policy, no defect: it stays informational
-    on_key, on_home = F.arrays_overlap(roles, known), F.array_contains(roles, "home")
-    to_critical = hit & on_key & on_home & (F.col("max_severity") == "critical") & F.col("default").isin("high", "critical")
-    lowered = hit & ~on_key
-    second = F.when(to_critical, 0).when(lowered, F.least(start + 1, F.lit(LOW))).otherwise(start)
-    wide = hit & (F.col("sampled_pages") >= 3) & (F.size(F.array_distinct(roles)) >= F.col("sampled_pages"))
-    rows = rows.withColumn("s2", second).withColumn("s3", F.when(wide, F.greatest(F.col("s2") - 1, F.lit(0), most)).otherwise(F.col("s2")))
+    start, most, to_critical, lowered = F.coalesce("moved", "start"), F.col("most"), F.col("hit") & F.col("on_key") & F.col("on_home") & F.col("may"), F.col("hit") & ~F.col("on_key")
+    rows = rows.withColumn("s2", F.when(to_critical, 0).when(lowered, F.least(start + 1, F.lit(LOW))).otherwise(start))
+    rows = rows.withColumn("s3", F.when(F.col("wide"), F.greatest(F.col("s2") - 1, F.lit(0), most)).otherwise(F.col("s2")))
     capped = (F.col("confidence") == "low") & (F.col("s3") < MEDIUM)
-    rows = rows.withColumn("s4", F.when(capped, F.lit(MEDIUM)).otherwise(F.col("s3"))).withColumn("s5", F.greatest("s4", most))
+    rows = rows.withColumn("s5", F.greatest(F.when(capped, F.lit(MEDIUM)).otherwise(F.col("s3")), most))
     said = F.filter(F.array(
         F.when(F.col("override").isNotNull(), F.concat(F.lit("category_override:"), F.col("override"))), F.when(to_critical, F.lit("home_page:critical")),
-        F.when(lowered, F.lit("non_key_pages:-1")), F.when(wide & (F.col("s3") != F.col("s2")), F.lit("blast_radius:+1")),
+        F.when(lowered, F.lit("non_key_pages:-1")), F.when(F.col("wide") & (F.col("s3") != F.col("s2")), F.lit("blast_radius:+1")),
         F.when(capped, F.lit("confidence_cap:medium"))), lambda x: x.isNotNull())
-    return rows.withColumns({"severity": F.when(policy, "info").otherwise(severity_name(F.col("s5"))), "adjustments": F.when(policy, F.array().cast("array<string>")).otherwise(said)}).drop("s2", "s3", "s4", "s5", "override", "keys", "default", "usual")
+    return rows.withColumns({"severity": F.when(F.col("policy"), "info").otherwise(severity_name(F.col("s5"))), "adjustments": F.when(F.col("policy"), F.array().cast("array<string>")).otherwise(said)}).drop(
+        "s2", "s3", "s5", "override", "moved", "start", "most", "policy", "may", "usual", "hit", "on_key", "on_home", "wide")
 
 
 def derive(findings: DataFrame) -> DataFrame:
